@@ -12,16 +12,18 @@ def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, incl
 
     A start node is part of the result only when an edge leads to it, or with `include_start`.
     Each round joins only the newest nodes, and a visited set ends cycles. A small frontier is
-    broadcast, so the edges are scanned but not shuffled; a large one is joined by shuffle.
+    broadcast, so the edges are scanned but not shuffled; a large one is joined by shuffle. The
+    edges are read once per round: pass a stored table, not a long plan.
     """
-    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("_next")).distinct()
+    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("_next"))
     frontier = cut_lineage(start.select("node").distinct())
-    visited = frontier.limit(0) if not include_start else frontier
-    rows = frontier.count()
+    visited = frontier if include_start else frontier.limit(0)
+    rows, rounds = frontier.count(), 0
     while rows:
         found = steps.join(hint_if_small(frontier, rows), "node", "left_semi").select(F.col("_next").alias("node"))
         frontier = cut_lineage(found.distinct().join(visited, "node", "left_anti"))
-        rows = frontier.count()
-        if rows:
-            visited = cut_lineage(visited.unionByName(frontier))
+        rows, rounds = frontier.count(), rounds + 1
+        visited = visited.unionByName(frontier)
+        if rounds % 10 == 0:
+            visited = cut_lineage(visited)
     return visited
