@@ -81,4 +81,4 @@ def check_params2(params: Column) -> Column:
 
 def parse_time(text: Column) -> Column:
     """`yyyy-MM-dd HH:mm:ss.f`; the fraction is required, one to six digits. Bad text is an error."""
-    return F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"))
+    return F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
