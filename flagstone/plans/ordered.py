@@ -119,3 +119,21 @@ def dense_positions(df: DataFrame, key: str, name: str) -> DataFrame:
         .withColumn(name, F.col("_offset") + place)
         .drop("_id", "_part", "_offset")
     )
+
+
+def last_before(df: DataFrame, by: str, position: str, value: str, chunk: int) -> DataFrame:
+    """Add `last`: the latest non-null `value` of the same `by` at or before this row's position.
+
+    Positions are cut into chunks. Each chunk's latest value is carried to the later ones, so a hot
+    `by` value is spread over as many tasks as it has chunks.
+    """
+    item = F.when(F.col(value).isNotNull(), F.struct(position, value))
+    cut = df.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk)).cast("long"))
+    ends = cut.groupBy(by, "_chunk").agg(F.max(item).alias("_end"))
+    earlier = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(by, "_chunk", F.max("_end").over(earlier).alias("_carried"))
+    inside = Window.partitionBy(by, "_chunk").orderBy(position).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    joined = cut.withColumn("_inside", F.max(item).over(inside)).join(carried, [by, "_chunk"])
+    return joined.select(*df.columns, F.coalesce("_inside", "_carried")[value].alias("last"))
