@@ -6,6 +6,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flagstone.functions.numbers import once
 from flagstone.functions.text import quoted
 
 
@@ -56,7 +57,11 @@ def standardise(df: DataFrame, columns: list[str], mean_std: dict[str, tuple[flo
 
 def layer_norm(values: Column, eps: float = 1e-5) -> Column:
     """Zero mean and unit (population) variance inside one array."""
-    total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-    mean = total / F.size(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean))
-    return F.transform(values, lambda v: (v - mean) / F.sqrt(squares / F.size(values) + F.lit(eps)))
+    def scaled(mean: Column) -> Column:
+        squares = F.aggregate(values, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean))
+        return once(
+            F.sqrt(squares / F.size(values) + F.lit(eps)),
+            lambda std: F.transform(values, lambda v: (v - mean) / std),
+        )
+
+    return once(F.aggregate(values, F.lit(0.0), lambda a, b: a + b) / F.size(values), scaled)

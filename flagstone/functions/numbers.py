@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -20,11 +22,19 @@ def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once per row, also where `use` repeats it per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
     """Class probabilities of an array, shifted by its maximum."""
-    powers = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(powers, lambda p: p / total)
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
+        return once(total, lambda t: F.transform(powers, lambda p: p / t))
+
+    powers = once(F.array_max(logits), lambda top: F.transform(logits, lambda z: F.exp(z - top)))
+    return once(powers, shares)
 
 
 def arg_max(values: Column) -> Column:

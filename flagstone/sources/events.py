@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+# Fixed value: how event files write times.
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+
 
 def read_events(
     spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, columns: list[str] | None = None
@@ -13,7 +16,7 @@ def read_events(
 
     `columns` keeps only these; a pruned CSV scan parses no other column.
     """
-    reader = spark.read.option("header", True).option("mode", "FAILFAST")
+    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("timestampNTZFormat", TIME_FORMAT)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     return df if columns is None else df.select(*[F.col(f"`{c}`") for c in columns])
@@ -28,6 +31,7 @@ def read_indexed(spark: SparkSession, path: str, key: str, schema: StructType |
 def read_csv_tree(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """All `*.csv` files below a folder, without headers, with the path of each row's file."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", False)
+    reader = reader.option("timestampNTZFormat", TIME_FORMAT)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     return df.select("*", F.col("_metadata.file_path").alias("path"))

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from flagstone.sources.events import TIME_FORMAT
+
 
 def stream_events(spark: SparkSession, folder: str, schema: StructType | str, max_files: int = 1000) -> DataFrame:
     """CSV files with a header, read once each as they arrive in `folder`."""
     reader = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", max_files)
-    return reader.option("mode", "FAILFAST").csv(folder)
+    return reader.option("mode", "FAILFAST").option("timestampNTZFormat", TIME_FORMAT).csv(folder)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
