@@ -83,7 +83,8 @@ def flatten_rules(policies: DataFrame, max_depth: int = 100) -> DataFrame:
         if depth > max_depth:
             raise ValueError(f"rules nested deeper than {max_depth}")
         levels = levels.unionByName(level)
-    return _describe(levels)
+    # Stored, since the documents would otherwise be parsed again by each later use.
+    return cut_lineage(_describe(levels))
 
 
 def _describe(levels: DataFrame) -> DataFrame:
@@ -138,18 +139,24 @@ def load_nodes(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     )
     start = roots.groupBy("policy").agg(F.lpad(F.min("pos").cast("string"), 8, "0").alias("key"))
     known = frontier = cut_lineage(start)
-    rows = frontier.count()
+    rows, rounds = frontier.count(), 0
+    seen = rows
     while rows:
+        rounds += 1
         reached = (
             calls.join(hint_if_small(frontier, rows), "policy")
             .select(F.col("callee").alias("policy"), F.concat_ws("/", "key", "local_key").alias("new_key"))
             .groupBy("policy").agg(F.min("new_key").alias("new_key"))
         )
-        better = reached.join(known, "policy", "left").filter("key is null or new_key < key")
+        # A policy may be listed with several keys; the least is its own.
+        best = hint_if_small(known.groupBy("policy").agg(F.min("key").alias("key")), seen)
+        better = reached.join(best, "policy", "left").filter("key is null or new_key < key")
         frontier = cut_lineage(better.select("policy", F.col("new_key").alias("key")))
         rows = frontier.count()
-        if rows:
-            known = cut_lineage(known.unionByName(frontier).groupBy("policy").agg(F.min("key").alias("key")))
+        known, seen = known.unionByName(frontier), seen + rows
+        if rounds % 10 == 0:
+            known = cut_lineage(known.groupBy("policy").agg(F.min("key").alias("key")))
+    known = known.groupBy("policy").agg(F.min("key").alias("key"))
     keyed = nodes.join(known, "policy").withColumn("load_key", F.concat_ws("/", "key", "local_key"))
     return dense_positions(keyed.drop("key"), "load_key", "load_pos")
 

@@ -11,19 +11,21 @@ def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, incl
     """Nodes reached from `start` (column `node`) along edges from `source` to `target`.
 
     A start node is part of the result only when an edge leads to it, or with `include_start`.
-    Each round joins only the newest nodes, and a visited set ends cycles. A small frontier is
-    broadcast, so the edges are scanned but not shuffled; a large one is joined by shuffle. The
-    edges are read once per round: pass a stored table, not a long plan.
+    Each round joins only the newest nodes, and a visited set ends cycles. Both are counted: small
+    ones are broadcast, so the edges are scanned but not shuffled; large ones are joined by shuffle.
+    The edges are read once per round: pass a stored table, not a long plan.
     """
     steps = edges.select(F.col(source).alias("node"), F.col(target).alias("_next"))
     frontier = cut_lineage(start.select("node").distinct())
     visited = frontier if include_start else frontier.limit(0)
     rows, rounds = frontier.count(), 0
+    seen = rows if include_start else 0
     while rows:
         found = steps.join(hint_if_small(frontier, rows), "node", "left_semi").select(F.col("_next").alias("node"))
-        frontier = cut_lineage(found.distinct().join(visited, "node", "left_anti"))
+        fresh = found.join(hint_if_small(visited, seen), "node", "left_anti") if seen else found
+        frontier = cut_lineage(fresh.distinct())
         rows, rounds = frontier.count(), rounds + 1
-        visited = visited.unionByName(frontier)
+        visited, seen = visited.unionByName(frontier), seen + rows
         if rounds % 10 == 0:
             visited = cut_lineage(visited)
     return visited

@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flagstone.plans.shared import bounded_rows, cut_lineage, measured
 
-RANGES = 1000
+# A window task gets about this many rows, unless that makes more than MAX_RANGES ranges.
+RANGE_ROWS = 1_000_000
+MAX_RANGES = 10_000
+# Ranges per round, and the rows that are few enough to sort, when looking for one row.
+SEARCH_RANGES = 1000
 SORT_ROWS = 100_000
 
 
@@ -35,12 +39,13 @@ def running_totals(
     by: list[str] | None = None,
     descending: bool = False,
     ties: list[str] | None = None,
-    ranges: int = RANGES,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Add, for each `{column: name}` of `sums`, `name` (sum up to and including this row in the
     order of `key`) and `name_total` (sum of the group). Equal keys are ordered by `ties`."""
     by = by or []
     source = df.persist()
+    ranges = min(MAX_RANGES, -(-source.count() // range_rows))
     cut = _ranges(source, F.col(key), ranges)
     flip = -1 if descending else 1
     totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{n}") for c, n in sums.items()])
@@ -52,7 +57,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums.values()],
         *[F.sum(f"_{n}").over(group).alias(f"{n}_total") for n in sums.values()],
     )
-    # Without groups the bases have at most `ranges` rows; with groups their size is measured.
+    # Without groups the bases have at most MAX_RANGES rows; with groups their size is measured.
     bases = measured(bases) if by else F.broadcast(bases)
     same = F.col("_range") == F.col("_base_range")
     for b in by:
@@ -82,9 +87,9 @@ def nth_value(df: DataFrame, n: int, order: Column, number: Column | None = None
     rest = df.select(order.alias("_order"), (order if number is None else number).cast("double").alias("_number"))
     rows = rest.count()
     while rows > SORT_ROWS:
-        cut = _ranges(rest, F.col("_number"), RANGES)
+        cut = _ranges(rest, F.col("_number"), SEARCH_RANGES)
         seen, chosen = 0, None
-        for row in sorted(bounded_rows(cut.groupBy("_range").count(), RANGES + 1)):
+        for row in sorted(bounded_rows(cut.groupBy("_range").count(), SEARCH_RANGES + 1)):
             if seen + row["count"] >= n:
                 chosen = row
                 break
