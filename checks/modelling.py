@@ -9,7 +9,7 @@ from checks.fixture import (
     CARD, CLEAN_FLAGS, CURVE_SQL, EVENTS_SQL, FLAGS, RUNS_SQL, SCORES_SQL, SPLIT_SQL, brand_features, risk_events,
     run_logs, scores,
 )
-from checks.registry import query
+from checks.registry import ORACLES, query
 from flagstone.functions import text as X
 from flagstone.operators import (
     attribution as A, columns as C, learn as L, metrics as M, ranking as T, runlog as R, splits as S, tokens as N,
@@ -144,7 +144,7 @@ draws AS (SELECT *, md5(d || '|' || i) AS h FROM places),
 numbers AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS b,
   CAST('0x' || substr(h, 17, 8) AS BIGINT) AS c FROM draws),
 chosen AS (SELECT *, x >= 7 AND a < 644245094 AS hit FROM numbers)
-SELECT row_id, i, CAST(CASE WHEN NOT hit THEN x WHEN b < 3435973836 THEN 4 WHEN b < 3865470566 THEN c % 23 ELSE x END AS INTEGER) AS input_id,
+SELECT row_id, i, CAST(CASE WHEN NOT hit THEN x WHEN b < 3435973837 THEN 4 WHEN b < 3865470566 THEN c % 23 ELSE x END AS INTEGER) AS input_id,
   CAST(CASE WHEN hit THEN x ELSE -100 END AS INTEGER) AS label FROM chosen""")
 def _(spark, sf):
     rows = N.encode(clean_events(spark, sf), CLEAN_FLAGS, flag_ids(), keep=["row_id"])
@@ -356,6 +356,13 @@ def _(spark, sf):
     return rows.select("row_id", "candidate", F.round("p", 6).alias("p"))
 
 
+@query("fill_masked_feature_by_join", ORACLES["fill_masked_feature"])
+def _(spark, sf):
+    features = ["tmxrc_Amount_High", "tmxrc_Weekend", CLEAN_FLAGS[-1]]
+    rows = L.fill_masked_by_join(clean_events(spark, sf), "sumrc_Key_Odd", features)
+    return rows.select("row_id", "candidate", F.round("p", 6).alias("p"))
+
+
 @query("batch_scored_rows", EV + f"""
 SELECT row_id, round({LOGIT_SQL}, 6) AS logit FROM risk_events""")
 def _(spark, sf):

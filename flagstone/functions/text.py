@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 
 def quoted(name: str) -> Column:
@@ -16,6 +19,26 @@ def token(name: str, value: Column | None = None) -> Column:
     return F.concat_ws("_", F.lit(name), value.cast("string"))
 
 
+def whole_columns(df: DataFrame) -> set[str]:
+    """Names of the whole-number columns."""
+    return {f.name for f in df.schema if isinstance(f.dataType, IntegralType)}
+
+
+def choose(name: str, by_text: dict[str, int | float], otherwise: Column, whole: bool = False) -> Column:
+    """The entry for a column's value as text. For `whole` columns the texts are compared as numbers."""
+    if whole:
+        by_value = {int(t): v for t, v in by_text.items() if re.fullmatch(r"0|-?[1-9][0-9]{0,8}", t)}
+    else:
+        by_value = by_text
+    if not by_value:
+        return otherwise
+    value = quoted(name) if whole else quoted(name).cast("string")
+    chosen = F
+    for text, entry in by_value.items():
+        chosen = chosen.when(value == F.lit(text), F.lit(entry))
+    return chosen.otherwise(otherwise)
+
+
 def sentence(names: list[str]) -> Column:
     """The tokens of a row, joined by blanks."""
     return F.concat_ws(" ", *[token(n) for n in names])

@@ -40,38 +40,47 @@ def attributions(
     df: DataFrame, coefficients: DataFrame | dict[str, float], background: DataFrame,
     key: str = "row_id", intercept: float = 0.0, keep: list[str] = [],
 ) -> DataFrame:
-    """Add `base` and `phis`, an array of `(feature, value, phi)` with phi = coefficient * (value -
-    background mean). Base plus all phis is the logit. No shuffle."""
+    """`base` and, in the order of the card, the arrays `features`, `values` and `phis`, with phi =
+    coefficient * (value - background mean). Base plus all phis is the logit. No shuffle; the names
+    are a constant that rows hold only where they are asked for."""
     weights = card(coefficients)
     means = background_means(background, list(weights))
-    phis = []
-    for f, c in weights.items():
-        value = F.coalesce(quoted(f).cast("double"), F.lit(0.0))
-        phi = F.lit(float(c)) * (value - F.lit(means[f]))
-        phis.append(F.struct(F.lit(f).alias("feature"), value.alias("value"), phi.alias("phi")))
+    values = {f: F.coalesce(quoted(f).cast("double"), F.lit(0.0)) for f in weights}
+    phis = [F.lit(float(c)) * (values[f] - F.lit(means[f])) for f, c in weights.items()]
     base = intercept + sum(c * means[f] for f, c in weights.items())
-    return df.select(key, *[quoted(c) for c in keep], F.lit(float(base)).alias("base"), F.array(*phis).alias("phis"))
+    return df.select(
+        key, *[quoted(c) for c in keep], F.lit(float(base)).alias("base"),
+        F.array(*[F.lit(f) for f in weights]).alias("features"),
+        F.array(*values.values()).alias("values"), F.array(*phis).alias("phis"),
+    )
 
 
 def attribution_rows(attributed: DataFrame, key: str = "row_id") -> DataFrame:
     """Long form: `(key, base, feature, value, phi)`."""
-    return attributed.select(key, "base", F.inline("phis"))
+    rows = attributed.select(key, "base", F.inline(F.arrays_zip("features", "values", "phis")))
+    return rows.withColumnsRenamed({"features": "feature", "values": "value", "phis": "phi"})
 
 
 def feature_importance(attributed: DataFrame) -> DataFrame:
     """Mean absolute attribution per feature; one partial row per feature and task is shuffled."""
-    rows = attributed.select(F.inline("phis"))
-    return rows.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
+    return _importance(attributed).select("feature", "importance")
+
+
+def _importance(attributed: DataFrame) -> DataFrame:
+    names = attributed.select("features").limit(1).scalar()
+    rows = attributed.select(F.posexplode("phis").alias("place", "phi"))
+    means = rows.groupBy("place").agg(F.avg(F.abs("phi")).alias("importance"))
+    return means.select("place", F.get(names, "place").alias("feature"), "importance")
 
 
 def dependence(attributed: DataFrame, feature: str, other: str, key: str = "row_id") -> DataFrame:
     """Value and attribution of one feature beside the value of an interacting one."""
-    def entry(name: str) -> Column:
-        return F.get(F.filter("phis", lambda e: e["feature"] == name), F.lit(0))
+    def entry(column: str, name: str) -> Column:
+        return F.element_at(column, F.array_position("features", F.lit(name)).cast("int"))
 
     return attributed.select(
-        key, entry(feature)["value"].alias("value"), entry(feature)["phi"].alias("phi"),
-        entry(other)["value"].alias("other_value"),
+        key, entry("values", feature).alias("value"), entry("phis", feature).alias("phi"),
+        entry("values", other).alias("other_value"),
     )
 
 
@@ -81,20 +90,20 @@ def decision_path(attributed: DataFrame, key: str = "row_id") -> DataFrame:
     The order of the features is one for all rows. The running sum works inside the row's own array,
     so rows are not shuffled.
     """
-    ranked = bounded_rows(feature_importance(attributed))
-    order = {r["feature"]: i for i, r in enumerate(sorted(ranked, key=lambda r: (r["importance"], r["feature"])))}
-    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    placed = F.array_sort(F.transform("phis", lambda e: F.struct(
-        F.element_at(place, e["feature"]).alias("step"), e["feature"].alias("feature"), e["phi"].alias("phi")
-    )))
-    steps = F.aggregate(
-        placed,
-        F.struct(F.col("base").alias("total"), F.array().cast("array<double>").alias("totals")),
-        lambda acc, e: F.struct(
-            (acc["total"] + e["phi"]).alias("total"),
-            F.array_append(acc["totals"], acc["total"] + e["phi"]).alias("totals"),
-        ),
-        lambda acc: acc["totals"],
+    ranked = bounded_rows(_importance(attributed))
+    ranked = sorted(ranked, key=lambda r: (r["importance"], r["feature"]))
+    if not ranked:
+        return attributed.select(key, F.lit(0).alias("step"), F.lit("").alias("feature"),
+                                 F.col("base").alias("phi"), F.col("base").alias("total")).limit(0)
+    order = F.array(*[F.lit(r["place"]) for r in ranked])
+    phis = F.transform(order, lambda p: F.get("phis", p))
+    totals = F.aggregate(
+        phis,
+        F.array("base"),
+        lambda acc, phi: F.array_append(acc, F.element_at(acc, -1) + phi),
+        lambda acc: F.slice(acc, 2, len(ranked)),
     )
-    rows = attributed.select(key, F.inline(F.arrays_zip(placed.alias("entry"), steps.alias("total"))))
-    return rows.select(key, "entry.step", "entry.feature", "entry.phi", "total")
+    names = F.array(*[F.lit(r["feature"]) for r in ranked])
+    steps = F.arrays_zip(names.alias("feature"), phis.alias("phi"), totals.alias("total"))
+    rows = attributed.select(key, F.posexplode(steps).alias("step", "_e"))
+    return rows.select(key, "step", "_e.feature", "_e.phi", "_e.total")

@@ -10,11 +10,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flagstone.functions.text import quoted
+from flagstone.functions.numbers import softmax
+from flagstone.functions.text import choose, quoted, whole_columns
 from flagstone.operators.ranking import top_candidates
-from flagstone.plans.shared import measured
+from flagstone.plans.shared import bounded_rows, measured
 
 
 def score_batches(df: DataFrame, load: Callable[[], Callable], schema: str) -> DataFrame:
@@ -33,32 +34,64 @@ def score_batches(df: DataFrame, load: Callable[[], Callable], schema: str) -> D
 
 def value_model(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """Log-probabilities of each value of each feature given each value of the target, from counts
-    with one added: `(candidate, prior, feature, value, logp)`."""
+    with one added: `(candidate, prior, feature, value, logp)`.
+
+    One pass over the rows counts everything; the rest works on those counts.
+    """
     rows = df.filter(quoted(target).isNotNull()).select(
-        quoted(target).cast("string").alias("candidate"), *[quoted(f).cast("string").alias(f) for f in features]
+        quoted(target).cast("string").alias("candidate"),
+        *[quoted(f).cast("string").alias(f) for f in features],
+        F.lit("").alias("_rows"),
     )
-    long = rows.unpivot(["candidate"], [quoted(f) for f in features], "feature", "value").filter("value is not null")
-    pairs = long.groupBy("candidate", "feature", "value").count()
-    # All tables below hold one row per (candidate, feature, value) seen; events are read once for
-    # these counts and once for the priors.
-    pairs = measured(pairs)
-    priors = rows.groupBy("candidate").count().withColumnRenamed("count", "rows")
-    size = rows.agg(F.count(F.lit(1))).scalar()
-    kinds = rows.agg(F.count_distinct("candidate")).scalar()
-    priors = priors.withColumn("prior", F.log((F.col("rows") + 1) / (size + kinds)))
+    long = rows.unpivot(["candidate"], [quoted(f) for f in [*features, "_rows"]], "feature", "value")
+    counts = measured(long.filter("value is not null").groupBy("candidate", "feature", "value").count())
+    sizes = counts.filter("feature = '_rows'")
+    every = sizes.agg(F.sum("count") + F.count(F.lit(1))).scalar()
+    priors = sizes.select("candidate", F.log((F.col("count") + 1) / every).alias("prior"))
+    pairs = counts.filter("feature <> '_rows'")
+    values = pairs.groupBy("feature").agg(F.collect_set("value").alias("values"))
     totals = pairs.groupBy("candidate", "feature").agg(F.sum("count").alias("total"))
-    values = pairs.select("feature", "value").distinct()
-    kinds_of = values.groupBy("feature").agg(F.count(F.lit(1)).alias("kinds"))
-    seen = pairs.select("feature", "value", "candidate", "count")
-    every = values.join(totals.join(kinds_of, "feature"), "feature")
-    filled = every.join(seen, ["feature", "value", "candidate"], "left").join(priors, "candidate")
-    chance = (F.coalesce("count", F.lit(0)) + 1) / (F.col("total") + F.col("kinds"))
+    wanted = totals.join(values, "feature").withColumn("value", F.explode("values"))
+    filled = wanted.join(pairs, ["candidate", "feature", "value"], "left").join(priors, "candidate")
+    chance = (F.coalesce("count", F.lit(0)) + 1) / (F.col("total") + F.size("values"))
     return filled.select("candidate", "prior", "feature", "value", F.log(chance).alias("logp"))
 
 
 def fill_masked(df: DataFrame, target: str, features: list[str], key: str = "row_id", k: int = 2) -> DataFrame:
     """The `k` likeliest values of a hidden feature per row, from the values of other features.
 
+    For flags and other features with few values: the counted model becomes one expression, so
+    rows are scored where they lie.
+    """
+    priors: dict[str, float] = {}
+    chances: dict[tuple[str, str], dict[str, float]] = {}
+    for r in bounded_rows(value_model(df, target, features)):
+        priors[r["candidate"]] = r["prior"]
+        chances.setdefault((r["candidate"], r["feature"]), {})[r["value"]] = r["logp"]
+    whole = whole_columns(df)
+
+    def weight(candidate: str) -> Column:
+        total = F.lit(priors[candidate])
+        for f in features:
+            total = total + choose(f, chances.get((candidate, f), {}), F.lit(0.0), f in whole)
+        return total
+
+    names = sorted(priors)
+    if not names:
+        return df.select(key, F.lit("").alias("candidate"), F.lit(0.0).alias("p"), F.lit(1).alias("rank")).limit(0)
+    weights = df.select(key, F.array(*[weight(n) for n in names]).alias("_w"))
+    # Best first, ties by the smaller candidate.
+    ordered = F.array_sort(F.transform(
+        softmax(F.col("_w")),
+        lambda p, i: F.struct((-p).alias("minus"), F.get(F.array(*[F.lit(n) for n in names]), i).alias("candidate")),
+    ))
+    best = weights.select(key, F.posexplode(F.slice(ordered, 1, k)).alias("_i", "_e"))
+    return best.select(key, "_e.candidate", (-F.col("_e.minus")).alias("p"), (F.col("_i") + 1).alias("rank"))
+
+
+def fill_masked_by_join(df: DataFrame, target: str, features: list[str], key: str = "row_id", k: int = 2) -> DataFrame:
+    """The same for features with very many values.
+
     A row is opened into its features and closed again inside one task before the shuffle, which
     moves one partial sum per row and candidate.
     """
@@ -69,13 +102,10 @@ def fill_masked(df: DataFrame, target: str, features: list[str], key: str = "row
     scored = long.join(model, ["feature", "value"]).groupBy(key, "candidate").agg(
         (F.first("prior") + F.sum("logp")).alias("weight")
     )
-    whole = scored.groupBy(key).agg(
-        F.max("weight").alias("_top"), F.collect_list(F.struct("weight", "candidate")).alias("_all")
-    )
-    total = F.aggregate("_all", F.lit(0.0), lambda a, e: a + F.exp(e["weight"] - F.col("_top")))
-    rows = whole.select(key, "_top", total.alias("_sum"), F.inline("_all"))
-    chances = rows.withColumn("p", F.exp(F.col("weight") - F.col("_top")) / F.col("_sum"))
-    return top_candidates(chances.select(key, "candidate", "p"), [key], "p", "candidate", k)
+    group = Window.partitionBy(key)
+    shifted = scored.withColumn("_e", F.exp(F.col("weight") - F.max("weight").over(group)))
+    chances = shifted.select(key, "candidate", (F.col("_e") / F.sum("_e").over(group)).alias("p"))
+    return top_candidates(chances, [key], "p", "candidate", k)
 
 
 def gbt_stages(features: list[str], label: str = "frd", seed: int = 1, **options) -> Pipeline:

@@ -7,8 +7,9 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flagstone.functions.arrays import bracket, constant_array
-from flagstone.functions.text import mask_text, quoted, token
-from flagstone.plans.hashing import digest, hex_number
+from flagstone.functions.numbers import once
+from flagstone.functions.text import choose, mask_text, quoted, token, whole_columns
+from flagstone.plans.hashing import below, digest, hex_number
 from flagstone.plans.shared import bounded_rows
 
 # The special tokens in id order, and the label of positions that are not predicted.
@@ -49,17 +50,13 @@ def vocab_ids(vocab: DataFrame) -> dict[str, int]:
     return {r["token"]: r["id"] for r in bounded_rows(vocab.select("token", "id"))}
 
 
-def token_id(name: str, ids: dict[str, int], value: Column | None = None) -> Column:
-    """Id of `name_value`: one short CASE per column, which stays inside generated code."""
-    value = (quoted(name) if value is None else value).cast("string")
-    known = [(t[len(name) + 1 :], i) for t, i in ids.items() if t.startswith(f"{name}_")]
-    unknown = F.lit(ids["[UNK]"])
-    if not known:
-        return unknown
-    chosen = None
-    for text, number in known:
-        chosen = F.when(value == text, F.lit(number)) if chosen is None else chosen.when(value == text, F.lit(number))
-    return chosen.otherwise(unknown)
+def token_id(name: str, ids: dict[str, int], whole: bool = False) -> Column:
+    """Id of `name_value`: one short CASE per column, which stays inside generated code.
+
+    The values of `whole`-number columns are compared as numbers, which saves making text of them.
+    """
+    known = {t[len(name) + 1 :]: i for t, i in ids.items() if t.startswith(f"{name}_")}
+    return choose(name, known, F.lit(ids["[UNK]"]), whole)
 
 
 def encode(
@@ -76,7 +73,8 @@ def encode(
     if strict:
         row = df.agg(*[F.bool_or(quoted(c).isNull()).alias(f"_{i}") for i, c in enumerate(features)]).first()
         holed = {c for c, has_null in zip(features, row, strict=True) if has_null}
-    encoded = F.array(*[F.lit(ids["[UNK]"]) if c in holed else token_id(c, ids) for c in features])
+    whole = whole_columns(df)
+    encoded = F.array(*[F.lit(ids["[UNK]"]) if c in holed else token_id(c, ids, c in whole) for c in features])
     length = len(features) + 2
     labels = [] if label is None else [quoted(label).cast("int").alias("labels")]
     return df.select(
@@ -140,25 +138,25 @@ def mask_tokens(
     A position is chosen with `rate`, never on a special token. Of the chosen 80 % become `[MASK]`,
     10 % a random id, 10 % stay. One md5 per position gives all three draws.
     """
-    specials = F.array(*[F.lit(vocab[t]) for t in SPECIAL_TOKENS])
-    scale = 16.0**8
+    ignored = F.lit(IGNORED_LABEL)
 
-    def draw(place: Column, start: int) -> Column:
-        return hex_number(F.md5(F.concat_ws("|", F.col("_digest"), place.cast("string"))), start)
+    def pair(masked: Column, label: Column) -> Column:
+        return F.struct(masked.alias("id"), label.alias("label"))
 
-    def chosen(x: Column, i: Column) -> Column:
-        return ~F.array_contains(specials, x) & (draw(i, 1) < F.lit(int(rate * scale)))
+    def drawn(x: Column, h: Column) -> Column:
+        replaced = F.when(below(h, 0.8, 9), F.lit(vocab["[MASK]"])).when(
+            below(h, 0.9, 9), (hex_number(h, 17) % F.lit(len(vocab))).cast("int")
+        )
+        return F.when(below(h, rate), pair(replaced.otherwise(x), x)).otherwise(pair(x, ignored))
 
-    def masked(x: Column, i: Column) -> Column:
-        action = draw(i, 9)
-        replaced = F.when(action < F.lit(int(0.8 * scale)), F.lit(vocab["[MASK]"])).when(
-            action < F.lit(int(0.9 * scale)), (draw(i, 17) % F.lit(len(vocab))).cast("int")
+    def place(x: Column, i: Column) -> Column:
+        special = x.isin(*[vocab[t] for t in SPECIAL_TOKENS])
+        return F.when(special, pair(x, ignored)).otherwise(
+            once(F.md5(F.concat_ws("|", F.col("_digest"), i.cast("string"))), lambda h: drawn(x, h))
         )
-        return F.when(chosen(x, i), replaced.otherwise(x)).otherwise(x)
 
-    labels = F.transform(F.col(ids), lambda x, i: F.when(chosen(x, i), x).otherwise(F.lit(IGNORED_LABEL)))
-    marked = df.withColumn("_digest", digest(key, seed))
-    return marked.withColumns({"labels": labels, ids: F.transform(F.col(ids), masked)}).drop("_digest")
+    drawn_pairs = df.withColumn("_digest", digest(key, seed)).withColumn("_pairs", F.transform(F.col(ids), place))
+    return drawn_pairs.withColumns({"labels": F.col("_pairs.label"), ids: F.col("_pairs.id")}).drop("_digest", "_pairs")
 
 
 def mask_feature(df: DataFrame, text: str, name: str) -> DataFrame:
