@@ -14,12 +14,10 @@ SMALL_ROWS = 100_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: `spark.checkpoint.dir`, or a local one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="flagstone-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flagstone-"))
+    return folder or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
