@@ -121,7 +121,7 @@ def flag_is(df: DataFrame, name: str, value: bool) -> DataFrame:
 
 def keep_listed(long: DataFrame, features: DataFrame) -> DataFrame:
     """Rows of a long table whose feature is in the list."""
-    return long.join(F.broadcast(features.select("feature").distinct()), "feature", "left_semi")
+    return long.join(features.select("feature"), "feature", "left_semi")
 
 
 def name_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -28,9 +28,10 @@ def score_counts(df: DataFrame, label: str = "y", score: str = "score", by: list
 def score_curve(df: DataFrame, label: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Per distinct score as threshold: `p`, `q` (positives and negatives at it), `tp`, `fp` (at or
     above it), and the group's `p_all`, `q_all`."""
-    counts = score_counts(df, label, score, by).withColumn("q", F.col("n") - F.col("p"))
-    running = running_totals(counts, "score", {"p": "tp", "q": "fp"}, by=by, descending=True)
-    return running.withColumnsRenamed({"tp_total": "p_all", "fp_total": "q_all"}).drop("n")
+    # Kept, since ranges, totals and curve all read the counts; there is one row per distinct score.
+    counts = score_counts(df, label, score, by).withColumn("q", F.col("n") - F.col("p")).drop("n").persist()
+    curve = running_totals(counts, "score", {"tp": "p", "fp": "q"}, by=by, descending=True)
+    return curve.withColumnsRenamed({"tp_total": "p_all", "fp_total": "q_all"})
 
 
 def _rates(curve: DataFrame) -> DataFrame:
@@ -47,32 +48,33 @@ def _precision(curve: DataFrame) -> DataFrame:
     })
 
 
+def _with_extra(curve: DataFrame, by: list[str], point: dict[str, Column], extra: dict[str, Column], wanted: bool):
+    """The points, with one more point per group beside its highest threshold."""
+    here = F.struct(*[c.alias(n) for n, c in point.items()])
+    more = F.struct(*[extra[n].alias(n) for n in point])
+    # The highest threshold of a group has nothing above it.
+    highest = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("q"))
+    points = F.when(highest & F.lit(wanted), F.array(here, more)).otherwise(F.array(here))
+    return curve.select(*by, F.inline(points))
+
+
 def roc(
     df: DataFrame, label: str = "y", score: str = "score", by: list[str] | None = None, origin: bool = True
 ) -> DataFrame:
     """ROC points, all thresholds kept. `origin` adds the point (0, 0) at threshold infinity."""
-    by = by or []
-    curve = _rates(score_curve(df, label, score, by))
-    points = curve.select(*by, F.col("score").alias("threshold"), "tp", "fp", "fpr", "tpr")
-    if not origin:
-        return points
-    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    zero = [F.lit(0).cast("long").alias(c) for c in ("tp", "fp")] + [F.lit(0.0).alias(c) for c in ("fpr", "tpr")]
-    return points.unionByName(groups.select(*by, F.lit(float("inf")).alias("threshold"), *zero))
+    point = {"threshold": F.col("score"), **{c: F.col(c) for c in ("tp", "fp", "fpr", "tpr")}}
+    zero = F.lit(0).cast("long")
+    start = {"threshold": F.lit(float("inf")), "tp": zero, "fp": zero, "fpr": F.lit(0.0), "tpr": F.lit(0.0)}
+    return _with_extra(_rates(score_curve(df, label, score, by)), by or [], point, start, origin)
 
 
 def pr(
     df: DataFrame, label: str = "y", score: str = "score", by: list[str] | None = None, end: bool = True
 ) -> DataFrame:
     """Precision and recall per threshold. `end` adds the point (1, 0) without threshold."""
-    by = by or []
-    curve = _precision(score_curve(df, label, score, by))
-    points = curve.select(*by, F.col("score").alias("threshold"), "precision", "recall")
-    if not end:
-        return points
-    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    last = [F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")]
-    return points.unionByName(groups.select(*by, *last))
+    point = {"threshold": F.col("score"), "precision": F.col("precision"), "recall": F.col("recall")}
+    last = {"threshold": F.lit(None).cast("double"), "precision": F.lit(1.0), "recall": F.lit(0.0)}
+    return _with_extra(_precision(score_curve(df, label, score, by)), by or [], point, last, end)
 
 
 def _auc(curve: DataFrame, by: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from flagstone.plans.ordered import ranged, running
 
 
 def best_checkpoint(log: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -31,25 +33,21 @@ def early_stopping(
     """Rows up to the stop of each run, with `improved`, `counter`, `best_loss` and `stop`.
 
     The first loss is the best. An equal or lower loss improves and resets the counter; any other,
-    NaN too, raises it; the run stops when it reaches `patience`. A run is a few hundred epochs, so
-    one run per window partition is small however many runs there are.
+    NaN too, raises it; the run stops when it reaches `patience`. Very long runs are split into ranges
+    of epochs.
     """
-    order = Window.partitionBy(*run).orderBy(epoch)
     value = F.when(~F.isnan(loss), F.col(loss))
-    previous = F.min(value).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scored = (
-        log.withColumn("_place", F.row_number().over(order))
-        .withColumn("_previous", previous)
-        .withColumn("improved", (F.col("_place") == 1) | F.coalesce(value <= F.col("_previous"), F.lit(False)))
-        .withColumn("best_loss", F.min(value).over(upto))
-        .withColumn("_last", F.max(F.when(F.col("improved"), F.col("_place"))).over(upto))
-        .withColumn("counter", (F.col("_place") - F.col("_last")).cast("int"))
-        .withColumn("stop", F.col("counter") >= patience)
-        .withColumn("_stops", F.count_if("stop").over(upto))
-    )
-    cut = scored.filter((F.col("_stops") == 0) | ((F.col("_stops") == 1) & F.col("stop")))
-    return cut.drop("_place", "_previous", "_last", "_stops")
+    cut, split = ranged(log.withColumns({"_one": F.lit(1).cast("long"), "_value": value}), epoch)
+    best = running(cut, epoch, {"_place": ("sum", "_one"), "best_loss": ("min", "_value")}, run, split=split)
+    # A loss is at or below all earlier ones where it is the least so far.
+    improved = (F.col("_place") == 1) | F.coalesce(F.col("_value") == F.col("best_loss"), F.lit(False))
+    marked = best.withColumn("improved", improved).withColumn("_at", F.when(improved, F.col("_place")))
+    marked = running(marked, epoch, {"_last": ("max", "_at")}, run, split=split)
+    counted = marked.withColumn("counter", (F.col("_place") - F.col("_last")).cast("int"))
+    counted = counted.withColumn("stop", F.col("counter") >= patience)
+    ends = counted.filter("stop").groupBy(*run).agg(F.min("_place").alias("_end"))
+    kept = counted.join(ends, run, "left").filter("_end is null or _place <= _end")
+    return kept.select(*log.columns, "improved", "counter", "best_loss", "stop")
 
 
 def stop_points(log: DataFrame, patience: int = 7, run: list[str] = ["run"], epoch: str = "epoch",

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flagstone.functions.text import quoted
 from flagstone.plans.shared import bounded_rows, cut_lineage, measured
 
 # A window task gets about this many rows, unless that makes more than MAX_RANGES ranges.
@@ -32,47 +33,76 @@ def _ranges(df: DataFrame, key: Column, ranges: int, name: str = "_range") -> Da
     return cutter.transform(keyed).withColumn(name, F.col(name).cast("int")).drop("_key")
 
 
-def running_totals(
+def ranged(df: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, bool]:
+    """`df` with its ranges of `key`, and whether there is more than one. The rows are counted, and
+    a large table is scanned once more for the key alone; nothing is kept."""
+    ranges = min(MAX_RANGES, -(-df.count() // range_rows))
+    return (_ranges(df, F.col(key), ranges), True) if ranges > 1 else (df, False)
+
+
+COMBINE = {
+    "sum": (F.sum, lambda base, inside: F.coalesce(base, F.lit(0)) + F.coalesce(inside, F.lit(0))),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+}
+
+
+def running(
     df: DataFrame,
     key: str,
-    sums: dict[str, str],
+    wanted: dict[str, tuple[str, str]],
     by: list[str] | None = None,
     descending: bool = False,
-    ties: list[str] | None = None,
-    range_rows: int = RANGE_ROWS,
+    split: bool = True,
 ) -> DataFrame:
-    """Add, for each `{column: name}` of `sums`, `name` (sum up to and including this row in the
-    order of `key`) and `name_total` (sum of the group). Equal keys are ordered by `ties`."""
+    """Add, for each `{name: (function, column)}`, `name` (the `sum`, `min` or `max` up to and including
+    this row in the order of `key`) and `name_total` (that of the group).
+
+    `df` comes from `ranged`, with `split` as it says; keys are unique within a group.
+    """
     by = by or []
-    source = df.persist()
-    ranges = min(MAX_RANGES, -(-source.count() // range_rows))
-    cut = _ranges(source, F.col(key), ranges)
-    flip = -1 if descending else 1
-    totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{n}") for c, n in sums.items()])
+    columns = [c for c in df.columns if c not in wanted and c != "_range"]
+    order = F.col(key).desc() if descending else F.col(key).asc()
+    up_to_here = (Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy(*by)
+    if not split:
+        inside = group.orderBy(order).rowsBetween(*up_to_here)
+        found = [COMBINE[f][0](c).over(inside).alias(n) for n, (f, c) in wanted.items()]
+        whole = [COMBINE[f][0](c).over(group).alias(f"{n}_total") for n, (f, c) in wanted.items()]
+        return df.select(*[quoted(c) for c in columns], *found, *whole)
+    flip = -1 if descending else 1
+    parts = df.groupBy(*by, "_range").agg(*[COMBINE[f][0](c).alias(f"_{n}") for n, (f, c) in wanted.items()])
     before = group.orderBy(flip * F.col("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(
+    bases = parts.select(
         *[F.col(b).alias(f"_by_{b}") for b in by],
         F.col("_range").alias("_base_range"),
-        *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums.values()],
-        *[F.sum(f"_{n}").over(group).alias(f"{n}_total") for n in sums.values()],
+        *[COMBINE[f][0](f"_{n}").over(before).alias(f"_{n}") for n, (f, _) in wanted.items()],
+        *[COMBINE[f][0](f"_{n}").over(group).alias(f"{n}_total") for n, (f, _) in wanted.items()],
     )
     # Without groups the bases have at most MAX_RANGES rows; with groups their size is measured.
     bases = measured(bases) if by else F.broadcast(bases)
     same = F.col("_range") == F.col("_base_range")
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
-    joined = cut.join(bases, same)
-    order = [F.col(key).desc() if descending else F.col(key).asc(), *[F.col(t) for t in ties or []]]
-    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = [(F.sum(c).over(inside) + F.col(f"_{n}")).alias(n) for c, n in sums.items()]
-    return joined.select(*df.columns, *running, *[f"{n}_total" for n in sums.values()])
+    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(*up_to_here)
+    found = [COMBINE[f][1](F.col(f"_{n}"), COMBINE[f][0](c).over(inside)).alias(n) for n, (f, c) in wanted.items()]
+    return df.join(bases, same).select(
+        *[quoted(c) for c in columns], "_range", *found, *[f"{n}_total" for n in wanted]
+    )
+
+
+def running_totals(
+    df: DataFrame, key: str, sums: dict[str, str], by: list[str] | None = None, descending: bool = False,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """Running and whole sums `{name: column}` of a table."""
+    cut, split = ranged(df, key, range_rows)
+    return running(cut, key, {n: ("sum", c) for n, c in sums.items()}, by, descending, split).drop("_range")
 
 
 def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     """Add the 1-based position in the order of a unique numeric key, and `<name>_total`."""
-    one = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_totals(one, key, {"_one": name}).drop("_one")
+    return running_totals(df.withColumn("_one", F.lit(1).cast("long")), key, {name: "_one"}).drop("_one")
 
 
 def nth_value(df: DataFrame, n: int, order: Column, number: Column | None = None):

@@ -23,7 +23,7 @@ def brute_auc(rows):
 
 @pytest.mark.parametrize("range_rows", [1_000_000, 9])
 def test_auc_and_curves(spark, monkeypatch, range_rows):
-    monkeypatch.setattr(O.running_totals, "__defaults__", (None, False, None, range_rows))
+    monkeypatch.setattr(O.running_totals, "__defaults__", (None, False, range_rows))
     rows, df = scored(spark)
     assert M.auc(df).first().auc == pytest.approx(brute_auc(rows))
     by = {r.g: r.auc for r in M.auc(df, by=["g"]).collect()}

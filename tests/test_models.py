@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flagstone.operators import attribution as A, learn as L, metrics as M, runlog as R
+from flagstone.plans import ordered as O
 from flagstone.sources import events as E, runlog as RS
 
 CARD = {"tmxrc_a": 1.5, "tmxrc_b c": -2.0, "sumrc_d": 0.25}
@@ -107,8 +108,9 @@ def simulate(losses, patience):
     return out
 
 
-@pytest.mark.parametrize("patience", [1, 3])
-def test_early_stopping_like_a_loop(spark, patience):
+@pytest.mark.parametrize("patience, range_rows", [(1, 1_000_000), (3, 1_000_000), (3, 11)])
+def test_early_stopping_like_a_loop(spark, monkeypatch, patience, range_rows):
+    monkeypatch.setattr(O.ranged, "__defaults__", (range_rows,))
     rng = random.Random(6)
     runs = {r: [float(rng.randint(0, 6)) for _ in range(rng.randint(1, 20))] for r in range(40)}
     df = spark.createDataFrame([(r, e, v) for r, vs in runs.items() for e, v in enumerate(vs)], "run int, epoch int, eval_loss double")

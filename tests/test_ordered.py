@@ -16,7 +16,7 @@ def test_running_totals(spark, range_rows, descending):
     # One key is far out and one group holds most rows.
     rows = [(k, rng.choice("aaab"), rng.randint(0, 9)) for k in [*rng.sample(range(10_000), 400), 10**9]]
     df = spark.createDataFrame(rows, "k long, g string, v long")
-    found = O.running_totals(df, "k", {"v": "run"}, by=["g"], descending=descending, range_rows=range_rows).collect()
+    found = O.running_totals(df, "k", {"run": "v"}, by=["g"], descending=descending, range_rows=range_rows).collect()
     for g in "ab":
         total, want = 0, {}
         for k, _, v in sorted((r for r in rows if r[1] == g), reverse=descending):
@@ -28,7 +28,7 @@ def test_running_totals(spark, range_rows, descending):
 
 def test_positions_in_many_ranges(spark, monkeypatch):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("row_id"))
-    found = O.running_totals(df.withColumn("one", F.lit(1)), "row_id", {"one": "p"}, range_rows=50).collect()
+    found = O.running_totals(df.withColumn("one", F.lit(1)), "row_id", {"p": "one"}, range_rows=50).collect()
     assert all(r.p == r.row_id + 1 and r.p_total == 1000 for r in found)
 
 
