@@ -294,13 +294,13 @@ def _(spark, sf):
 
 @query("value_count_matrix", LONG_TOKENS + """
 SELECT CAST(value AS VARCHAR) AS value, """ + ", ".join(
-    f"""CAST(nullif(count(*) FILTER (feature = '{f}'), 0) AS BIGINT) AS "{f}" """ for f in FLAGS) + " FROM long GROUP BY 1")
+    f"""CAST(nullif(count(*) FILTER (feature = '{f}'), 0) AS BIGINT) AS "{f}" """ for f in FLAGS) + " FROM long WHERE value IS NOT NULL GROUP BY 1")
 def _(spark, sf):
     return C.value_counts(risk_events(spark, sf), FLAGS)
 
 
 @query("class_ratio_per_split", "WITH " + SPLIT_SQL + """
-SELECT split, round(CAST(count(*) FILTER (frd = 0) AS DOUBLE) / count(*) FILTER (frd = 1), 2) AS ratio FROM placed GROUP BY 1""")
+SELECT split, round_even(CAST(count(*) FILTER (frd = 0) AS DOUBLE) / count(*) FILTER (frd = 1), 2) AS ratio FROM placed GROUP BY 1""")
 def _(spark, sf):
     return C.class_ratio(S.fraud_split(risk_events(spark, sf)))
 

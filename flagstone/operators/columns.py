@@ -138,18 +138,18 @@ def policy_counts(df: DataFrame, by: list[str] = ["org_id", "frd"], counted: str
 
 
 def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """Matrix of counts: a row per value (null included), a column per feature; one pass."""
+    """Matrix of counts: a row per value (nulls are not counted), a column per feature; one pass."""
     long = df.select(*[quoted(c).cast("string").alias(c) for c in names]).unpivot(
         [], [quoted(c) for c in names], "feature", "value"
     )
-    counts = long.groupBy("value", "feature").count()
+    counts = long.filter("value is not null").groupBy("value", "feature").count()
     return counts.groupBy("value").pivot("feature", list(names)).sum("count")
 
 
 def class_ratio(df: DataFrame, by: str = "split", label: str = "frd") -> DataFrame:
-    """Non-fraud rows per fraud row, to two decimals; null without fraud."""
+    """Non-fraud rows per fraud row, to two decimals (half to even); null without fraud."""
     odds = F.try_divide(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1))
-    return df.groupBy(by).agg(F.round(odds, 2).alias("ratio"))
+    return df.groupBy(by).agg(F.bround(odds, 2).alias("ratio"))
 
 
 def shape(df: DataFrame) -> DataFrame:

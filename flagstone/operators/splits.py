@@ -96,22 +96,26 @@ def subset(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
 
 def fraud_split(
     df: DataFrame, key: str = "row_id", variable: bool = False, k: int = 5, by_time: bool = True,
-    extra: tuple[str, ...] | list[str] = (), train_fraction: float = 0.8, seed: int = 1,
+    extra: tuple[str, ...] | list[str] = (), train_fraction: float = 0.8, seed: int = 1, exact: bool = False,
 ) -> DataFrame:
     """Add `split`: `test` is the evaluation window, the rest is `train` or `val` by seeded hash.
 
     Returns key, predictors, `frd`, the other columns and `split`, with `frd` as a number. Without
-    `by_time` the test part is a random k-th.
+    `by_time` the test part is a random k-th. With `exact` the train part has exactly
+    `round(train_fraction * n)` rows (half to even) of the n that are not `test`.
     """
     numbered = df.withColumn("frd", F.col("frd").cast("int"))
     if by_time:
         held = with_eval(numbered, k)
     else:
         held = numbered.withColumn("eval", below(digest(key, seed), 1 / k, start=9))
-    split = (
-        F.when(F.col("eval"), "test")
-        .when(~F.col("eval"), F.when(below(digest(key, seed), train_fraction), "train").otherwise("val"))
-    )
+    mark = digest(key, seed)
+    train = below(mark, train_fraction)
+    if exact:
+        rest = held.filter(~F.col("eval"))
+        cut = nth_value(rest, round(train_fraction * rest.count()), mark, hex_number(mark, 1, 13))
+        train = F.lit(False) if cut is None else mark <= F.lit(cut)
+    split = F.when(F.col("eval"), "test").otherwise(F.when(train, "train").otherwise("val"))
     # A row with a null flag belongs to neither side.
     placed = held.filter(F.col("eval").isNotNull()).withColumn("split", split)
     inputs = predictors(df, variable, extra)

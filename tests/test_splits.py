@@ -51,6 +51,12 @@ def test_splits_are_disjoint_and_complete(spark):
     assert parts.select("row_id", "split").exceptAll(again.select("row_id", "split")).isEmpty()
 
 
+def test_exact_train_size(spark):
+    df = spark.range(103).select(F.col("id").alias("row_id"), F.lit("1").alias("frd"), (F.col("id") < 10).alias("eval"))
+    sizes = {r.split: r["count"] for r in S.fraud_split(df, exact=True).groupBy("split").count().collect()}
+    assert sizes == {"test": 10, "train": 74, "val": 19}
+
+
 def test_null_eval_is_on_neither_side(spark):
     df = spark.createDataFrame([(1, True, "1"), (2, False, "0"), (3, None, "0")], "row_id long, eval boolean, frd string")
     assert {r.row_id: r.split for r in S.fraud_split(df).collect()}[1] == "test"
