@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from flagstone.plans.shared import cut_lineage, hint_if_small
+from flagstone.plans.shared import SMALL_ROWS, cut_lineage, hint_if_small
+
+# Steps per round on a small graph, where the fixed cost of a round would dominate.
+HOPS = 4
 
 
 def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, include_start: bool = False) -> DataFrame:
@@ -13,19 +18,32 @@ def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, incl
     A start node is part of the result only when an edge leads to it, or with `include_start`.
     Each round joins only the newest nodes, and a visited set ends cycles. Both are counted: small
     ones are broadcast, so the edges are scanned but not shuffled; large ones are joined by shuffle.
-    The edges are read once per round: pass a stored table, not a long plan.
+    A small graph is broadcast itself and walked several steps per round. The edges are read once per
+    round: pass a stored table, not a long plan.
     """
     steps = edges.select(F.col(source).alias("node"), F.col(target).alias("_next"))
+    small = steps.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    hops = HOPS if small else 1
     frontier = cut_lineage(start.select("node").distinct())
     visited = frontier if include_start else frontier.limit(0)
     rows, rounds = frontier.count(), 0
     seen = rows if include_start else 0
     while rows:
-        found = steps.join(hint_if_small(frontier, rows), "node", "left_semi").select(F.col("_next").alias("node"))
-        fresh = found.join(hint_if_small(visited, seen), "node", "left_anti") if seen else found
-        frontier = cut_lineage(fresh.distinct())
-        rows, rounds = frontier.count(), rounds + 1
-        visited, seen = visited.unionByName(frontier), seen + rows
+        known, newest, levels = hint_if_small(visited, seen), frontier, []
+        for hop in range(1, hops + 1):
+            if small:
+                found = newest.join(F.broadcast(steps), "node")
+            else:
+                found = steps.join(hint_if_small(newest, rows), "node", "left_semi")
+            found = found.select(F.col("_next").alias("node"))
+            newest = (found.join(known, "node", "left_anti") if seen else found).distinct()
+            levels.append(newest.withColumn("_hop", F.lit(hop)))
+        reached = reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.min("_hop").alias("_hop"))
+        reached = cut_lineage(reached)
+        # Nodes first found by the last step are those whose own edges are still to follow.
+        frontier = reached.filter(F.col("_hop") == hops).select("node")
+        added, rows = reached.agg(F.count(F.lit(1)), F.count_if(F.col("_hop") == hops)).first()
+        visited, seen, rounds = visited.unionByName(reached.select("node")), seen + added, rounds + 1
         if rounds % 10 == 0:
             visited = cut_lineage(visited)
     return visited
