@@ -140,9 +140,9 @@ def _(spark, sf):
 
 @query("masked_training_rows", "WITH " + ENCODED + """,
 places AS (SELECT row_id, unnest(ids) AS x, unnest(range(10)) AS i, md5(row_id || '|9') AS d FROM encoded),
-draws AS (SELECT *, md5(d || '|' || i) AS h FROM places),
-numbers AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS b,
-  CAST('0x' || substr(h, 17, 8) AS BIGINT) AS c FROM draws),
+draws AS (SELECT *, substr(md5(d || '|' || (i // 4)), 1 + 8 * (i % 4), 8) AS g, md5(d || '|' || i || '|x') AS h FROM places),
+numbers AS (SELECT *, CAST('0x' || g AS BIGINT) AS a, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS b,
+  CAST('0x' || substr(h, 9, 8) AS BIGINT) AS c FROM draws),
 chosen AS (SELECT *, x >= 7 AND a < 644245094 AS hit FROM numbers)
 SELECT row_id, i, CAST(CASE WHEN NOT hit THEN x WHEN b < 3435973837 THEN 4 WHEN b < 3865470566 THEN c % 23 ELSE x END AS INTEGER) AS input_id,
   CAST(CASE WHEN hit THEN x ELSE -100 END AS INTEGER) AS label FROM chosen""")

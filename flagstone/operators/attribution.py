@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flagstone.functions.numbers import sigmoid
+from flagstone.functions.numbers import once, sigmoid
 from flagstone.functions.text import quoted
 from flagstone.plans.shared import bounded_rows
 
@@ -96,7 +96,8 @@ def decision_path(attributed: DataFrame, key: str = "row_id") -> DataFrame:
         return attributed.select(key, F.lit(0).alias("step"), F.lit("").alias("feature"),
                                  F.col("base").alias("phi"), F.col("base").alias("total")).limit(0)
     order = F.array(*[F.lit(r["place"]) for r in ranked])
-    phis = F.transform(order, lambda p: F.get("phis", p))
+    # Bound once per row, so that the array is not made again for each of its elements.
+    phis = once(F.col("phis"), lambda all_phis: F.transform(order, lambda p: F.get(all_phis, p)))
     totals = F.aggregate(
         phis,
         F.array("base"),

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from flagstone.functions.numbers import minus_days, whole_days
 from flagstone.functions.text import quoted
 from flagstone.operators.columns import predictors
-from flagstone.plans.hashing import below, digest, hex_number
-from flagstone.plans.ordered import nth_value
+from flagstone.plans.hashing import below, digest
+from flagstone.plans.ordered import nth_digest
 from flagstone.plans.shared import measured
 
 
@@ -59,7 +59,7 @@ def hash_split(
     if not exact:
         return df.withColumn(name, below(mark, fraction))
     size = math.ceil(round(fraction * df.count(), 9))
-    cut = nth_value(df, size, mark, hex_number(mark, 1, 13))
+    cut = nth_digest(df, size, mark)
     return df.withColumn(name, F.lit(False) if cut is None else mark <= F.lit(cut))
 
 
@@ -79,7 +79,7 @@ def stratified(df: DataFrame, by: str, fractions: dict, key: str, seed: int, exa
         keep = F.lit(False)
         for value, fraction in fractions.items():
             group = df.filter(F.col(by) == value)
-            cut = nth_value(group, round(fraction * sizes.get(value, 0)), mark, hex_number(mark, 1, 13))
+            cut = nth_digest(group, round(fraction * sizes.get(value, 0)), mark)
             if cut is not None:
                 keep = keep | ((F.col(by) == value) & (mark <= F.lit(cut)))
         return df.filter(keep)
@@ -113,7 +113,7 @@ def fraud_split(
     train = below(mark, train_fraction)
     if exact:
         rest = held.filter(~F.col("eval"))
-        cut = nth_value(rest, round(train_fraction * rest.count()), mark, hex_number(mark, 1, 13))
+        cut = nth_digest(rest, round(train_fraction * rest.count()), mark)
         train = F.lit(False) if cut is None else mark <= F.lit(cut)
     split = F.when(F.col("eval"), "test").otherwise(F.when(train, "train").otherwise("val"))
     # A row with a null flag belongs to neither side.

@@ -136,7 +136,8 @@ def mask_tokens(
     """Random masking for masked-token training: `input_ids` are masked, `labels` hold the hidden ids.
 
     A position is chosen with `rate`, never on a special token. Of the chosen 80 % become `[MASK]`,
-    10 % a random id, 10 % stay. One md5 per position gives all three draws.
+    10 % a random id, 10 % stay. One md5 gives the first draw of four positions; only chosen positions
+    need one of their own.
     """
     ignored = F.lit(IGNORED_LABEL)
 
@@ -144,18 +145,22 @@ def mask_tokens(
         return F.struct(masked.alias("id"), label.alias("label"))
 
     def drawn(x: Column, h: Column) -> Column:
-        replaced = F.when(below(h, 0.8, 9), F.lit(vocab["[MASK]"])).when(
-            below(h, 0.9, 9), (hex_number(h, 17) % F.lit(len(vocab))).cast("int")
+        replaced = F.when(below(h, 0.8), F.lit(vocab["[MASK]"])).when(
+            below(h, 0.9), (hex_number(h, 9) % F.lit(len(vocab))).cast("int")
         )
-        return F.when(below(h, rate), pair(replaced.otherwise(x), x)).otherwise(pair(x, ignored))
+        return pair(replaced.otherwise(x), x)
 
-    def place(x: Column, i: Column) -> Column:
+    def place(draws: Column, x: Column, i: Column) -> Column:
         special = x.isin(*[vocab[t] for t in SPECIAL_TOKENS])
-        return F.when(special, pair(x, ignored)).otherwise(
-            once(F.md5(F.concat_ws("|", F.col("_digest"), i.cast("string"))), lambda h: drawn(x, h))
-        )
-
-    drawn_pairs = df.withColumn("_digest", digest(key, seed)).withColumn("_pairs", F.transform(F.col(ids), place))
+        chosen = ~special & below(F.substring(draws, i * 8 + 1, F.lit(8)), rate)
+        own = F.md5(F.concat_ws("|", F.col("_digest"), i.cast("string"), F.lit("x")))
+        return F.when(chosen, once(own, lambda h: drawn(x, h))).otherwise(pair(x, ignored))
+
+    blocks = F.sequence(F.lit(0), F.floor(F.size(ids) / 4).cast("int"))
+    parts = F.transform(blocks, lambda b: F.md5(F.concat_ws("|", F.col("_digest"), b.cast("string"))))
+    # The draws are bound once per row; as a plain column they would be made again per position.
+    pairs = once(F.array_join(parts, ""), lambda draws: F.transform(F.col(ids), lambda x, i: place(draws, x, i)))
+    drawn_pairs = df.withColumn("_digest", digest(key, seed)).withColumn("_pairs", pairs)
     return drawn_pairs.withColumns({"labels": F.col("_pairs.label"), ids: F.col("_pairs.id")}).drop("_digest", "_pairs")
 
 

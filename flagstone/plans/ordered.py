@@ -105,34 +105,47 @@ def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     return running_totals(df.withColumn("_one", F.lit(1).cast("long")), key, {name: "_one"}).drop("_one")
 
 
-def nth_value(df: DataFrame, n: int, order: Column, number: Column | None = None):
-    """The n-th smallest (from 1) value of a unique `order`.
+def nth_value(df: DataFrame, n: int, order: Column):
+    """The n-th smallest (from 1) value of a unique numeric `order`.
 
-    `number` is a numeric column that never falls as `order` rises (`order` itself by default).
-    Each round keeps one of about a thousand ranges, so a few narrow scans leave a set small
-    enough to sort; the table itself is never shuffled.
+    Each round keeps one of about a thousand ranges, so a few narrow scans leave a set small enough
+    to sort; the table itself is never shuffled.
     """
-    if n < 1:
-        return None
-    rest = df.select(order.alias("_order"), (order if number is None else number).cast("double").alias("_number"))
+    rest = df.select(order.alias("_order"))
     rows = rest.count()
+    if not 1 <= n <= rows:
+        return None
     while rows > SORT_ROWS:
-        cut = _ranges(rest, F.col("_number"), SEARCH_RANGES)
-        seen, chosen = 0, None
-        for row in sorted(bounded_rows(cut.groupBy("_range").count(), SEARCH_RANGES + 1)):
-            if seen + row["count"] >= n:
-                chosen = row
-                break
-            seen += row["count"]
-        if chosen is None:
-            return None
-        if chosen["count"] == rows:
+        cut = _ranges(rest, F.col("_order"), SEARCH_RANGES)
+        chosen, n, found = _part_with(cut.groupBy("_range").count(), n, SEARCH_RANGES)
+        if found == rows:
             break
         # Every round filters the source again; nothing is kept between rounds.
-        rest = cut.filter(F.col("_range") == chosen["_range"]).drop("_range")
-        n, rows = n - seen, chosen["count"]
-    found = rest.orderBy("_order").offset(n - 1).limit(1).collect()
-    return found[0]["_order"] if found else None
+        rest, rows = cut.filter(F.col("_range") == chosen).drop("_range"), found
+    return rest.orderBy("_order").offset(n - 1).limit(1).first()["_order"]
+
+
+def nth_digest(df: DataFrame, n: int, order: Column) -> str | None:
+    """The same for hex digests. Three more digits per round make 4096 parts of equal size."""
+    rest, width = df.select(order.alias("_order")), 0
+    rows = None
+    while rows is None or rows > SORT_ROWS:
+        width += 3
+        parts = rest.groupBy(F.substring("_order", 1, width).alias("_part")).count()
+        chosen, n, rows = _part_with(parts, n, 16**3)
+        if chosen is None:
+            return None
+        rest = rest.filter(F.substring("_order", 1, width) == chosen)
+    return rest.orderBy("_order").offset(n - 1).limit(1).first()["_order"]
+
+
+def _part_with(counts: DataFrame, n: int, most: int) -> tuple:
+    """Of `(part, count)` rows: the part that holds the n-th row, its place in it, and its size."""
+    for part, count in sorted(bounded_rows(counts, most)):
+        if 1 <= n <= count:
+            return part, n, count
+        n -= count
+    return None, 0, 0
 
 
 def dense_positions(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Helpers for global order, forced into many small ranges."""
 
+import hashlib
 import random
 
 import pytest
@@ -42,6 +43,14 @@ def test_nth_value_narrows(spark, monkeypatch):
     assert O.nth_value(df, 0, F.col("v")) is None
 
 
+def test_nth_digest_narrows(spark, monkeypatch):
+    monkeypatch.setattr(O, "SORT_ROWS", 2)
+    marks = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(500))
+    df = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("m"))
+    assert [O.nth_digest(df, n, F.col("m")) for n in (1, 250, 500)] == [marks[0], marks[249], marks[499]]
+    assert O.nth_digest(df, 501, F.col("m")) is None and O.nth_digest(df, 0, F.col("m")) is None
+
+
 def test_dense_positions_of_text(spark):
     names = [f"{i:05d}/~" for i in range(300)]
     df = spark.createDataFrame([(n,) for n in random.Random(1).sample(names, 300)], "k string")
