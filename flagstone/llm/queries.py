@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flagstone.llm.exact_dedup import exact_groups
+from flagstone.llm.minhash import near_duplicates
+from flagstone.llm.warc import archive_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +36,20 @@ SELECT d.doc_id, g.keep_id, g.n AS group_size, d.doc_id = g.keep_id AS kept, sha
 FROM d JOIN g USING (norm)""")
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(table(spark, sf, "documents"))
+
+
+@query("op6_minhash_near_dedup")
+def op6_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"), width=3, percent=85)
+
+
+@query("op9_warc_bundles", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     q AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS d, sha256(h) AS k FROM p),
+     m AS (SELECT *, max(page_id) OVER (PARTITION BY k) AS top FROM q)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m""")
+def op9_warc_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_report(spark, table(spark, sf, "pages"))
