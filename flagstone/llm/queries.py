@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flagstone.llm.exact_dedup import exact_groups
 from flagstone.llm.minhash import near_duplicates
+from flagstone.llm.packing import packed_digest
 from flagstone.llm.warc import archive_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer's file, installed alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op5_exact_dedup", r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
@@ -53,3 +61,8 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM m""")
 def op9_warc_bundles(spark: SparkSession, sf: str) -> DataFrame:
     return archive_report(spark, table(spark, sf, "pages"))
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_digest(table(spark, sf, "documents"), tokenizer_file())
