@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flagstone.llm.exact_dedup import exact_groups
+from flagstone.llm.lm import held_out_by_key, score_documents
 from flagstone.llm.minhash import near_duplicates
 from flagstone.llm.packing import packed_digest
 from flagstone.llm.warc import archive_report
@@ -66,3 +67,8 @@ def op9_warc_bundles(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed_digest(table(spark, sf, "documents"), tokenizer_file())
+
+
+@query("op1_ppm_scoring")
+def op1_ppm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return score_documents(table(spark, sf, "documents"), held_out_by_key())
