@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -93,3 +94,25 @@ def shingles(text: bytes, width: int) -> np.ndarray:
 
 def record_batch(names: Iterable[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=list(names))
+
+
+def groups_of(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows that follow each other with the same first `keys` columns, group by group, from a sorted partition."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, dtype=bool)
+        for i in range(keys):
+            change |= pc.not_equal(batch.column(i)[1:], batch.column(i)[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(change) + 1), batch.num_rows]
+        if held and any(held[-1].column(i)[0] != batch.column(i)[0] for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts, cuts[1:]):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)

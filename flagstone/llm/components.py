@@ -76,3 +76,12 @@ def components(edges: DataFrame) -> DataFrame:
         moved = hook.join(later, "parent", "left").select("node", F.coalesce("later", "parent").alias("root"))
         found = moved.unionByName(found)
     return stored(found, "components")
+
+
+def smallest_keys(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """`(node, component)`: the smallest `first` of all classes `(node, first)` in a node's component."""
+    labelled = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = (
+        labelled.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
+    )
+    return labelled.join(least, "root", "left").select("node", F.coalesce("least", "first").alias("component"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from flagstone.llm.common import MIX, mixed, partitions, shingles, spread, stored, texts
-from flagstone.llm.components import Forest, components
+from flagstone.llm.components import Forest, components, smallest_keys
 
 # Members of a block when all pairs of an unsettled bucket are compared.
 BLOCK = 256
@@ -230,10 +230,7 @@ def near_duplicates(
     more = stored(_linked_in_blocks(open_members, sets, percent), "more-links")
     if not more.isEmpty():
         roots = components(links.union(more))
-    labelled = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tops = roots.select("root").distinct()
-    least = labelled.join(tops, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
-    found = labelled.join(least, "root", "left").select("node", F.coalesce("least", "first").alias("component"))
+    found = smallest_keys(classes, roots)
     out = narrow.select("doc_id", "n_shingles", "node").join(stored(found, "found"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select(

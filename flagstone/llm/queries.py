@@ -10,6 +10,7 @@ from flagstone.llm.exact_dedup import exact_groups
 from flagstone.llm.lm import held_out_by_key, score_documents
 from flagstone.llm.minhash import near_duplicates
 from flagstone.llm.packing import packed_digest
+from flagstone.llm.pivots import near_vectors
 from flagstone.llm.warc import archive_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,8 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_ppm_scoring")
 def op1_ppm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return score_documents(table(spark, sf, "documents"), held_out_by_key())
+
+
+@query("op3_pivot_permutation")
+def op3_pivot_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"))
