@@ -74,7 +74,8 @@ def components(edges: DataFrame) -> DataFrame:
     for hook in reversed(hooks[:-1]):
         later = found.toDF("parent", "later")
         moved = hook.join(later, "parent", "left").select("node", F.coalesce("later", "parent").alias("root"))
-        found = moved.unionByName(found)
+        # A node that other nodes pointed to may come back in a later round; its root is the same.
+        found = moved.unionByName(found).distinct()
     return stored(found, "components")
 
 

@@ -2,8 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
-from flagstone.llm.components import components
+from flagstone.llm.components import Forest, components
 from flagstone.llm.minhash import Sketcher, near_duplicates
 from flagstone.llm.queries import QUERIES
 
@@ -35,7 +36,9 @@ def brute(rows, width, percent):
 
 
 def found(df):
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()}
+    rows = df.collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
 
 
 def test_sketch_coordinates_agree_with_the_probability_of_the_similarity():
@@ -99,5 +102,16 @@ def test_components_of_long_chains(spark):
     random.Random(2).shuffle(order)
     edges = [(order[i], order[i + 1]) for i in range(299)] + [(1000, 1001), (1001, 1002), (7, 7), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
-    got = {r.node: r.root for r in components(df).collect()}
-    assert got == {**{i: 0 for i in range(1, 300)}, 1001: 1000, 1002: 1000}
+    got = sorted((r.node, r.root) for r in components(df).collect())
+    assert got == [*((i, 0) for i in range(1, 300)), (1001, 1000), (1002, 1000)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    rng, held = random.Random(seed), Forest()
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    for a, b in edges:
+        held.join(a, b)
+    nodes = {n for e in edges for n in e if held.root(n) != n}
+    got = sorted((r.node, r.root) for r in components(spark.createDataFrame(edges, "a int, b int").repartition(9)).collect())
+    assert got == sorted((n, held.root(n)) for n in nodes)
