@@ -11,6 +11,7 @@ from flagstone.llm.lm import held_out_by_key, score_documents
 from flagstone.llm.minhash import near_duplicates
 from flagstone.llm.packing import packed_digest
 from flagstone.llm.pivots import near_vectors
+from flagstone.llm.templates import extract_pages
 from flagstone.llm.warc import archive_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,8 @@ def op1_ppm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_pivot_permutation")
 def op3_pivot_permutation(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op8_template_extraction")
+def op8_template_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_pages(table(spark, sf, "pages"))
