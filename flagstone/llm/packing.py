@@ -13,6 +13,7 @@ largest first, as many as its tokens need at least, and sweeps begin again.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -21,40 +22,92 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flagstone.llm.common import partitions, spread, stored, texts
 
-# Distinct words whose ids a worker remembers.
+# Distinct words whose ids a worker remembers, in each of two generations.
 KNOWN_WORDS = 250_000
-_KNOWN: dict[str, tuple] = {}
+# ASCII marks that are tokens of their own behind a word.
+TAIL = b",.;:!?*%#&$|)]}\""
+_ENCODERS: dict[str, "Encoder"] = {}
 
 
-def _encoder(path: str):
-    """The tokenizer of a file and the ids of words that this worker has met."""
-    if path not in _KNOWN:
+class Encoder:
+    """Ids of texts, word by word; each distinct word is encoded once while it is remembered.
+
+    The tokenizer must drop white space before it looks for tokens and not look at a word's neighbours, as
+    `word_bpe_49k.json` does: no token then crosses ASCII white space, and a text's ids are those of its words in order.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _KNOWN[path] = Tokenizer.from_file(path), {}
-    return _KNOWN[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only, many in one call: a token with the word-end suffix ends each."""
+        joined = b" ".join(words).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):  # a letter that is no letter in lower case, say
+            return self._one_by_one(words)
+        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Remember the ids of `words`, of which none is in the young generation."""
+        if len(self.young) + len(words) > KNOWN_WORDS:
+            self.old, self.young = self.young, {}
+        letters, tails, other = set(), {}, []
+        for w in words:
+            if w in self.old:
+                self.young[w] = self.old[w]
+                continue
+            body = w.rstrip(TAIL)
+            if body and body.decode("utf-8", "replace").isalpha() and b"\xef\xbf\xbd" not in body:
+                if body is not w and len(body) < len(w):
+                    tails[w] = body
+                if body not in self.young:
+                    if body in self.old:
+                        self.young[body] = self.old[body]
+                    else:
+                        letters.add(body)
+            else:
+                other.append(w)
+        marks = {w[len(body):] for w, body in tails.items()} - self.young.keys()
+        other += marks.difference(other)
+        for make, some in ((self._letters, list(letters)), (self._one_by_one, other)):
+            for i in range(0, len(some), 5000):
+                self.young.update(zip(some[i:i + 5000], make(some[i:i + 5000])))
+        for w, body in tails.items():
+            self.young[w] = self.young[body] + self.young[w[len(body):]]
+
+    def __call__(self, batch: list[bytes]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        words = [text.split() for text in batch]
+        wanted = set().union(*words)
+        if new := wanted.difference(self.young):
+            self._learn(new)
+            if missing := wanted.difference(self.young):  # a new generation has begun
+                self._learn(missing)
+        return [b"".join(map(self.young.__getitem__, w)) for w in words]
 
 
 def encode_texts(path: str, batch: list[bytes]) -> list[bytes]:
-    """The ids of each text, as little-endian 32-bit numbers.
-
-    The tokenizer must drop white space before it looks for tokens, as `word_bpe_49k.json` does: no token then crosses
-    ASCII white space, and a text's ids are those of its words in order. Each distinct word is encoded once.
-    """
-    tokenizer, known = _encoder(path)
-    words = [text.split() for text in batch]
-    new = set().union(*words).difference(known)
-    if len(known) + len(new) > KNOWN_WORDS:
-        known.clear()
-        new = set().union(*words)
-    if new:
-        new = list(new)
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            for word, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[word] = np.array(e.ids, dtype="<u4").tobytes()
-    return [b"".join(map(known.__getitem__, w)) for w in words]
+    """The ids of each text by the tokenizer of a file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path](batch)
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
