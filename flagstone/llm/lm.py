@@ -28,15 +28,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from flagstone.llm.common import pack, partitions, stored, texts, unpack
 
-ORDER = 6
+ORDER = 5
 END = 256
 SYMBOLS = 257
 # Text bytes of a block, and those worked on at a time.
 BLOCK_BYTES = 16_000_000
 STEP_BYTES = 2_000_000
-# A key holds the context, nearest byte first, and then the symbol in 9 bits.
+# A key holds the context, nearest byte first, and then the symbol in 9 bits; OWNER_BITS are left for a text's number.
 SYMBOL_BITS = 9
 TOP = SYMBOL_BITS + 8 * ORDER
+OWNER_BITS = 64 - TOP
 BLOCK_SCHEMA = "block string, shard int, kind string, a long, b long, data binary"
 
 
@@ -136,14 +137,17 @@ class Block:
         for shard in np.unique(own):
             mine = own == shard
             yield "keys", int(shard), int(mine.sum()), 0, pack_sorted(keys[mine]) + pack(counts[mine].astype("<i8"))
-        words = sorted(set(self.words) | set(self.known))
-        number = np.fromiter((xxhash.xxh3_64_intdigest(w) % self.shards for w in words), np.int64, len(words))
-        names = np.empty(len(words), dtype=object)
-        names[:] = words
-        for shard in np.unique(number):
-            mine = names[number == shard]
-            n = np.fromiter((self.known[w] for w in mine), np.int64, len(mine))
-            yield "words", int(shard), len(mine), 0, pack(n.astype("<i8")) + b"\n" + b" ".join(mine)
+        for shard, words in by_shard(set(self.words) | set(self.known), self.shards):
+            n = np.fromiter((self.known[w] for w in words), "<i8", len(words))
+            yield "words", shard, len(words), 0, pack(n) + zlib.compress(b" ".join(words), 1)
+
+
+def by_shard(words: set[bytes], shards: int) -> list[tuple[int, list[bytes]]]:
+    """Words by shard, in order: the same lists from the same words."""
+    dealt: dict[int, list[bytes]] = {}
+    for w in sorted(words):
+        dealt.setdefault(xxhash.xxh3_64_intdigest(w) % shards, []).append(w)
+    return sorted(dealt.items())
 
 
 def _frame(rows, block: str) -> pa.RecordBatch:
@@ -273,7 +277,7 @@ def _read_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _read_words(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     counts, rest = _split(blob)
-    return np.frombuffer(counts, dtype="<i8"), rest[1:].split(b" ")
+    return np.frombuffer(counts, dtype="<i8"), zlib.decompress(rest).split(b" ")
 
 
 def answer_keys(blocks: DataFrame, first: np.ndarray, zero: np.ndarray) -> DataFrame:
@@ -291,15 +295,15 @@ def answer_keys(blocks: DataFrame, first: np.ndarray, zero: np.ndarray) -> DataF
 
 
 def answer_words(blocks: DataFrame) -> DataFrame:
-    """Per block and shard: the block's words and their training counts; `a` and `b` of one row per shard are the
-    shard's distinct words and all its words in training texts."""
+    """Per block and shard: the training counts of the block's words, in their order; `a` and `b` of one row per shard are
+    the shard's distinct words and all its words in training texts."""
     def run(table: pa.Table) -> pa.Table:
         asked = [_read_words(x.as_py()) for x in table.column("data")]
         total = {}
         for counts, words in asked:
             for w, n in zip(words, counts.tolist()):
                 total[w] = total.get(w, 0) + n
-        data = [pack(np.fromiter(map(total.__getitem__, words), "<i8", len(words))) + b"\n" + b" ".join(words) for _, words in asked]
+        data = [pack(np.fromiter(map(total.__getitem__, words), "<i8", len(words))) for _, words in asked]
         a, b = [0] * len(data), [0] * len(data)
         a[0], b[0] = sum(n > 0 for n in total.values()), sum(total.values())
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "kind": table.column("kind"),
@@ -329,44 +333,51 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
     answers = answer_keys(blocks, first, zero).unionByName(words).unionByName(blocks.filter("kind = 'texts'"))
 
     def run(table: pa.Table) -> pa.Table:
-        keys, scores, known, batches = [], [], {}, None
-        for what, blob in zip(table.column("kind").to_pylist(), table.column("data")):
+        keys, scores, counts, batches = [], [], {}, None
+        for what, shard, blob in zip(table.column("kind").to_pylist(), table.column("shard").to_pylist(), table.column("data")):
             blob = blob.as_py()
             if what == "keys":
                 planes, rest = _split(blob)
                 keys.append(sorted_from(planes))
                 scores.append(np.frombuffer(rest, dtype="<f4"))
             elif what == "words":
-                counts, names = _read_words(blob)
-                known.update(zip(names, counts.tolist()))
+                counts[shard] = unpack(blob, "<i8").tolist()
             else:
                 batches = pa.ipc.open_stream(blob).read_all()
         keys, scores = np.concatenate(keys), np.concatenate(scores)
         order = np.argsort(keys, kind="stable")
         keys, scores = keys[order], scores[order].astype(np.float64)
+        split = [t.lower().split() for chunk in batches.column("text").chunks for t in texts(chunk)]
+        known = {}
+        for shard, words in by_shard(set().union(*split), shards):
+            known.update(zip(words, counts[shard]))
         n = batches.num_rows
         out = {c: np.zeros(n) for c in ("base", "score")} | {c: np.zeros(n, np.int64) for c in ("tokens", "known", "bytes")}
         parts, owners, held = [], [], 0
 
         def score_parts():
-            wanted, sizes = keys_of(parts)
-            sums_here = np.add.reduceat(scores[np.searchsorted(keys, wanted)], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            # A segment without symbols cannot occur: the last one has the end.
-            np.add.at(out["score"], owners, sums_here)
+            """Sort (key, owner), look each distinct key up once, and add up by owner."""
+            found, sizes = keys_of(parts)
+            found = np.sort((found << np.uint64(OWNER_BITS)) | np.repeat(np.arange(len(parts), dtype=np.uint64), sizes))
+            whose = (found & np.uint64((1 << OWNER_BITS) - 1)).astype(np.int64)
+            found >>= np.uint64(OWNER_BITS)
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            each = np.repeat(scores[np.searchsorted(keys, found[first])], np.diff(np.append(first, len(found))))
+            np.add.at(out["score"], owners, np.bincount(whose, each, len(parts)))
 
         i = 0
         for chunk in batches.column("text").chunks:
             for t in texts(chunk):
-                found = np.fromiter(map(known.__getitem__, t.lower().split()), np.int64)
-                out["tokens"][i] = len(found) + 1
-                out["known"][i] = (found > 0).sum() + (ends > 0)
-                out["base"][i] = np.log10(found + 0.1).sum() - len(found) * below + end_score
+                seen = np.fromiter(map(known.__getitem__, split[i]), np.int64, len(split[i]))
+                out["tokens"][i] = len(seen) + 1
+                out["known"][i] = (seen > 0).sum() + (ends > 0)
+                out["base"][i] = np.log10(seen + 0.1).sum() - len(seen) * below + end_score
                 out["bytes"][i] = len(t)
                 for part in segments(t):
                     parts.append(part)
                     owners.append(i)
                     held += len(part[1]) + ORDER
-                    if held >= STEP_BYTES:
+                    if held >= STEP_BYTES or len(parts) + 1 >> OWNER_BITS:
                         score_parts()
                         parts, owners, held = [], [], 0
                 i += 1
