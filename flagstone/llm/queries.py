@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flagstone.llm.exact_dedup import exact_groups
 from flagstone.llm.lm import held_out_by_key, score_documents
 from flagstone.llm.minhash import near_duplicates
 from flagstone.llm.packing import packed_digest
 from flagstone.llm.pivots import near_vectors
+from flagstone.llm.quality import score_quality
 from flagstone.llm.templates import extract_pages
+from flagstone.llm.toxicity import score_toxicity
 from flagstone.llm.warc import archive_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +86,15 @@ def op3_pivot_permutation(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_template_extraction")
 def op8_template_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extract_pages(table(spark, sf, "pages"))
+
+
+@query("op7_quality_co_training")
+def op7_quality_co_training(spark: SparkSession, sf: str) -> DataFrame:
+    return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op10_toxicity_chain")
+def op10_toxicity_chain(spark: SparkSession, sf: str) -> DataFrame:
+    # The labelled categories that the tables have: poor text, then toxic text.
+    labels = table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
+    return score_toxicity(table(spark, sf, "documents"), labels, ["poor", "toxic"])
