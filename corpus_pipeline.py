@@ -1,11 +1,28 @@
-"""The corpus pipeline: stages over the documents table, each a step of one operator of flagstone.llm."""
+"""The corpus pipeline: stages over the documents table, each a step of one operator of flagstone.llm.
+
+Each stage takes the documents that its predecessor kept, decides over all of them, and returns the rows it keeps with
+the columns of `documents`; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flagstone.llm.common import stored, without
 from flagstone.llm.exact_dedup import exact_groups
+from flagstone.llm.minhash import near_duplicates
+from flagstone.llm.mixing import apply_copies, mix
+from flagstone.llm.packing import packed_digest
+from flagstone.llm.quality import score_quality
+from flagstone.llm.queries import domain_labels, table, tokenizer_file
+
+# Wanted shares of tokens. Poor documents are gone by then, so domains are toxic and other texts.
+MIXTURE = {"plain": 0.99, "toxic": 0.01}
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return without(docs, score_quality(docs, table(spark, sf_dir, "labels")).filter("not kept"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +30,37 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, exact_groups(docs).filter("not kept"))
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    return without(docs, near_duplicates(docs).filter("not kept"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay as often as their rate says; no more tokens are taken than need no repetition."""
+    domain = F.when(F.col("domain") == "toxic", "toxic").when(F.col("domain").isNotNull(), "plain")
+    labels = domain_labels(spark, sf_dir).withColumn("domain", domain)
+    return apply_copies(docs, mix(docs, labels, MIXTURE))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their places in sequences of 2048 tokens."""
+    return packed_digest(docs, tokenizer_file())
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
 
-# The stages train models and pack by search: tests compare them with brute force.
+# Trained models and a tokenizer cannot be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

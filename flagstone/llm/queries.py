@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flagstone.llm.exact_dedup import exact_groups
 from flagstone.llm.lm import held_out_by_key, score_documents
 from flagstone.llm.minhash import near_duplicates
+from flagstone.llm.mixing import mix
 from flagstone.llm.packing import packed_digest
 from flagstone.llm.pivots import near_vectors
 from flagstone.llm.quality import score_quality
@@ -98,3 +99,18 @@ def op10_toxicity_chain(spark: SparkSession, sf: str) -> DataFrame:
     # The labelled categories that the tables have: poor text, then toxic text.
     labels = table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
     return score_toxicity(table(spark, sf, "documents"), labels, ["poor", "toxic"])
+
+
+# Wanted shares of tokens by labelled domain.
+MIXTURE = {"plain": 0.9, "poor": 0.08, "toxic": 0.02}
+
+
+def domain_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled table as domains: toxic texts, poor texts, and plain ones."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "plain")
+    return table(spark, sf, "labels").select("doc_id", domain.alias("domain"))
+
+
+@query("op2_source_mixing")
+def op2_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"), domain_labels(spark, sf), MIXTURE)
