@@ -41,10 +41,10 @@ OWNER_BITS = 64 - TOP
 BLOCK_SCHEMA = "block string, shard int, kind string, a long, b long, data binary"
 
 
-def segments(text: bytes):
+def segments(text: bytes, step: int):
     """`(context, bytes, last)`: a text in steps, with the bytes before each."""
-    for at in range(0, max(1, len(text)), STEP_BYTES):
-        yield text[max(0, at - ORDER):at].rjust(ORDER, b"\0"), text[at:at + STEP_BYTES], at + STEP_BYTES >= len(text)
+    for at in range(0, max(1, len(text)), step):
+        yield text[max(0, at - ORDER):at].rjust(ORDER, b"\0"), text[at:at + step], at + step >= len(text)
 
 
 def keys_of(parts: list[tuple[bytes, bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +94,8 @@ def sorted_from(planes: bytes) -> np.ndarray:
 class Block:
     """Texts of a task, gathered until they make a block."""
 
-    def __init__(self, shards: int):
-        self.name, self.shards = uuid.uuid4().hex, shards
+    def __init__(self, shards: int, step: int):
+        self.name, self.shards, self.step = uuid.uuid4().hex, shards, step
         self.keys, self.counts, self.parts = [], [], []
         self.words, self.known, self.batches = Counter(), Counter(), []
         self.bytes = self.held = 0
@@ -104,10 +104,10 @@ class Block:
         """Rows `(doc_id, held_out, text)`."""
         self.batches.append(batch)
         for held_out, text in zip(batch.column(1).to_pylist(), texts(batch.column(2))):
-            for part in segments(text):
+            for part in segments(text, self.step):
                 self.parts.append((part, held_out))
                 self.held += len(part[1]) + ORDER
-                if self.held >= STEP_BYTES:
+                if self.held >= self.step:
                     self._count()
             (self.words if held_out else self.known).update(text.lower().split())
             self.bytes += len(text) + ORDER
@@ -157,20 +157,20 @@ def _frame(rows, block: str) -> pa.RecordBatch:
          pa.array(b, pa.int64()), pa.array(data, pa.binary())], names=["block", "shard", "kind", "a", "b", "data"])
 
 
-def make_blocks(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
+def make_blocks(docs: DataFrame, shards: int, block_bytes: int, step: int) -> DataFrame:
     def run(batches):
-        block = Block(shards)
+        block = Block(shards, step)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
-            step = np.cumsum(sizes) // block_bytes
-            for at in range(batch.num_rows and int(step[-1]) + 1):  # an Arrow batch may hold more than a block
-                rows = np.flatnonzero(step == at)
+            place = np.cumsum(sizes) // block_bytes
+            for at in range(batch.num_rows and int(place[-1]) + 1):  # an Arrow batch may hold more than a block
+                rows = np.flatnonzero(place == at)
                 if not len(rows):
                     continue
                 block.add(batch.slice(int(rows[0]), len(rows)))
                 if block.bytes >= block_bytes:
                     yield _frame(block.rows(), block.name)
-                    block = Block(shards)
+                    block = Block(shards, step)
         if block.batches:
             yield _frame(block.rows(), block.name)
 
@@ -312,7 +312,7 @@ def answer_words(blocks: DataFrame) -> DataFrame:
     return blocks.filter("kind = 'words'").groupBy("shard").applyInArrow(run, BLOCK_SCHEMA)
 
 
-def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, step: int = STEP_BYTES) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
     `held_out` is a boolean column: texts for which it is true are scored and not learned from (null: learned from).
@@ -322,7 +322,7 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     kind, shards = rows.schema["doc_id"].dataType.simpleString(), max(16, partitions(docs))
-    blocks = stored(make_blocks(rows, shards, block_bytes), "lm-blocks")
+    blocks = stored(make_blocks(rows, shards, block_bytes, step), "lm-blocks")
     first, zero = low_orders(blocks)
     words = stored(answer_words(blocks), "lm-words")
     sums = words.agg(F.sum("a"), F.sum("b")).first()
@@ -373,11 +373,11 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
                 out["known"][i] = (seen > 0).sum() + (ends > 0)
                 out["base"][i] = np.log10(seen + 0.1).sum() - len(seen) * below + end_score
                 out["bytes"][i] = len(t)
-                for part in segments(t):
+                for part in segments(t, step):
                     parts.append(part)
                     owners.append(i)
                     held += len(part[1]) + ORDER
-                    if held >= STEP_BYTES or len(parts) + 1 >> OWNER_BITS:
+                    if held >= step or len(parts) + 1 >> OWNER_BITS:
                         score_parts()
                         parts, owners, held = [], [], 0
                 i += 1

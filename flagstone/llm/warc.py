@@ -44,7 +44,8 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 class BundleWriter:
     """Writes one bundle; `add` gives a record's frame and its offset in it."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, frame_bytes: int = FRAME_BYTES):
+        self.frame_bytes = frame_bytes
         self.name = f"bundle-{uuid.uuid4().hex}.warc.zst"
         fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
@@ -52,7 +53,7 @@ class BundleWriter:
         self.frames, self.parts, self.held, self.plain = [], [], 0, 0
 
     def add(self, record: bytes) -> tuple[int, int]:
-        if self.held and self.held + len(record) > FRAME_BYTES:
+        if self.held and self.held + len(record) > self.frame_bytes:
             self._close_frame()
         at = len(self.frames), self.held
         self.parts.append(record)
@@ -160,7 +161,7 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     return rows.join(revisits, same, "left").select("page_id", "url", "html", F.sha1("html").alias("sha1"), "refers_to")
 
 
-def write_bundles(planned: DataFrame, folder: str) -> DataFrame:
+def write_bundles(planned: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write planned records; the index `(page_id, record_id, file, frame, offset, length)`, stored."""
     kind = planned.schema["page_id"].dataType.simpleString()
 
@@ -171,12 +172,12 @@ def write_bundles(planned: DataFrame, folder: str) -> DataFrame:
             ids, urls, digests, targets = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             for page_id, url, html, sha1, target in zip(ids, urls, batch.column(2), digests, targets):
                 if out is None:
-                    out = BundleWriter(folder)
+                    out = BundleWriter(folder, frame_bytes)
                 data = record(page_id, url, html.as_buffer().to_pybytes(), sha1, target)
                 frame, offset = out.add(data)
                 for name, x in zip(cells, (out.name, frame, offset, len(data))):
                     cells[name].append(x)
-                if out.plain >= BUNDLE_BYTES:
+                if out.plain >= bundle_bytes:
                     out.close()
                     out = None
             yield pa.RecordBatch.from_arrays(
@@ -231,13 +232,15 @@ def read_record(index: DataFrame, folder: str, wanted: str) -> bytes | None:
     return data
 
 
-def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 1000) -> tuple[DataFrame, str]:
+def archive(
+    pages: DataFrame, folder: str | None = None, least_bytes: int = 1000, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES,
+) -> tuple[DataFrame, str]:
     """Write a record per page below `folder` (one in the shared folder by default); the index and the folder.
 
     Pages of null html have an empty payload, repeated rows one record each; an empty table gives no bundle.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    return write_bundles(plan_records(pages, least_bytes), folder), folder
+    return write_bundles(plan_records(pages, least_bytes), folder, frame_bytes, bundle_bytes), folder
 
 
 def archive_report(spark: SparkSession, pages: DataFrame) -> DataFrame:

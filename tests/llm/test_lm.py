@@ -54,13 +54,12 @@ def test_probabilities_sum_to_one():
 
 
 @pytest.mark.parametrize("block_bytes", [40, 10**6])
-def test_scores_equal_a_trie_walked_byte_by_byte(spark, monkeypatch, block_bytes):
-    monkeypatch.setattr(lm, "STEP_BYTES", 16)
+def test_scores_equal_a_trie_walked_byte_by_byte(spark, block_bytes):
     texts = ["the cat sat on the mat", "The hat", "", None, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "thé ñandú\n\n the", "zebra the", "\0\0 x"] * 3
     rows = [(i, t, i % 5 == 1, 7) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, held boolean, score int").repartition(3)
     nodes = trie([(t or "").encode() for _, t, h, _ in rows if not h])
-    got = {r.doc_id: r for r in score_documents(df, F.col("held"), block_bytes=block_bytes).collect()}
+    got = {r.doc_id: r for r in score_documents(df, F.col("held"), block_bytes=block_bytes, step=16).collect()}
     assert len(got) == len(rows)
     for i, t, h, _ in rows:
         data = (t or "").encode()

@@ -18,11 +18,9 @@ def pages(spark):
     return rows, spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
-def test_round_trip_of_records_and_revisits(spark, monkeypatch):
-    monkeypatch.setattr(warc, "FRAME_BYTES", 4000)
-    monkeypatch.setattr(warc, "BUNDLE_BYTES", 20_000)
+def test_round_trip_of_records_and_revisits(spark):
     rows, df = pages(spark)
-    index, folder = archive(df)
+    index, folder = archive(df, frame_bytes=4000, bundle_bytes=20_000)
     got = read_bundles(index, folder).collect()
     assert len(got) == len(rows)
     wanted = {}
@@ -39,10 +37,9 @@ def test_round_trip_of_records_and_revisits(spark, monkeypatch):
         (104, "response", None), (105, "response", None), (106, "response", None), (None, "response", None)], key=str)
 
 
-def test_seek_one_record_and_plain_zstandard(spark, monkeypatch):
-    monkeypatch.setattr(warc, "FRAME_BYTES", 4000)
+def test_seek_one_record_and_plain_zstandard(spark):
     _, df = pages(spark)
-    index, folder = archive(df)
+    index, folder = archive(df, frame_bytes=4000)
     data = read_record(index, folder, "<urn:page:59>")
     (head, http, payload), = parse_records(data)
     assert head["warc-target-uri"] == "http://a.org/59" and payload.decode() == "<p>59</p>" * (59 * 37 % 400)
