@@ -346,11 +346,14 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
                 batches = pa.ipc.open_stream(blob).read_all()
         keys, scores = np.concatenate(keys), np.concatenate(scores)
         order = np.argsort(keys, kind="stable")
-        keys, scores = keys[order], scores[order].astype(np.float64)
-        split = [t.lower().split() for chunk in batches.column("text").chunks for t in texts(chunk)]
-        known = {}
-        for shard, words in by_shard(set().union(*split), shards):
-            known.update(zip(words, counts[shard]))
+        keys, scores = keys[order], scores[order]
+        words_here, known = set(), {}
+        for chunk in batches.column("text").chunks:
+            for t in texts(chunk):
+                words_here.update(t.lower().split())
+        for shard, words in by_shard(words_here, shards):
+            known.update(zip(words, counts.pop(shard)))
+        del words_here
         n = batches.num_rows
         out = {c: np.zeros(n) for c in ("base", "score")} | {c: np.zeros(n, np.int64) for c in ("tokens", "known", "bytes")}
         parts, owners, held = [], [], 0
@@ -368,7 +371,7 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
         i = 0
         for chunk in batches.column("text").chunks:
             for t in texts(chunk):
-                seen = np.fromiter(map(known.__getitem__, split[i]), np.int64, len(split[i]))
+                seen = np.fromiter(map(known.__getitem__, t.lower().split()), np.int64)
                 out["tokens"][i] = len(seen) + 1
                 out["known"][i] = (seen > 0).sum() + (ends > 0)
                 out["base"][i] = np.log10(seen + 0.1).sum() - len(seen) * below + end_score
