@@ -17,16 +17,9 @@ def policies(spark, sf):
     return policy_registry(policy_files(spark, sf), "shop")
 
 
-_BUILT = {}
-
-
 def graph(spark, sf):
-    """Nodes and edges, stored once per session and folder and then walked by many queries."""
-    place = (spark.sparkContext.applicationId, sf)
-    if place not in _BUILT:
-        roots = spark.createDataFrame([(ROOT, 0)], "policy string, pos int")
-        _BUILT[place] = G.build_graph(policies(spark, sf), roots)
-    return _BUILT[place]
+    """Nodes and edges, built anew by each query that walks them."""
+    return G.build_graph(policies(spark, sf), spark.createDataFrame([(ROOT, 0)], "policy string, pos int"))
 
 
 def nodes(spark, sf):

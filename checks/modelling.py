@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.columns import INTERLEAVED_SQL, VOCAB_SQL
 from checks.fixture import (
     CARD, CLEAN_FLAGS, CURVE_SQL, EVENTS_SQL, FLAGS, RUNS_SQL, SCORES_SQL, SPLIT_SQL, brand_features, risk_events,
-    run_logs, scores,
+    run_logs, scores, table,
 )
 from checks.registry import ORACLES, query
 from flagstone.functions import text as X
@@ -78,6 +78,14 @@ def _(spark, sf):
     return rows.select("row_id", "labels", *[joined(c).alias(c) for c in ("input_ids", "token_type_ids", "attention_mask")])
 
 
+@query("encode_large_numbers", """
+SELECT event_id, CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS id FROM events""")
+def _(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", ((F.col("user_id") % 3) * 12345678901 - 1).alias("n"))
+    ids = {"n_-1": 0, "n_12345678900": 1, "n_24691357801": 2, "[UNK]": 9}
+    return rows.select("event_id", N.token_id("n", ids, whole=True).alias("id"))
+
+
 @query("encode_rows_strict", EV + f"""
 SELECT row_id, concat_ws(' ', 3, {", ".join(IDS_SQL.split(", ")[:-2])}, 0, 1) AS input_ids FROM risk_events""")
 def _(spark, sf):
@@ -325,12 +333,31 @@ def _(spark, sf):
 
 
 @query("dependence_rows", "WITH " + ATTR_SQL + """
-SELECT a.row_id, CAST(a.value AS DOUBLE) AS value, round(a.phi, 6) AS phi, CAST(b.value AS DOUBLE) AS other_value FROM attr a
-JOIN attr b ON a.row_id = b.row_id AND a.feature = 'tmxrc_Weekend' AND b.feature = 'sumrc_Key_Odd'""")
+SELECT row_id, CAST(max(value) FILTER (WHERE feature = 'tmxrc_Weekend') AS DOUBLE) AS value,
+  round(max(phi) FILTER (WHERE feature = 'tmxrc_Weekend'), 6) AS phi,
+  CAST(max(value) FILTER (WHERE feature = 'sumrc_Key_Odd') AS DOUBLE) AS other_value
+FROM attr WHERE feature IN ('tmxrc_Weekend', 'sumrc_Key_Odd') GROUP BY 1""")
 def _(spark, sf):
     return A.dependence(attributed(spark, sf), "tmxrc_Weekend", "sumrc_Key_Odd").withColumn("phi", F.round("phi", 6))
 
 
+def card_scores():
+    """The card as any scorer: a function from a pandas frame to scores."""
+    def load():
+        return lambda frame: -1.5 + sum(frame[f].to_numpy() * c for f, c in CARD.items())
+    return load
+
+
+@query("sampled_attributions", "WITH " + ATTR_SQL + """
+SELECT row_id, feature, CAST(value AS DOUBLE) AS value, round(phi, 6) AS phi, round(base, 6) AS base FROM attr, base""")
+def _(spark, sf):
+    df = clean_events(spark, sf)
+    base = A.background_means(T.first_rows(df, 100), list(CARD))
+    found = A.sampled_attributions(df, card_scores(), list(CARD), base, permutations=2)
+    return A.attribution_rows(found).select(
+        "row_id", "feature", "value", F.round("phi", 6).alias("phi"), F.round("base", 6).alias("base"))
+
+
 @query("decision_paths", "WITH " + ATTR_SQL + """
 SELECT row_id, feature, round(base + sum(phi) OVER (PARTITION BY row_id ORDER BY importance, feature ROWS UNBOUNDED PRECEDING), 6) AS total
 FROM attr JOIN importance USING (feature), base""")
@@ -385,10 +412,27 @@ def _(spark, sf):
     return M.evaluate(L.gbt_score(model, df.filter("split = 'test'"), CLEAN_FLAGS), label="frd")
 
 
-@query("boosted_tree_search")
+@query("boosted_tree_scores", "WITH " + SPLIT_SQL + """
+SELECT count(*) AS rows, CAST(sum(frd) AS BIGINT) AS positives, TRUE AS in_range, TRUE AS better_than_chance FROM placed WHERE split = 'test'""")
+def _(spark, sf):
+    df = S.fraud_split(clean_events(spark, sf))
+    model = L.gbt_baseline(df.filter("split = 'train'"), CLEAN_FLAGS, maxIter=3, maxDepth=3)
+    train = M.auc(L.gbt_score(model, df.filter("split = 'train'"), CLEAN_FLAGS), label="frd").first()["auc"]
+    scored = L.gbt_score(model, df.filter("split = 'test'"), CLEAN_FLAGS)
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.sum("frd").alias("positives"), F.bool_and(F.col("score").between(0, 1)).alias("in_range")) \
+        .withColumn("better_than_chance", F.lit(train >= 0.5))
+
+
+@query("boosted_tree_search", """
+SELECT CAST(trial AS INTEGER) AS trial, maxDepth, stepSize, TRUE AS in_range
+FROM (VALUES (0, '2', '0.03'), (1, '2', '0.2'), (2, '3', '0.03'), (3, '3', '0.2')) t(trial, maxDepth, stepSize)""")
 def _(spark, sf):
     train = S.fraud_split(clean_events(spark, sf)).filter("split <> 'test'")
-    return L.search(train, CLEAN_FLAGS, {"maxDepth": [2, 3], "stepSize": [0.03, 0.2]}, maxIter=2)[1]
+    trials = L.search(train, CLEAN_FLAGS, {"maxDepth": [2, 3], "stepSize": [0.03, 0.2]}, maxIter=2)[1]
+    path = scratch_path(spark, "trials")
+    E.write_trials(trials, path)
+    saved = E.read_events(spark, path, trials.schema)
+    return saved.select("trial", "maxDepth", "stepSize", F.col("auc").between(0, 1).alias("in_range"))
 
 
 @query("best_checkpoints", "WITH " + RUNS_SQL + """

@@ -8,6 +8,7 @@ from checks.fixture import EVENTS_SQL, FLAGS, SPLIT_SQL, risk_events, table
 from checks.registry import query
 from flagstone.functions import arrays as A, numbers as M, text as X
 from flagstone.operators import ranking as T, sampling_plan as G, splits as S
+from flagstone.plans.ordered import with_position
 
 EV = "WITH " + EVENTS_SQL
 MARK = "md5(CAST(row_id AS VARCHAR) || '|{}')"
@@ -21,10 +22,13 @@ def _(spark, sf):
     return S.time_split(scored).groupBy("org_id", "eval", "frd").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("existing_eval_column", EV + ' SELECT row_id, "sumrc_Key_Odd" = 1 AS eval FROM risk_events')
+@query("existing_eval_column", "WITH " + SPLIT_SQL + """
+SELECT row_id, 'given' AS side, "sumrc_Key_Odd" = 1 AS eval FROM risk_events UNION ALL SELECT row_id, 'computed', eval FROM held""")
 def _(spark, sf):
-    marked = risk_events(spark, sf).withColumn("eval", F.col("sumrc_Key_Odd") == 1)
-    return S.with_eval(marked).select("row_id", "eval")
+    events = risk_events(spark, sf)
+    given = S.with_eval(events.withColumn("eval", F.col("sumrc_Key_Odd") == 1))
+    sides = [df.select("row_id", F.lit(side).alias("side"), "eval") for side, df in (("given", given), ("computed", S.with_eval(events)))]
+    return sides[0].unionByName(sides[1])
 
 
 @query("train_and_validation", "WITH " + SPLIT_SQL + " SELECT split, frd, count(*) AS rows FROM placed GROUP BY 1, 2")
@@ -161,9 +165,11 @@ def _(spark, sf):
     return T.batches(risk_events(spark, sf).select("row_id"), 30, drop_last=True)
 
 
-@query("shuffled_rows", EV + " SELECT row_id, frd FROM risk_events")
+@query("shuffled_rows", EV + f" SELECT row_id, frd, row_number() OVER (ORDER BY {MARK.format(3)}) AS place FROM risk_events")
 def _(spark, sf):
-    return T.shuffled(risk_events(spark, sf), seed=3).select("row_id", "frd")
+    # Ids rise in the order of the rows.
+    rows = T.shuffled(risk_events(spark, sf), seed=3).select("row_id", "frd", F.monotonically_increasing_id().alias("_id"))
+    return with_position(rows, "_id", "place").select("row_id", "frd", "place")
 
 
 @query("random_fraud_row", EV + f" SELECT row_id, org_id, frd FROM risk_events WHERE frd = 1 ORDER BY {MARK.format(11)} LIMIT 1")
@@ -184,12 +190,10 @@ def _(spark, sf):
 
 
 @query("comma_items", """
-SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(list_filter(list_transform(
-  string_split(lower(text), ','), lambda x: trim(x, ' ')), lambda x: x <> '')), 'ASC', 'NULLS LAST'), lambda x: x), '|') AS items
-FROM documents""")
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS items
+FROM (SELECT doc_id, list_filter(list_transform(string_split(lower(text), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents)""")
 def _(spark, sf):
-    # Sorted here because the oracle's distinct does not keep the order.
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(X.comma_items(F.col("text"))), "|").alias("items"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(X.comma_items(F.col("text")), "|").alias("items"))
 
 
 @query("normalised_policy_names", """
@@ -245,10 +249,10 @@ def _(spark, sf):
     return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("p", 6).alias("p"))
 
 
-@query("rounded_labels", "SELECT event_id, CAST(value / 100 > 0.5 AS INTEGER) AS label FROM events WHERE value <= 100")
+@query("rounded_labels", "SELECT event_id, CAST(value / (value + 100) > 0.5 AS INTEGER) AS label FROM events")
 def _(spark, sf):
-    return table(spark, sf, "events").filter("value <= 100").select(
-        "event_id", M.rounded_label(F.col("value") / 100).alias("label"))
+    chance = F.col("value") / (F.col("value") + 100)
+    return table(spark, sf, "events").select("event_id", M.rounded_label(chance).alias("label"))
 
 
 @query("threshold_labels", """
@@ -310,4 +314,4 @@ def _(spark, sf):
         F.col("turn") % 4 == 2, "condition_attrib").otherwise("")
     words = F.split(F.concat(head, F.col("text")), " ")
     return table(spark, sf, "conversations").select(
-        "conv_id", "turn", X.check_params(words).alias("custom"), X.check_params2(words).alias("conditional"))
+        "conv_id", "turn", X.any_matches(words).alias("custom"), X.any_matches(words, X.CONDITION_PATTERNS).alias("conditional"))

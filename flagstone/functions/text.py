@@ -27,7 +27,9 @@ def whole_columns(df: DataFrame) -> set[str]:
 def choose(name: str, by_text: dict[str, int | float], otherwise: Column, whole: bool = False) -> Column:
     """The entry for a column's value as text. For `whole` columns the texts are compared as numbers."""
     if whole:
-        by_value = {int(t): v for t, v in by_text.items() if re.fullmatch(r"0|-?[1-9][0-9]{0,8}", t)}
+        # A text beyond 64 bits is no value of a whole column.
+        numbers = {int(t): v for t, v in by_text.items() if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", t)}
+        by_value = {n: v for n, v in numbers.items() if -(2**63) <= n < 2**63}
     else:
         by_value = by_text
     if not by_value:
@@ -94,14 +96,6 @@ def any_matches(params: Column, patterns: tuple[str, ...] = CUSTOM_PATTERNS) ->
     return F.coalesce(F.exists(params, lambda p: p.rlike(either)), F.lit(False))
 
 
-def check_params(params: Column) -> Column:
-    return any_matches(params)
-
-
-def check_params2(params: Column) -> Column:
-    return any_matches(params, CONDITION_PATTERNS)
-
-
 def parse_time(text: Column) -> Column:
     """`yyyy-MM-dd HH:mm:ss.f`; the fraction is required, one to six digits. Bad text is an error."""
     return F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))

@@ -1,12 +1,15 @@
-"""Linear scorecards and their exact per-feature attributions."""
+"""Linear scorecards, their exact per-feature attributions, and sampled ones of any scorer."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flagstone.functions.numbers import once, sigmoid
+from flagstone.functions.numbers import sigmoid
 from flagstone.functions.text import quoted
 from flagstone.plans.shared import bounded_rows
 
@@ -55,6 +58,43 @@ def attributions(
     )
 
 
+def sampled_attributions(
+    df: DataFrame, load: Callable[[], Callable], features: list[str], background: dict[str, float],
+    key: str = "row_id", permutations: int = 8, seed: int = 1,
+) -> DataFrame:
+    """Attributions of any scorer, in the shape of `attributions`: Shapley values by sampled orders.
+
+    `load` runs once per task and returns a function from a pandas frame of the features to one number per row. For
+    each seeded order of the features a row walks from the background values to its own, one feature at a time, and
+    a feature's phi is its mean change of the score. So base plus all phis is the score of the row, and a linear scorer
+    gets its exact attributions. Nulls count as 0. All rows of a batch walk together; no shuffle.
+    """
+    orders = [list(np.random.default_rng([seed, i]).permutation(len(features))) for i in range(permutations)]
+    start = np.array([float(background[f]) for f in features])
+
+    def run(frames: Iterator) -> Iterator:
+        score = load()
+        for frame in frames:
+            own = frame[features].fillna(0).to_numpy(dtype=float)
+            now = np.tile(start, (len(own), 1))
+            base = np.asarray(score(pd.DataFrame(now, columns=features)), dtype=float)
+            phis = np.zeros_like(own)
+            for order in orders:
+                now, last = np.tile(start, (len(own), 1)), base
+                for f in order:
+                    now[:, f] = own[:, f]
+                    after = np.asarray(score(pd.DataFrame(now, columns=features)), dtype=float)
+                    phis[:, f] += (after - last) / len(orders)
+                    last = after
+            yield pd.DataFrame({
+                key: frame[key], "base": base, "features": [features] * len(own), "values": list(own), "phis": list(phis)})
+
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, base double, features array<string>, values array<double>, phis array<double>"
+    rows = df.select(quoted(key), *[quoted(f).cast("double").alias(f) for f in features])
+    return rows.mapInPandas(run, schema)
+
+
 def attribution_rows(attributed: DataFrame, key: str = "row_id") -> DataFrame:
     """Long form: `(key, base, feature, value, phi)`."""
     rows = attributed.select(key, "base", F.inline(F.arrays_zip("features", "values", "phis")))
@@ -95,16 +135,14 @@ def decision_path(attributed: DataFrame, key: str = "row_id") -> DataFrame:
     if not ranked:
         return attributed.select(key, F.lit(0).alias("step"), F.lit("").alias("feature"),
                                  F.col("base").alias("phi"), F.col("base").alias("total")).limit(0)
-    order = F.array(*[F.lit(r["place"]) for r in ranked])
-    # Bound once per row, so that the array is not made again for each of its elements.
-    phis = once(F.col("phis"), lambda all_phis: F.transform(order, lambda p: F.get(all_phis, p)))
-    totals = F.aggregate(
-        phis,
-        F.array("base"),
-        lambda acc, phi: F.array_append(acc, F.element_at(acc, -1) + phi),
-        lambda acc: F.slice(acc, 2, len(ranked)),
-    )
-    names = F.array(*[F.lit(r["feature"]) for r in ranked])
-    steps = F.arrays_zip(names.alias("feature"), phis.alias("phi"), totals.alias("total"))
-    rows = attributed.select(key, F.posexplode(steps).alias("step", "_e"))
+    # The order is known here, so a total is the one before it and one more value: linear in the features.
+    rows = attributed.select(key, F.col("base").alias("_total"), "phis")
+    totals = []
+    for step, r in enumerate(ranked):
+        rows = rows.withColumn(f"_total{step}", F.col(totals[-1] if totals else "_total") + F.get("phis", F.lit(r["place"])))
+        totals.append(f"_total{step}")
+    steps = F.array(*[
+        F.struct(F.lit(r["feature"]).alias("feature"), F.get("phis", F.lit(r["place"])).alias("phi"), F.col(t).alias("total"))
+        for r, t in zip(ranked, totals)])
+    rows = rows.select(key, F.posexplode(steps).alias("step", "_e"))
     return rows.select(key, "step", "_e.feature", "_e.phi", "_e.total")

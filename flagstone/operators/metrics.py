@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flagstone.functions.numbers import cross_entropy, f_score, g_mean, label_above, ratio
 from flagstone.operators.ranking import batches
 from flagstone.plans.ordered import running_totals
+from flagstone.plans.shared import measured
 
 
 def score_counts(df: DataFrame, label: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
@@ -28,8 +29,8 @@ def score_counts(df: DataFrame, label: str = "y", score: str = "score", by: list
 def score_curve(df: DataFrame, label: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Per distinct score as threshold: `p`, `q` (positives and negatives at it), `tp`, `fp` (at or
     above it), and the group's `p_all`, `q_all`."""
-    # Kept, since ranges, totals and curve all read the counts; there is one row per distinct score.
-    counts = score_counts(df, label, score, by).withColumn("q", F.col("n") - F.col("p")).drop("n").persist()
+    # Stored, since ranges, totals and curve all read the counts; there is one row per distinct score.
+    counts = measured(score_counts(df, label, score, by).withColumn("q", F.col("n") - F.col("p")).drop("n"))
     curve = running_totals(counts, "score", {"tp": "p", "fp": "q"}, by=by, descending=True)
     return curve.withColumnsRenamed({"tp_total": "p_all", "fp_total": "q_all"})
 

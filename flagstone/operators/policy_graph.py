@@ -45,19 +45,29 @@ def thresholds(policies: DataFrame) -> DataFrame:
 
 
 def policy_rules(policies: DataFrame) -> DataFrame:
-    """Top-level rules and variables of each policy with their position, rules first."""
+    """Top-level rules and variables of each policy with their position, rules first.
+
+    A document without these two lists is an error.
+    """
     parsed = policies.select("policy", F.parse_json("document").alias("v"))
-    none = F.array().cast("array<variant>")
-    both = F.concat(
-        F.coalesce(_get("v", "$.policyVersion.rules", "array<variant>"), none),
-        F.coalesce(_get("v", "$.policyVersion.variables", "array<variant>"), none),
-    )
+
+    def listed(name: str) -> Column:
+        wrong = F.raise_error(F.concat(F.lit(f"no list of {name} in policy "), F.coalesce("policy", F.lit("?"))))
+        return F.coalesce(_get("v", f"$.policyVersion.{name}", "array<variant>"), wrong)
+
+    both = F.concat(listed("rules"), listed("variables"))
     return parsed.select("policy", F.posexplode(both).alias("pos", "rule"))
 
 
+def _sortable(pos: Column) -> Column:
+    """A position (0 or more) as text that sorts like the number: its length in two digits, then its digits."""
+    digits = pos.cast("string")
+    return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), digits)
+
+
 def _level(rules: DataFrame, depth: int) -> DataFrame:
     name = F.concat("policy", F.lit("_"), _get("rule", "$.id"))
-    path = F.concat("path", F.lpad(F.col("pos").cast("string"), 8, "0"), F.lit("/"))
+    path = F.concat("path", _sortable(F.col("pos")), F.lit("/"))
     return rules.select(
         "policy", name.alias("node_id"), "parent_id", path.alias("path"), F.lit(depth).alias("depth"), "rule"
     )
@@ -137,7 +147,7 @@ def load_nodes(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         .groupBy("policy", F.col("calls").alias("callee"))
         .agg(F.min("local_key").alias("local_key"))
     )
-    start = roots.groupBy("policy").agg(F.lpad(F.min("pos").cast("string"), 8, "0").alias("key"))
+    start = roots.groupBy("policy").agg(_sortable(F.min("pos")).alias("key"))
     known = frontier = cut_lineage(start)
     rows, rounds = frontier.count(), 0
     seen = rows

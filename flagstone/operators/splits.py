@@ -97,16 +97,18 @@ def subset(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
 def fraud_split(
     df: DataFrame, key: str = "row_id", variable: bool = False, k: int = 5, by_time: bool = True,
     extra: tuple[str, ...] | list[str] = (), train_fraction: float = 0.8, seed: int = 1, exact: bool = False,
+    **time_options,
 ) -> DataFrame:
     """Add `split`: `test` is the evaluation window, the rest is `train` or `val` by seeded hash.
 
     Returns key, predictors, `frd`, the other columns and `split`, with `frd` as a number. Without
     `by_time` the test part is a random k-th. With `exact` the train part has exactly
-    `round(train_fraction * n)` rows (half to even) of the n that are not `test`.
+    `round(train_fraction * n)` rows (half to even) of the n that are not `test`. `time_options` (`org`, `ts`,
+    `strict`) go to `time_split`.
     """
     numbered = df.withColumn("frd", F.col("frd").cast("int"))
     if by_time:
-        held = with_eval(numbered, k)
+        held = with_eval(numbered, k, **time_options)
     else:
         held = numbered.withColumn("eval", below(digest(key, seed), 1 / k, start=9))
     mark = digest(key, seed)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from flagstone.functions.text import quoted
 from flagstone.plans.shared import bounded_rows, cut_lineage, measured
@@ -22,15 +23,17 @@ SORT_ROWS = 100_000
 
 
 def _ranges(df: DataFrame, key: Column, ranges: int, name: str = "_range") -> DataFrame:
-    """Add the range number of a numeric key, rising with the key."""
+    """Add the range number of a numeric key, rising with the key. As in a window, null keys come first and
+    NaN last; each has a range of its own."""
     keyed = df.withColumn("_key", key.cast("double"))
     steps = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(keyed.approxQuantile("_key", steps, 1 / (2 * ranges)))) if steps else []
     if not cuts:
         return keyed.withColumn(name, F.lit(0)).drop("_key")
     edges = [float("-inf"), *cuts, float("inf")]
-    cutter = Bucketizer(splits=edges, inputCol="_key", outputCol=name)
-    return cutter.transform(keyed).withColumn(name, F.col(name).cast("int")).drop("_key")
+    cutter = Bucketizer(splits=edges, inputCol="_key", outputCol=name, handleInvalid="keep")
+    number = F.when(F.col("_key").isNull(), F.lit(-1)).otherwise(F.col(name).cast("int"))
+    return cutter.transform(keyed).withColumn(name, number).drop("_key")
 
 
 def ranged(df: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, bool]:
@@ -41,6 +44,7 @@ def ranged(df: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> tuple[DataF
 
 
 COMBINE = {
+    # The sum before the first value is 0, with and without ranges.
     "sum": (F.sum, lambda base, inside: F.coalesce(base, F.lit(0)) + F.coalesce(inside, F.lit(0))),
     "min": (F.min, F.least),
     "max": (F.max, F.greatest),
@@ -67,7 +71,8 @@ def running(
     group = Window.partitionBy(*by)
     if not split:
         inside = group.orderBy(order).rowsBetween(*up_to_here)
-        found = [COMBINE[f][0](c).over(inside).alias(n) for n, (f, c) in wanted.items()]
+        nothing = F.lit(None)
+        found = [COMBINE[f][1](nothing, COMBINE[f][0](c).over(inside)).alias(n) for n, (f, c) in wanted.items()]
         whole = [COMBINE[f][0](c).over(group).alias(f"{n}_total") for n, (f, c) in wanted.items()]
         return df.select(*[quoted(c) for c in columns], *found, *whole)
     flip = -1 if descending else 1
@@ -106,37 +111,53 @@ def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
 
 
 def nth_value(df: DataFrame, n: int, order: Column):
-    """The n-th smallest (from 1) value of a unique numeric `order`.
+    """The n-th smallest (from 1) value of a unique numeric `order`; None where there are fewer rows.
 
     Each round keeps one of about a thousand ranges, so a few narrow scans leave a set small enough
-    to sort; the table itself is never shuffled.
+    to sort; the table itself is never shuffled. A null key, or one that is repeated at the cut, is an error.
     """
     rest = df.select(order.alias("_order"))
-    rows = rest.count()
+    rows, nulls = rest.agg(F.count(F.lit(1)), F.count_if(F.col("_order").isNull())).first()
+    if nulls:
+        raise ValueError("a key is null")
     if not 1 <= n <= rows:
         return None
+    whole = isinstance(rest.schema["_order"].dataType, IntegralType)
     while rows > SORT_ROWS:
-        cut = _ranges(rest, F.col("_order"), SEARCH_RANGES)
-        chosen, n, found = _part_with(cut.groupBy("_range").count(), n, SEARCH_RANGES)
+        # Counted from the smallest key, since doubles cannot tell all large numbers apart.
+        low = rest.agg(F.min("_order")).scalar() if whole else F.lit(0)
+        cut = _ranges(rest, F.col("_order") - low if whole else F.col("_order"), SEARCH_RANGES)
+        chosen, n, found = _part_with(cut.groupBy("_range").count(), n, SEARCH_RANGES + 2)
         if found == rows:
-            break
+            raise ValueError("keys are repeated or lie too close together")
         # Every round filters the source again; nothing is kept between rounds.
         rest, rows = cut.filter(F.col("_range") == chosen).drop("_range"), found
-    return rest.orderBy("_order").offset(n - 1).limit(1).first()["_order"]
+    return _sorted_at(rest, n)
 
 
 def nth_digest(df: DataFrame, n: int, order: Column) -> str | None:
-    """The same for hex digests. Three more digits per round make 4096 parts of equal size."""
+    """The same for hex digests. Three more digits per round make 4096 parts of equal size. Equal digests mean
+    repeated keys, which is an error at the cut."""
     rest, width = df.select(order.alias("_order")), 0
     rows = None
     while rows is None or rows > SORT_ROWS:
+        if width >= 32:
+            raise ValueError("keys are repeated")
         width += 3
         parts = rest.groupBy(F.substring("_order", 1, width).alias("_part")).count()
         chosen, n, rows = _part_with(parts, n, 16**3)
         if chosen is None:
             return None
         rest = rest.filter(F.substring("_order", 1, width) == chosen)
-    return rest.orderBy("_order").offset(n - 1).limit(1).first()["_order"]
+    return _sorted_at(rest, n)
+
+
+def _sorted_at(rest: DataFrame, n: int):
+    """The n-th of at most SORT_ROWS keys, which the next one must not equal."""
+    found = [r["_order"] for r in rest.orderBy("_order").offset(n - 1).limit(2).collect()]
+    if len(found) == 2 and found[0] == found[1]:
+        raise ValueError("keys are repeated")
+    return found[0]
 
 
 def _part_with(counts: DataFrame, n: int, most: int) -> tuple:

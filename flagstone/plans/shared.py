@@ -12,10 +12,13 @@ SMALL_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, or a local one where it is unset."""
+    """The folder all executors see: `spark.checkpoint.dir`. Where it is unset, a folder of this machine is made,
+    which only a local master may use; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flagstone-"))
     return folder or context.getCheckpointDir()
 
@@ -32,15 +35,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def measured(df: DataFrame) -> DataFrame:
-    """Compute an aggregate once and keep it.
+    """Compute an aggregate once and store it below the shared folder; nothing stays in memory.
 
     The optimizer then knows its true size and broadcasts it only below
     `spark.sql.autoBroadcastJoinThreshold`; above that the join shuffles and adaptive
     execution splits skewed keys.
     """
-    kept = df.persist()
-    kept.count()
-    return kept
+    path = scratch_path(df.sparkSession, "measured")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hint_if_small(df: DataFrame, rows: int, limit: int = SMALL_ROWS) -> DataFrame:

@@ -29,9 +29,10 @@ def read_indexed(spark: SparkSession, path: str, key: str, schema: StructType |
 
 
 def read_csv_tree(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """All `*.csv` files below a folder, without headers, with the path of each row's file."""
+    """All `*.csv` files below a folder, without headers, with the path of each row's file. Rows that do not
+    fit the schema are an error."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", False)
-    reader = reader.option("timestampNTZFormat", TIME_FORMAT)
+    reader = reader.option("mode", "FAILFAST").option("timestampNTZFormat", TIME_FORMAT)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     return df.select("*", F.col("_metadata.file_path").alias("path"))

@@ -38,6 +38,9 @@ def write_vocab(vocab: DataFrame, path: str) -> None:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of one file with their positions; of several files they would not be defined."""
     whole = spark.read.text(path, wholetext=True)
+    if len(whole.inputFiles()) > 1:
+        raise ValueError(f"{path} has several files")
     text = F.regexp_replace("value", r"\r?\n$", "")
     return whole.select(F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))

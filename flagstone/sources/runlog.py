@@ -18,7 +18,8 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_entries(files: DataFrame) -> DataFrame:
-    """Entries of logs held as JSON text in `value`."""
+    """Entries of logs held as JSON text in `value`. A text that is no log is an error."""
     others = [c for c in files.columns if c != "value"]
-    parsed = files.select(*others, F.from_json("value", LOG).alias("log"))
-    return parsed.select(*others, F.inline("log.log_history"))
+    parsed = files.select(*others, F.from_json("value", LOG, {"mode": "FAILFAST"}).alias("log"))
+    entries = F.coalesce("log.log_history", F.raise_error(F.lit("a training log without log_history")))
+    return parsed.select(*others, F.inline(entries))

@@ -41,9 +41,16 @@ def test_fill_masked_forms_agree(spark):
     df = flags(spark)
     wide = {(r.row_id, r["rank"]): (r.candidate, round(r.p, 9)) for r in L.fill_masked(df, "frd", list(CARD)).collect()}
     long = {(r.row_id, r["rank"]): (r.candidate, round(r.p, 9)) for r in L.fill_masked_by_join(df, "frd", list(CARD)).collect()}
-    assert all(wide[k] == v for k, v in long.items())
-    # A row without any known feature value is still filled from the priors in the wide form.
-    assert len(wide) == 400
+    # A row without any known feature value is filled from the priors in both forms.
+    assert wide == long and len(wide) == 400
+
+
+def test_fill_masked_keeps_rows_of_unknown_and_large_values(spark):
+    rows = [(i, str(i % 2), None if i % 5 == 0 else 12345678901 * (1 + i % 3)) for i in range(30)] + [(98, None, 777), (99, None, None)]
+    df = spark.createDataFrame(rows, "row_id long, t string, n long")
+    wide, long = ({(r.row_id, r.candidate): round(r.p, 9) for r in f(df, "t", ["n"]).collect()} for f in (L.fill_masked, L.fill_masked_by_join))
+    assert wide == long and len(wide) == 64
+    assert wide[98, "0"] == wide[99, "0"] == 0.5
 
 
 def test_batch_scoring(spark):

@@ -77,3 +77,31 @@ def test_rows_by_position(spark):
     assert {r.batch: r["count"] for r in T.batches(df, 4).groupBy("batch").count().collect()} == {0: 4, 1: 4, 2: 3}
     assert T.batches(df, 4, drop_last=True).count() == 8
     assert T.random_row(df.limit(0)).count() == 0
+
+
+def test_null_keys_stay_and_sums_start_at_zero_with_and_without_ranges(spark):
+    rows = [(None, 1, 5), (None, 2, 6), *[(k, k % 2, None if k < 3 else k) for k in range(1, 30)]]
+    df = spark.createDataFrame(rows, "k int, g int, x int")
+    for by in ([], ["g"]):
+        whole = O.running_totals(df, "k", {"s": "x"}, by=by)
+        split = O.running_totals(df, "k", {"s": "x"}, by=by, range_rows=3)
+        keep = lambda d: sorted((r.k, r.g, r.s) for r in d.collect() if r.k is not None)
+        assert keep(whole) == keep(split) and split.count() == len(rows)
+    plain = spark.createDataFrame([(1, None), (2, None), (3, 4)], "k int, x int")
+    for size in (1, 100):
+        assert [r.s for r in O.running_totals(plain, "k", {"s": "x"}, range_rows=size).orderBy("k").collect()] == [0, 0, 4]
+
+
+def test_nth_rejects_null_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(O, "SORT_ROWS", 3)
+    one = spark.createDataFrame([(None,), (1,), (2,)], "k int")
+    with pytest.raises(ValueError):
+        O.nth_value(one, 1, F.col("k"))
+    same = spark.createDataFrame([(7,)] * 9, "k int")
+    with pytest.raises(ValueError):
+        O.nth_value(same, 4, F.col("k"))
+    with pytest.raises(ValueError):
+        O.nth_digest(same, 4, F.md5(F.col("k").cast("string")))
+    near = spark.createDataFrame([(2**62 + i,) for i in range(50)], "k long")
+    assert [O.nth_value(near, n, F.col("k")) - 2**62 for n in (1, 20, 50)] == [0, 19, 49]
+    assert O.nth_value(near, 51, F.col("k")) is None

@@ -111,3 +111,44 @@ def test_row_wise_operators_do_not_shuffle(spark):
         fraud_split(df.withColumn("eval", F.lit(False))),
     ):
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_damaged_inputs_are_errors(spark, tmp_path):
+    from flagstone.operators import policy_graph
+    from flagstone.sources import events, lists, runlog
+
+    cut = spark.createDataFrame([('{"log_history": [{"epoch": 1.0',), ('{"best_metric": 1}',)], "value string")
+    for i in range(2):
+        with pytest.raises(Exception):
+            runlog.log_entries(cut.limit(1) if i == 0 else cut.filter("value like '%best%'")).collect()
+    for document in ('{"policyVersion": {"rules": {}, "variables": []}}', '{"policyVersion": {"rules": []}}'):
+        with pytest.raises(Exception):
+            policy_graph.policy_rules(spark.createDataFrame([("p", document)], "policy string, document string")).collect()
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("x\ny\n")
+    with pytest.raises(ValueError):
+        lists.read_vocab(spark, str(tmp_path))
+    (tmp_path / "bad.csv").write_text("1\nword\n")
+    with pytest.raises(Exception):
+        events.read_csv_tree(spark, str(tmp_path), "n int").collect()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from flagstone.plans.shared import shared_folder
+
+    made = []
+    context = SimpleNamespace(getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append, master="spark://host:7077")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(ValueError):
+        shared_folder(session)
+    context.master = "local[4]"
+    assert shared_folder(session) == made[0]
+
+
+def test_null_runs_stop_early_too(spark):
+    from flagstone.operators.runlog import early_stopping
+
+    log = spark.createDataFrame([(None, e, float(e)) for e in range(10)], "run string, epoch int, eval_loss double")
+    assert early_stopping(log, patience=3).count() == 4
