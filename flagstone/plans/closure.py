@@ -18,10 +18,10 @@ def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, incl
     A start node is part of the result only when an edge leads to it, or with `include_start`.
     Each round joins only the newest nodes, and a visited set ends cycles. Both are counted: small
     ones are broadcast, so the edges are scanned but not shuffled; large ones are joined by shuffle.
-    A small graph is broadcast itself and walked several steps per round. The edges are read once per
-    round: pass a stored table, not a long plan.
+    A small graph is broadcast itself and walked several steps per round. The distinct edges are stored once
+    and read in every round.
     """
-    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("_next"))
+    steps = cut_lineage(edges.select(F.col(source).alias("node"), F.col(target).alias("_next")).distinct())
     small = steps.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     hops = HOPS if small else 1
     frontier = cut_lineage(start.select("node").distinct())
