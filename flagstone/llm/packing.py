@@ -5,16 +5,17 @@ with the same free room: both are held as runs, intervals of ranks and of sequen
 length and ranks them within it; the sweeps match whole runs, which keeps their state bounded by the capacity,
 whatever the number of documents.
 
-A sweep walks lengths and gaps together from large to small. Pieces meet the smallest gap that is large enough (their
-successor); of pieces that want one gap the earlier ranks get it, the others go on to the next gap, and a gap takes one
-piece in a sweep. Then the gaps are updated, and sweeps repeat until nothing fits. What is left opens new sequences,
-largest first, as many as its tokens need at least, and sweeps begin again.
+A superstep takes all pieces of one length, from long to short, and sweeps over the gaps from small to large. Pieces go to
+the smallest gaps that are large enough (their successors), as many to each as fit; the rank of a piece says which
+gap of a run it gets, so no two pieces want one place. Then the gaps are updated, and the next superstep begins. Pieces
+that fit nowhere open new sequences. The result is that of best-fit decreasing, piece by piece.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -145,53 +146,42 @@ def tokenize(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0,
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
-def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs `(length, first rank, pieces, first sequence, offset)` that place all pieces; `counts` has pieces by length."""
-    left = dict(counts)
-    rank = {n: 0 for n in counts}
+def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs `(length, first rank, pieces, first sequence, offset, per sequence)` that place all pieces; `counts` has the
+    pieces by length. The i-th piece of a run lies in sequence `first + i // per`, `i % per` lengths behind the offset."""
     runs, sequences = [], 0
     gaps: dict[int, list[tuple[int, int]]] = {}  # free room: runs (first sequence, sequences)
-
-    def put(length, pieces, sequence, room):
-        runs.append((length, rank[length], pieces, sequence, capacity - room))
-        rank[length] += pieces
-        left[length] -= pieces
-        if not left[length]:
-            del left[length]
-
-    def sweep() -> bool:
-        after, free, moved = {}, [], False
-        for size in sorted({*left, *gaps}, reverse=True):
-            # Gaps of this size lie on top: the smallest that are large enough come first.
-            free.extend((size, *run) for run in gaps.get(size, ()))
-            while size in left and free:
-                room, sequence, n = free.pop()
-                k = min(n, left[size])
-                put(size, k, sequence, room)
-                moved = True
-                if room > size:
-                    after.setdefault(room - size, []).append((sequence, k))
-                if k < n:
-                    free.append((room, sequence + k, n - k))
-        for room, sequence, n in free:
-            after.setdefault(room, []).append((sequence, n))
-        gaps.clear()
-        gaps.update(after)
-        return moved
-
-    while left:
-        wanted = -(-sum(size * n for size, n in left.items()) // capacity)
-        for size in sorted(left, reverse=True):
-            k = min(wanted, left[size])
-            put(size, k, sequences, capacity)
-            if size < capacity:
-                gaps.setdefault(capacity - size, []).append((sequences, k))
-            sequences += k
-            wanted -= k
-            if not wanted:
-                break
-        while sweep():
-            pass
+    rooms: list[int] = []  # the keys of gaps, sorted
+
+    def add(room: int, sequence: int, n: int) -> None:
+        if room and n:
+            if room not in gaps:
+                insort(rooms, room)
+            gaps.setdefault(room, []).append((sequence, n))
+
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            at = bisect_left(rooms, length)
+            if at < len(rooms):  # the smallest room that is large enough
+                room = rooms[at]
+                sequence, n = gaps[room].pop()
+                if not gaps[room]:
+                    del gaps[room], rooms[at]
+            else:
+                room, sequence, n = capacity, sequences, -(-left // (capacity // length))
+                sequences += n
+            per = room // length
+            full = min(n, left // per)
+            if full:
+                take, used = full * per, full
+                add(room - per * length, sequence, full)
+            else:  # the last few pieces share one sequence
+                take, used, per = left, 1, left
+                add(room - left * length, sequence, 1)
+            add(room, sequence + used, n - used)
+            runs.append((length, rank, take, sequence, capacity - room, per))
+            rank, left = rank + take, left - take
     return runs
 
 
@@ -209,7 +199,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     sizes = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_count")).collect()}
     if sizes and not 1 <= min(sizes) <= max(sizes) <= capacity:
         raise ValueError("a piece has no tokens or more than a sequence")
-    runs = np.array(sorted(plan_sequences(sizes, capacity)), dtype=np.int64).reshape(-1, 5)
+    runs = np.array(sorted(plan_sequences(sizes, capacity)), dtype=np.int64).reshape(-1, 6)
     keys = (runs[:, 0] << 44) + runs[:, 1]
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_salt", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
@@ -221,9 +211,9 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
             at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
-            sequence = runs[at, 3] + rank - runs[at, 1]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(sequence), pa.array(runs[at, 4])], names=[*names, "sequence_id", "offset"])
+            sequence, behind = np.divmod(rank - runs[at, 1], runs[at, 5])
+            places = [pa.array(runs[at, 3] + sequence), pa.array(runs[at, 4] + behind * length)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *places], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.select(*names, "_rank").mapInArrow(run, f"{schema}, sequence_id long, offset long")

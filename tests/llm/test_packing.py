@@ -67,10 +67,10 @@ def test_plans_place_each_piece_once_and_pack_like_best_fit_decreasing(seed):
     lengths = [min(capacity, max(1, int(rng.expovariate(1 / rng.choice([8, 30, 60]))))) for _ in range(1500)]
     counts = {n: lengths.count(n) for n in set(lengths)}
     used, ranks = {}, {n: [] for n in counts}
-    for length, first, n, sequence, offset in plan_sequences(counts, capacity):
+    for length, first, n, sequence, offset, per in plan_sequences(counts, capacity):
         ranks[length] += range(first, first + n)
         for i in range(n):
-            used.setdefault(sequence + i, []).append((offset, length))
+            used.setdefault(sequence + i // per, []).append((offset + i % per * length, length))
     assert all(sorted(ranks[n]) == list(range(counts[n])) for n in counts)
     for parts in used.values():
         at = 0
@@ -78,7 +78,7 @@ def test_plans_place_each_piece_once_and_pack_like_best_fit_decreasing(seed):
             assert offset == at
             at += length
         assert at <= capacity
-    assert len(used) <= best_fit_decreasing(lengths, capacity) * 1.01 + 1
+    assert len(used) == best_fit_decreasing(lengths, capacity)
 
 
 def test_sequences_hold_the_ids_of_their_pieces(spark):
