@@ -42,11 +42,6 @@ def delete_white(text: Column) -> Column:
     return text
 
 
-def spread(key: Column, buckets: int, seed: int = 0) -> Column:
-    """A bucket number by hash; a null key has one too."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)).cast("int")
-
-
 def pack(numbers: np.ndarray) -> bytes:
     """Compress an array of numbers."""
     return zlib.compress(np.ascontiguousarray(numbers).tobytes(), 1)
@@ -92,10 +87,6 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(s)
 
 
-def record_batch(names: Iterable[str], *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns), names=list(names))
-
-
 def groups_of(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Rows that follow each other with the same first `keys` columns, group by group, from a sorted partition."""
     held: list[pa.RecordBatch] = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flagstone.llm.common import MIX, mixed, partitions, shingles, spread, stored, texts
+from flagstone.llm.common import MIX, mixed, partitions, shingles, stored, texts
 from flagstone.llm.components import Forest, components, smallest_keys
 
 # Members of a block when all pairs of an unsettled bucket are compared.

@@ -19,9 +19,10 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from flagstone.llm.common import partitions, spread, stored, texts
+from flagstone.llm.common import stored, texts
+from flagstone.plans.ordered import dense_positions
 
 # Distinct words whose ids a worker remembers, in each of two generations.
 KNOWN_WORDS = 250_000
@@ -188,35 +189,34 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, int
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Add `sequence_id` and `offset` to a stored table with `doc_id`, `piece` and `length` (1 to `capacity`).
 
-    Every piece gets a place of its own; repeated rows are pieces of their own. Pieces of one length are spread over as
-    many groups as there are partitions before they are ranked, so a common length is no hot group. An empty table
-    gives no rows; a piece beyond the capacity is an error.
+    Every piece gets a place of its own; repeated rows are pieces of their own. Pieces are range-sorted by length, key and
+    number, so a common length is spread over many tasks, and a piece's rank is its place less that of its length.
+    An empty table gives no rows; a piece beyond the capacity is an error.
     """
-    salts = partitions(pieces)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = stored(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_count")), "piece-counts")
     # At most `capacity` rows, whatever the input.
-    sizes = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_count")).collect()}
+    sizes = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     if sizes and not 1 <= min(sizes) <= max(sizes) <= capacity:
         raise ValueError("a piece has no tokens or more than a sequence")
     runs = np.array(sorted(plan_sequences(sizes, capacity)), dtype=np.int64).reshape(-1, 6)
     keys = (runs[:, 0] << 44) + runs[:, 1]
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "_salt", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
-    place = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")).cast("long")
-    ranked = salted.join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + place - 1).drop("_base", "_salt")
+    begin = np.zeros(capacity + 2, dtype=np.int64)
+    for size, n in sizes.items():
+        begin[size + 1] = n
+    begin = np.cumsum(begin)
+    ranked = dense_positions(pieces.withColumn("_order", F.struct("length", "doc_id", "piece")), "_order", "_place")
     names = pieces.columns
 
     def run(batches):
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
+            length, place = (batch.column(c).to_numpy() for c in ("length", "_place"))
+            rank = place - begin[length]
             at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
             sequence, behind = np.divmod(rank - runs[at, 1], runs[at, 5])
             places = [pa.array(runs[at, 3] + sequence), pa.array(runs[at, 4] + behind * length)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *places], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*names, "_rank").mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*names, "_place").mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
