@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flagstone.llm.common import MIX, mixed, partitions, shingles, stored, texts
 from flagstone.llm.components import Forest, components, smallest_keys
+from flagstone.plans.shared import hint_if_small
 
 # Members of a block when all pairs of an unsettled bucket are compared.
 BLOCK = 256
@@ -110,7 +111,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     items.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(items, pa.binary())], names=["node", "items"])
 
-    ids = wanted.select(F.col("doc_id").alias("_id"), "node")
+    # Narrow rows, broadcast only where their counted number is small; else texts are shuffled by key.
+    ids = hint_if_small(wanted.select(F.col("doc_id").alias("_id"), "node"), wanted.count())
     found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node")
     return found.mapInArrow(run, "node binary, items binary")
 
@@ -220,6 +222,7 @@ def near_duplicates(
     pairs = stored(
         ends.union(inner_rows.select("first", "node")).union(inner_rows.select("last", "node")).distinct(), "pairs")
     wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(classes.select("node", F.col("first").alias("doc_id")), "node")
+    wanted = stored(wanted, "wanted-sets")
     sets = stored(_sets(rows_in, wanted, width), "sets")
     links = stored(_linked_to_hub(pairs, sets, percent), "links")
     roots = components(links)
