@@ -38,10 +38,12 @@ def feature_buckets(words: Column) -> Column:
     n = F.size(words)
     repeated = F.when(n > 0, F.floor(8 * F.size(F.array_distinct(words)) / n)).otherwise(-1).cast("string")
     size = F.floor(F.log2(n + F.lit(1)) / 2).cast("string")
-    names = F.concat(
-        F.transform(words, lambda w: F.lower(F.substring(w, 1, 4))), F.transform(words, lambda w: F.concat(F.lit("~"), F.substring(w, -2, 2))),
-        F.array(F.concat(F.lit("= "), repeated, F.lit(" "), size)))
-    return F.array_distinct(F.transform(names, lambda f: F.pmod(F.xxhash64(f), F.lit(BUCKETS)).cast("int")))
+    # Kinds of features are told apart by the seed of their hash.
+    bucket = lambda f, seed: F.pmod(F.xxhash64(f, F.lit(seed)), F.lit(BUCKETS)).cast("int")
+    begins = F.transform(words, lambda w: bucket(F.lower(F.substring(w, 1, 4)), 0))
+    ends = F.transform(words, lambda w: bucket(F.substring(w, -2, 2), 1))
+    shape = F.array(bucket(F.concat(repeated, F.lit(" "), size), 2))
+    return F.array_distinct(F.concat(begins, ends, shape))
 
 
 def domain_scores(docs: DataFrame, labels: DataFrame, domains: list[str], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -71,10 +73,12 @@ def domain_scores(docs: DataFrame, labels: DataFrame, domains: list[str], sample
     weights = stored(counts.filter(reduce(lambda a, b: a | b, clear)).select("bucket", *weights), "domain-weights")
     # Rows are told apart by their place, as keys may repeat; place and sums are made in one job.
     marked = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("tokens", F.size("words").cast("long"))
-    hits = marked.select("doc_id", "_row", "tokens", F.explode(feature_buckets(F.col("words"))).alias("bucket"))
-    # At most BUCKETS rows.
-    hits = hits.join(F.broadcast(weights), "bucket", "left")
-    sums = hits.groupBy("doc_id", "_row", "tokens").agg(*[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(domains))])
+    # Every document has the bucket -1 too, which weighs nothing, so that none is lost; other buckets without weights go.
+    hits = marked.select("doc_id", "_row", "tokens", F.explode(F.concat(feature_buckets(F.col("words")), F.array(F.lit(-1)))).alias("bucket"))
+    nothing = docs.sparkSession.range(1).select(F.lit(-1).alias("bucket"), *[F.lit(0.0).alias(f"w{i}") for i in range(len(domains))])
+    # At most BUCKETS rows and one.
+    hits = hits.join(F.broadcast(weights.unionByName(nothing)), "bucket")
+    sums = hits.groupBy("doc_id", "_row", "tokens").agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(domains))])
     told = sums.join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left")
     return told.select("doc_id", "tokens", "domain", fold.cast("int").alias("fold"), *[f"s{i}" for i in range(len(domains))])
 
