@@ -9,7 +9,8 @@ one's t, d and choices. Below order 0 all symbols not seen yet are equally likel
 The trie grows with the corpus and is never gathered in one place. Texts are cut into blocks. A block sends its distinct
 (context, symbol) pairs, with their counts in training texts, to the shard of the context's last two bytes. A whole
 suffix chain of contexts from order 2 up lies in one shard, so a shard knows each pair's exact probability, which it
-sends back to the blocks that asked. Orders 0 and 1 have at most 256 * 257 cells and go to every task. Words for the
+sends back to the blocks that asked. Shards are salted by block: salts are merged before a shard is, and each salt
+answers its own blocks. Orders 0 and 1 have at most 256 * 257 cells and go to every task. Words for the
 unigram base go the same way, by shards of their hashes. A pair or word costs one entry per block, however often the
 block holds it, so frequent ones make no hot group.
 """
@@ -34,6 +35,8 @@ SYMBOLS = 257
 # Text bytes of a block, and those worked on at a time.
 BLOCK_BYTES = 16_000_000
 STEP_BYTES = 2_000_000
+# Blocks whose questions to one shard are one group. The commonest last two bytes have about a fiftieth of a block's keys.
+SALT_BLOCKS = 512
 # A key holds the context, nearest byte first, and then the symbol in 9 bits; OWNER_BITS are left for a text's number.
 SYMBOL_BITS = 9
 TOP = SYMBOL_BITS + 8 * ORDER
@@ -280,18 +283,51 @@ def _read_words(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return np.frombuffer(counts, dtype="<i8"), zlib.decompress(rest).split(b" ")
 
 
-def answer_keys(blocks: DataFrame, first: np.ndarray, zero: np.ndarray) -> DataFrame:
-    """Per block and shard: the block's keys and their log-probabilities."""
-    def run(table: pa.Table) -> pa.Table:
-        asked = [_read_keys(x.as_py()) for x in table.column("data")]
-        keys, counts = summed(np.concatenate([k for k, _ in asked]), np.concatenate([c for _, c in asked]))
+def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a group's rows and their summed counts."""
+    asked = [_read_keys(x.as_py()) for x in table.column("data")]
+    return summed(np.concatenate([k for k, _ in asked]), np.concatenate([c for _, c in asked]))
+
+
+def score_keys(blocks: DataFrame, first: np.ndarray, zero: np.ndarray, salts: int) -> DataFrame:
+    """`(shard, data)`: all keys of a shard with their log-probabilities. Blocks are merged salt by salt before a shard is."""
+    def merge(table: pa.Table) -> pa.Table:
+        keys, counts = merged(table)
+        return pa.table({"shard": table.column("shard").slice(0, 1), "data": pa.array([pack_sorted(keys) + pack(counts.astype("<i8"))], pa.binary())})
+
+    def score(table: pa.Table) -> pa.Table:
+        keys, counts = merged(table)
         found = log_probabilities(keys, counts, first, zero).astype("<f4")
-        data = [pack_sorted(k) + found[np.searchsorted(keys, k)].tobytes() for k, _ in asked]
-        n = [len(k) for k, _ in asked]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "kind": table.column("kind"),
-                         "a": pa.array(n, pa.int64()), "b": pa.array([0] * len(n), pa.int64()), "data": pa.array(data, pa.binary())})
+        return pa.table({"shard": table.column("shard").slice(0, 1), "data": pa.array([pack_sorted(keys) + found.tobytes()], pa.binary())})
 
-    return blocks.filter("kind = 'keys'").groupBy("shard").applyInArrow(run, BLOCK_SCHEMA)
+    asked = blocks.filter("kind = 'keys'").select("shard", _salt(salts), "data")
+    parts = asked.groupBy("shard", "salt").applyInArrow(merge, "shard int, data binary")
+    return parts.groupBy("shard").applyInArrow(score, "shard int, data binary")
+
+
+def _salt(salts: int):
+    return F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt")
+
+
+def answer_keys(blocks: DataFrame, model: DataFrame, salts: int) -> DataFrame:
+    """Per block and shard: the block's keys and their log-probabilities. Each salt of a shard has the shard's model."""
+    def run(table: pa.Table) -> pa.Table:
+        kinds, rows = table.column("kind").to_pylist(), [x.as_py() for x in table.column("data")]
+        planes, rest = _split(rows[kinds.index("model")])
+        keys, found = sorted_from(planes), np.frombuffer(rest, dtype="<f4")
+        asked = [i for i, kind in enumerate(kinds) if kind == "keys"]
+        data = []
+        for i in asked:
+            own, _ = _read_keys(rows[i])
+            data.append(pack_sorted(own) + found[np.searchsorted(keys, own)].tobytes())
+        out = table.select(["block", "shard", "kind"]).take(pa.array(asked, pa.int64()))
+        nothing = pa.array([0] * len(asked), pa.int64())
+        return out.append_column("a", nothing).append_column("b", nothing).append_column("data", pa.array(data, pa.binary()))
+
+    asked = blocks.filter("kind = 'keys'").select("block", "shard", "kind", _salt(salts), "data")
+    models = model.select(
+        F.lit("").alias("block"), "shard", F.lit("model").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "data")
+    return asked.unionByName(models).groupBy("shard", "salt").applyInArrow(run, BLOCK_SCHEMA)
 
 
 def answer_words(blocks: DataFrame) -> DataFrame:
@@ -312,7 +348,10 @@ def answer_words(blocks: DataFrame) -> DataFrame:
     return blocks.filter("kind = 'words'").groupBy("shard").applyInArrow(run, BLOCK_SCHEMA)
 
 
-def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, step: int = STEP_BYTES) -> DataFrame:
+def score_documents(
+    docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, step: int = STEP_BYTES,
+    salt_blocks: int = SALT_BLOCKS,
+) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
     `held_out` is a boolean column: texts for which it is true are scored and not learned from (null: learned from).
@@ -330,7 +369,9 @@ def score_documents(docs: DataFrame, held_out, key: str = "doc_id", text: str =
     train_tokens, vocabulary = (sums[1] or 0) + ends, (sums[0] or 0) + (ends > 0)
     below = float(np.log10(train_tokens + 0.1 * (vocabulary + 1)))
     end_score = float(np.log10(ends + 0.1)) - below
-    answers = answer_keys(blocks, first, zero).unionByName(words).unionByName(blocks.filter("kind = 'texts'"))
+    salts = max(1, -(-blocks.filter("kind = 'texts'").count() // salt_blocks))
+    model = stored(score_keys(blocks, first, zero, salts), "lm-model")
+    answers = answer_keys(blocks, model, salts).unionByName(words).unionByName(blocks.filter("kind = 'texts'"))
 
     def run(table: pa.Table) -> pa.Table:
         keys, scores, counts, batches = [], [], {}, None
