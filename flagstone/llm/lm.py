@@ -37,6 +37,8 @@ BLOCK_BYTES = 16_000_000
 STEP_BYTES = 2_000_000
 # Blocks whose questions to one shard are one group. The commonest last two bytes have about a fiftieth of a block's keys.
 SALT_BLOCKS = 512
+# A block has a row per shard, so their number must not grow with the data; salts do.
+MOST_SHARDS = 256
 # A key holds the context, nearest byte first, and then the symbol in 9 bits; OWNER_BITS are left for a text's number.
 SYMBOL_BITS = 9
 TOP = SYMBOL_BITS + 8 * ORDER
@@ -320,32 +322,61 @@ def answer_keys(blocks: DataFrame, model: DataFrame, salts: int) -> DataFrame:
         for i in asked:
             own, _ = _read_keys(rows[i])
             data.append(pack_sorted(own) + found[np.searchsorted(keys, own)].tobytes())
-        out = table.select(["block", "shard", "kind"]).take(pa.array(asked, pa.int64()))
-        nothing = pa.array([0] * len(asked), pa.int64())
-        return out.append_column("a", nothing).append_column("b", nothing).append_column("data", pa.array(data, pa.binary()))
+        return _answers(table, asked, data)
 
-    asked = blocks.filter("kind = 'keys'").select("block", "shard", "kind", _salt(salts), "data")
-    models = model.select(
-        F.lit("").alias("block"), "shard", F.lit("model").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "data")
-    return asked.unionByName(models).groupBy("shard", "salt").applyInArrow(run, BLOCK_SCHEMA)
+    return _with_models(blocks, "keys", model, salts).groupBy("shard", "salt").applyInArrow(run, BLOCK_SCHEMA)
 
 
-def answer_words(blocks: DataFrame) -> DataFrame:
-    """Per block and shard: the training counts of the block's words, in their order; `a` and `b` of one row per shard are
-    the shard's distinct words and all its words in training texts."""
-    def run(table: pa.Table) -> pa.Table:
-        asked = [_read_words(x.as_py()) for x in table.column("data")]
-        total = {}
-        for counts, words in asked:
+def count_words(blocks: DataFrame, salts: int) -> DataFrame:
+    """`(shard, a, b, data)`: all words of a shard with their training counts; `a` of them occur in training texts, `b` times."""
+    def total(table: pa.Table) -> dict[bytes, int]:
+        out: dict[bytes, int] = {}
+        for blob in table.column("data"):
+            counts, words = _read_words(blob.as_py())
             for w, n in zip(words, counts.tolist()):
-                total[w] = total.get(w, 0) + n
-        data = [pack(np.fromiter(map(total.__getitem__, words), "<i8", len(words))) for _, words in asked]
-        a, b = [0] * len(data), [0] * len(data)
-        a[0], b[0] = sum(n > 0 for n in total.values()), sum(total.values())
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "kind": table.column("kind"),
-                         "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "data": pa.array(data, pa.binary())})
+                out[w] = out.get(w, 0) + n
+        return out
+
+    def merge(table: pa.Table) -> pa.Table:
+        found = total(table)
+        counts = np.fromiter(found.values(), "<i8", len(found))
+        blob = pack(counts) + zlib.compress(b" ".join(found), 1)
+        return pa.table({
+            "shard": table.column("shard").slice(0, 1), "a": pa.array([int((counts > 0).sum())], pa.int64()),
+            "b": pa.array([int(counts.sum())], pa.int64()), "data": pa.array([blob], pa.binary())})
+
+    schema = "shard int, a long, b long, data binary"
+    asked = blocks.filter("kind = 'words'").select("shard", _salt(salts), "data")
+    return asked.groupBy("shard", "salt").applyInArrow(merge, schema).groupBy("shard").applyInArrow(merge, schema)
 
-    return blocks.filter("kind = 'words'").groupBy("shard").applyInArrow(run, BLOCK_SCHEMA)
+
+def answer_words(blocks: DataFrame, model: DataFrame, salts: int) -> DataFrame:
+    """Per block and shard: the training counts of the block's words, in their order."""
+    def run(table: pa.Table) -> pa.Table:
+        kinds, rows = table.column("kind").to_pylist(), [x.as_py() for x in table.column("data")]
+        counts, words = _read_words(rows[kinds.index("model")])
+        known = dict(zip(words, counts.tolist()))
+        asked = [i for i, kind in enumerate(kinds) if kind == "words"]
+        data = []
+        for i in asked:
+            own = _read_words(rows[i])[1]
+            data.append(pack(np.fromiter(map(known.__getitem__, own), "<i8", len(own))))
+        return _answers(table, asked, data)
+
+    return _with_models(blocks, "words", model, salts).groupBy("shard", "salt").applyInArrow(run, BLOCK_SCHEMA)
+
+
+def _with_models(blocks: DataFrame, kind: str, model: DataFrame, salts: int) -> DataFrame:
+    """The questions of one kind, and for each salt of a shard the shard's model."""
+    asked = blocks.filter(F.col("kind") == kind).select("block", "shard", "kind", _salt(salts), "data")
+    return asked.unionByName(model.select(
+        F.lit("").alias("block"), "shard", F.lit("model").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "data"))
+
+
+def _answers(table: pa.Table, asked: list[int], data: list[bytes]) -> pa.Table:
+    out = table.select(["block", "shard", "kind"]).take(pa.array(asked, pa.int64()))
+    nothing = pa.array([0] * len(asked), pa.int64())
+    return out.append_column("a", nothing).append_column("b", nothing).append_column("data", pa.array(data, pa.binary()))
 
 
 def score_documents(
@@ -360,18 +391,18 @@ def score_documents(
     an empty table gives no rows. Without training texts every symbol is equally likely.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    kind, shards = rows.schema["doc_id"].dataType.simpleString(), max(16, partitions(docs))
+    kind, shards = rows.schema["doc_id"].dataType.simpleString(), min(MOST_SHARDS, max(16, partitions(docs)))
     blocks = stored(make_blocks(rows, shards, block_bytes, step), "lm-blocks")
+    salts = max(1, -(-blocks.filter("kind = 'texts'").count() // salt_blocks))
     first, zero = low_orders(blocks)
-    words = stored(answer_words(blocks), "lm-words")
+    words = stored(count_words(blocks, salts), "lm-words")
     sums = words.agg(F.sum("a"), F.sum("b")).first()
     ends = int(zero[END])  # each training text ends once
     train_tokens, vocabulary = (sums[1] or 0) + ends, (sums[0] or 0) + (ends > 0)
     below = float(np.log10(train_tokens + 0.1 * (vocabulary + 1)))
     end_score = float(np.log10(ends + 0.1)) - below
-    salts = max(1, -(-blocks.filter("kind = 'texts'").count() // salt_blocks))
     model = stored(score_keys(blocks, first, zero, salts), "lm-model")
-    answers = answer_keys(blocks, model, salts).unionByName(words).unionByName(blocks.filter("kind = 'texts'"))
+    answers = answer_keys(blocks, model, salts).unionByName(answer_words(blocks, words, salts)).unionByName(blocks.filter("kind = 'texts'"))
 
     def run(table: pa.Table) -> pa.Table:
         keys, scores, counts, batches = [], [], {}, None
