@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flagstone.plans.shared import scratch_path
+from flagstone.plans.shared import hint_if_small, scratch_path
 
 #: The white space of all contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -31,9 +31,9 @@ def partitions(df: DataFrame) -> int:
 
 def without(df: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of `df` whose key is not in `dropped` (one column). A null key equals a null key. The dropped keys
-    are broadcast by Spark only below its threshold."""
-    gone = dropped.select(F.col(key).alias("_gone"))
-    return df.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    are stored and counted, and broadcast only where they are few; else rows are shuffled by key."""
+    gone = stored(dropped.select(F.col(key).alias("_gone")), "dropped")
+    return df.join(hint_if_small(gone, gone.count()), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def delete_white(text: Column) -> Column:

@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flagstone.llm.common import stored
+from flagstone.plans.shared import hint_if_small
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 20_000
@@ -180,6 +181,7 @@ def mix(
 def apply_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents, each as often as `copies` says (rows of one key alike)."""
     changed = mixed.filter("copies <> 1").select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
-    joined = docs.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    changed = stored(changed, "changed-copies")
+    joined = docs.join(hint_if_small(changed, changed.count()), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     times = F.coalesce("copies", F.lit(1).cast("long"))
     return joined.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
