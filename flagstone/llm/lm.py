@@ -34,7 +34,7 @@ END = 256
 SYMBOLS = 257
 # Text bytes of a block, and those worked on at a time.
 BLOCK_BYTES = 16_000_000
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 # Blocks whose questions to one shard are one group. The commonest last two bytes have about a fiftieth of a block's keys.
 SALT_BLOCKS = 512
 # A block has a row per shard, so their number must not grow with the data; salts do.
