@@ -36,10 +36,11 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as their rate says; no more tokens are taken than need no repetition."""
+    """Documents stay as often as their rate says: plain texts all stay, and toxic ones as far as the mixture wants them
+    and there are any; where they are scarce, none is repeated and no plain text goes."""
     domain = F.when(F.col("domain") == "toxic", "toxic").when(F.col("domain").isNotNull(), "plain")
     labels = domain_labels(spark, sf_dir).withColumn("domain", domain)
-    return apply_copies(docs, mix(docs, labels, MIXTURE))
+    return apply_copies(docs, mix(docs, labels, MIXTURE, whole_domain="plain"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,8 +84,9 @@ def domain_scores(docs: DataFrame, labels: DataFrame, domains: list[str], sample
     return told.select("doc_id", "tokens", "domain", fold.cast("int").alias("fold"), *[f"s{i}" for i in range(len(domains))])
 
 
-def posteriors(scores: DataFrame, domains: list[str]) -> DataFrame:
-    """`(doc_id, tokens, p0, p1, ...)` from a stored score table: the posterior of a document's cell.
+def posteriors(scores: DataFrame, domains: list[str]) -> tuple[DataFrame, list[bool]]:
+    """`(doc_id, tokens, p0, p1, ...)` from a stored score table: the posterior of a document's cell; and which domains are
+    known, that is, have labelled rows in the fold that was held out.
 
     A cell is the rounded score for each domain. Its posterior is the share of domains among labelled rows of the fold that
     was held out there, with those of all cells as one row more.
@@ -100,17 +101,23 @@ def posteriors(scores: DataFrame, domains: list[str]) -> DataFrame:
     all_cells = cells.agg(F.sum("n"), *[F.sum(f"n{i}") for i in range(k)]).first()
     prior = [(all_cells[i + 1] + 1) / (all_cells[0] + k) if all_cells[0] is not None else 1 / k for i in range(k)]
     shares = [((F.col(f"n{i}") + prior[i]) / (F.col("n") + 1)).alias(f"p{i}") for i in range(k)]
-    return celled.join(F.broadcast(cells.select("cell", *shares)), "cell").select("doc_id", "tokens", *[f"p{i}" for i in range(k)])
+    members = celled.join(F.broadcast(cells.select("cell", *shares)), "cell").select("doc_id", "tokens", *[f"p{i}" for i in range(k)])
+    return members, [bool(all_cells[i + 1]) for i in range(k)]
 
 
-def fit_rates(members: DataFrame, shares: list[float], total: float | None = None) -> tuple[Column, list[float]]:
+def fit_rates(
+    members: DataFrame, shares: list[float], total: float | None = None, known: list[bool] | None = None, whole_domain: int | None = None,
+) -> tuple[Column, list[float]]:
     """The rate of a row of `(tokens, p0, p1, ...)` as a column, and the tokens by domain that the rates give.
 
     `shares` are the target weights by domain. `total` is the wanted number of tokens: by default the most that no domain has
-    to be repeated for.
+    to be repeated for. With `whole_domain` (a place) it is what keeps all tokens of that domain, and a domain with fewer
+    tokens than its share of it stays whole and falls short. Domains that are not `known` (default: all are) have no
+    target and limit nothing; without any, all rates are one.
     """
     k = len(shares)
     whole = sum(shares) or 1.0
+    known = known or [True] * k
     same = members.groupBy(*[f"p{i}" for i in range(k)]).agg(F.sum("tokens").cast("double").alias("tokens"))
     same = stored(same, "posteriors")
 
@@ -138,15 +145,22 @@ def fit_rates(members: DataFrame, shares: list[float], total: float | None = Non
         return numbers[:k], numbers[k:]
 
     mass, ahead = masses()
-    if total is None:
-        total = min((m / (s / whole) for m, s in zip(mass, shares) if m and s), default=0.0)
+    limits = [m / (s / whole) if m and s and sure else None for m, s, sure in zip(mass, shares, known)]
+    if whole_domain is not None and limits[whole_domain] is not None:
+        total = limits[whole_domain]
+    elif total is None:
+        total = min((x for x in limits if x is not None), default=0.0)
     target = [total * s / whole for s in shares]
+    if whole_domain is not None:
+        target = [min(t, m) for t, m in zip(target, mass)]
+    # A domain without a target asks for no change.
+    fitted = [bool(m) and sure for m, sure in zip(mass, known)]
     got, speed, near = mass, 1.0, NEAR * max(total, 1.0)
     for _ in range(STEPS):
-        if all(abs(g - t) <= near for g, t, m in zip(got, target, mass) if m):
+        if all(abs(g - t) <= near for g, t, f in zip(got, target, fitted) if f):
             break
         # In this scale the curvature is at most one, so a step of one is safe.
-        rest = [(g - t) / m if m else 0.0 for g, t, m in zip(ahead, target, mass)]
+        rest = [(g - t) / m if f else 0.0 for g, t, m, f in zip(ahead, target, mass, fitted)]
         faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
         steps.append([*rest, (speed - 1) / faster])
         before, speed = got, faster
@@ -158,19 +172,22 @@ def fit_rates(members: DataFrame, shares: list[float], total: float | None = Non
 
 def mix(
     docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, seed: int = 0, sample_rows: int = SAMPLE_ROWS,
+    whole_domain: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, tokens, `<domain>_posterior` for each domain, rate, copies.
 
     `labels` has doc_id and domain; `weights` the wanted share of tokens by domain. Tokens are words. `copies` is the rate,
     rounded up or down by a hash of doc_id such that its mean is the rate; 0 leaves the document out. Labels of a
     null key, of other domains, or of several domains for one key do not count. Null text counts as empty and has no
-    tokens; repeated rows have rates of their own. Without labels all domains are equally likely. An empty table gives
-    no rows.
+    tokens; repeated rows have rates of their own. Without labels all domains are equally likely and all rates are one; a
+    domain without held-out labels limits nothing. `total` and `whole_domain` (a name) are those of `fit_rates`. An empty
+    table gives no rows.
     """
     domains = list(weights)
     scores = stored(domain_scores(docs.select("doc_id", "text"), labels, domains, sample_rows), "domain-scores")
-    members = stored(posteriors(scores, domains), "domain-members")
-    rate, _ = fit_rates(members, [weights[d] for d in domains], total)
+    members, known = posteriors(scores, domains)
+    members = stored(members, "domain-members")
+    rate, _ = fit_rates(members, [weights[d] for d in domains], total, known, None if whole_domain is None else domains.index(whole_domain))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
     # Rates are rounded, so that rates that only numerics keep from one do not drop or repeat documents.
     return members.withColumn("rate", F.round(rate, 4)).select(

@@ -71,3 +71,29 @@ def test_copies_are_applied_with_all_columns(spark):
     mixed = spark.createDataFrame([(1, 0), (2, 3), (3, 1), (None, 0)], "doc_id long, copies long")
     got = apply_copies(docs.withColumnRenamed("copies", "n"), mixed)
     assert sorted(map(tuple, got.collect())) == [(2, "b", 8)] * 3 + [(3, "c", 9)]
+
+
+def test_scarce_and_unlabelled_domains_do_not_limit_the_rest(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    toxic = {i for i in range(3000) if i % 1000 == 7}  # 0.1 %
+    words = lambda i: " ".join(("vile" if i in toxic else "calm") + f"{x}" for x in rng.integers(0, 50, 30))
+    docs = spark.createDataFrame([(i, words(i), "en", "web", 100) for i in range(3000)], "doc_id long, text string, lang string, source string, n_chars long")
+    schema = "doc_id long, quality int, toxic int"
+    marked = [(i, 1, int(i in toxic)) for i in range(3000)]
+    for name, rows in {"scarce": marked, "no_toxic": [(i, q, 0) for i, q, _ in marked], "none": []}.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "labels.parquet"))
+        kept = corpus_pipeline.source_mixing(spark, docs, str(tmp_path / name)).select("doc_id").collect()
+        assert sorted(r.doc_id for r in kept) == list(range(3000)), name
+    # The default total too: a domain without held-out labels is no limit.
+    labels = spark.createDataFrame([(i, "a") for i in range(3000)], "doc_id long, domain string")
+    assert mix(docs, labels, {"a": 0.9, "b": 0.1}).filter("rate <> 1 or copies <> 1").count() == 0
+
+
+def test_the_whole_domain_stays_and_a_common_one_is_cut_to_its_share(spark):
+    rows = [(i, 10, float(i % 4 == 0), float(i % 4 != 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long, p0 double, p1 double")
+    rate, got = fit_rates(df, [0.01, 0.99], whole_domain=1)
+    assert np.allclose(got, [3000 / 99, 3000], rtol=1e-3)
+    assert np.allclose(fit_rates(df, [0.9, 0.1], whole_domain=1)[1], [1000, 3000], rtol=1e-3)
