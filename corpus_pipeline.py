@@ -1,14 +1,15 @@
 """The corpus pipeline: stages over the documents table, each a step of one operator of flagstone.llm.
 
 Each stage takes the documents that its predecessor kept, decides over all of them, and returns the rows it keeps with
-the columns of `documents`; the last returns packed pieces.
+the columns of `documents`; the last returns packed pieces. Decisions fall on rows, not on doc_id, which may be null or
+repeated: a struct of all that a row holds is the operators' key inside a stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flagstone.llm.common import stored, without
+from flagstone.llm.common import kept_once, stored, with_row_key, without
 from flagstone.llm.exact_dedup import exact_groups
 from flagstone.llm.minhash import near_duplicates
 from flagstone.llm.mixing import apply_copies, mix
@@ -16,23 +17,29 @@ from flagstone.llm.packing import packed_digest
 from flagstone.llm.quality import score_quality
 from flagstone.llm.queries import domain_labels, table, tokenizer_file
 
+ROW = "_row_key"
+
 # Wanted shares of tokens. Poor documents are gone by then, so domains are toxic and other texts.
 MIXTURE = {"plain": 0.99, "toxic": 0.01}
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    return without(docs, score_quality(docs, table(spark, sf_dir, "labels")).filter("not kept"))
+    keyed = with_row_key(docs, ROW)
+    return without(keyed, score_quality(keyed, table(spark, sf_dir, "labels"), row=ROW).filter("not kept"), ROW).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return without(docs, exact_groups(docs).filter("not kept"))
+    keyed = with_row_key(docs, ROW)
+    return kept_once(keyed, exact_groups(keyed, key=ROW).filter("group_size > 1"), ROW).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
-    return without(docs, near_duplicates(docs).filter("not kept"))
+    keyed = with_row_key(docs, ROW)
+    # Texts without words link with nothing, not even with themselves.
+    return kept_once(keyed, near_duplicates(keyed, key=ROW).filter("n_shingles > 0"), ROW).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +47,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     and there are any; where they are scarce, none is repeated and no plain text goes."""
     domain = F.when(F.col("domain") == "toxic", "toxic").when(F.col("domain").isNotNull(), "plain")
     labels = domain_labels(spark, sf_dir).withColumn("domain", domain)
-    return apply_copies(docs, mix(docs, labels, MIXTURE, whole_domain="plain"))
+    keyed = with_row_key(docs, ROW)
+    return apply_copies(keyed, mix(keyed, labels, MIXTURE, whole_domain="plain", row=ROW), ROW).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

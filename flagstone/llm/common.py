@@ -36,6 +36,28 @@ def without(df: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame
     return df.join(hint_if_small(gone, gone.count()), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
 
 
+def with_row_key(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add a struct that tells rows apart by all their columns, in the order of the key (null last). Rows of one struct are
+    the same row several times. It is made of values alone, so no task, retry or partitioning changes it."""
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != text]))
+    digest = F.unhex(F.sha2(F.concat(F.coalesce(F.sha2(text, 256), F.lit("")), others), 256))
+    return docs.withColumn(name, F.struct(F.when(F.col(key).isNull(), 1).alias("no_key"), F.col(key).alias(key), digest.alias("digest")))
+
+
+def kept_once(keyed: DataFrame, decided: DataFrame, name: str) -> DataFrame:
+    """Rows of `keyed` but those that `decided` (`name`, kept; one row per row that is in a group) drops; of the rows that
+    share a kept struct of `with_row_key` one stays."""
+    decided = stored(decided.select(name, "kept"), "decided")
+    rest = without(keyed, decided.filter("not kept").select(name), name)
+    repeated = decided.filter("kept").groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(name).alias("_again"))
+    repeated = stored(repeated, "repeated")
+    n = repeated.count()
+    if not n:
+        return rest
+    again = rest.join(hint_if_small(repeated, n), F.col(name) == F.col("_again"), "left_semi")
+    return without(rest, repeated.withColumnRenamed("_again", name), name).unionByName(again.dropDuplicates([name]))
+
+
 def delete_white(text: Column) -> Column:
     for c in WHITE:
         text = F.replace(text, F.lit(c), F.lit(""))

@@ -110,12 +110,12 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     narrow = stored(narrow, "exact-prints")
     repeated = stored(repeated_fingerprints(narrow), "exact-repeated")
     suspects = rows.withColumn("norm", norm).withColumn("fp", F.xxhash64("norm")).join(repeated, "fp", "left_semi")
-    # Equal bytes, and nothing else, make a group. ~key falls as the key rises, and null is lowest in a struct.
-    best = F.max(F.struct(F.length("text").alias("n"), F.bitwise_not("doc_id").alias("inverse")))
+    # Equal bytes, and nothing else, make a group. Null is lowest in a struct, so whether the key is null comes first.
+    best = F.min(F.struct((-F.length("text")).alias("n"), F.col("doc_id").isNull().alias("no_key"), "doc_id"))
     classes = (
         suspects.groupBy("norm").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
-        .select(F.sha2("norm", 256).alias("text_sha256"), F.bitwise_not("best.inverse").alias("keep_id"), "group_size")
+        .select(F.sha2("norm", 256).alias("text_sha256"), F.col("best.doc_id").alias("keep_id"), "group_size")
     )
     classes = stored(classes, "exact-classes")
     out = narrow.join(classes, "text_sha256", "left")

@@ -47,10 +47,11 @@ def feature_buckets(words: Column) -> Column:
     return F.array_distinct(F.concat(begins, ends, shape))
 
 
-def domain_scores(docs: DataFrame, labels: DataFrame, domains: list[str], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def domain_scores(docs: DataFrame, labels: DataFrame, domains: list[str], sample_rows: int = SAMPLE_ROWS, field: str | None = None) -> DataFrame:
     """`(doc_id, tokens, domain, fold, s0, s1, ...)`: each document's log score per domain; `domain` where it is labelled.
 
-    The classifier is fitted on at most `sample_rows` labelled rows, chosen by hash of the key.
+    The classifier is fitted on at most `sample_rows` labelled rows, chosen by hash of the key. Where the documents' doc_id
+    is a struct that names rows, `field` is its field that labels go by.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy(F.col("doc_id").alias("_id"))
@@ -58,10 +59,11 @@ def domain_scores(docs: DataFrame, labels: DataFrame, domains: list[str], sample
         .orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(sample_rows)
     )
     known = stored(known, "domain-labels")
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS))
+    own = F.col("doc_id") if field is None else F.col("doc_id")[field]
+    fold = F.pmod(F.xxhash64(own, F.lit(9)), F.lit(FOLDS))
     rows = docs.select("doc_id", words_of(F.coalesce("text", F.lit(""))).alias("words"))
     # Bounded by `sample_rows`.
-    labelled = rows.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).filter(fold != 0)
+    labelled = rows.join(F.broadcast(known), own == F.col("_id")).filter(fold != 0)
     counts = labelled.select("domain", F.explode(feature_buckets(F.col("words"))).alias("bucket")).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)])
     sizes = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
@@ -80,7 +82,7 @@ def domain_scores(docs: DataFrame, labels: DataFrame, domains: list[str], sample
     # At most BUCKETS rows and one.
     hits = hits.join(F.broadcast(weights.unionByName(nothing)), "bucket")
     sums = hits.groupBy("doc_id", "_row", "tokens").agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(domains))])
-    told = sums.join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left")
+    told = sums.join(F.broadcast(known), own == F.col("_id"), "left")
     return told.select("doc_id", "tokens", "domain", fold.cast("int").alias("fold"), *[f"s{i}" for i in range(len(domains))])
 
 
@@ -172,7 +174,7 @@ def fit_rates(
 
 def mix(
     docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, seed: int = 0, sample_rows: int = SAMPLE_ROWS,
-    whole_domain: str | None = None,
+    whole_domain: str | None = None, row: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, tokens, `<domain>_posterior` for each domain, rate, copies.
 
@@ -180,25 +182,27 @@ def mix(
     rounded up or down by a hash of doc_id such that its mean is the rate; 0 leaves the document out. Labels of a
     null key, of other domains, or of several domains for one key do not count. Null text counts as empty and has no
     tokens; repeated rows have rates of their own. Without labels all domains are equally likely and all rates are one; a
-    domain without held-out labels limits nothing. `total` and `whole_domain` (a name) are those of `fit_rates`. An empty
+    domain without held-out labels limits nothing. `total` and `whole_domain` (a name) are those of `fit_rates`. `row` is
+    a struct column with doc_id as a field, which names the rows of the result (and rounds them) instead of doc_id. An empty
     table gives no rows.
     """
     domains = list(weights)
-    scores = stored(domain_scores(docs.select("doc_id", "text"), labels, domains, sample_rows), "domain-scores")
+    rows = docs.select(F.col(row or "doc_id").alias("doc_id"), "text")
+    scores = stored(domain_scores(rows, labels, domains, sample_rows, None if row is None else "doc_id"), "domain-scores")
     members, known = posteriors(scores, domains)
     members = stored(members, "domain-members")
     rate, _ = fit_rates(members, [weights[d] for d in domains], total, known, None if whole_domain is None else domains.index(whole_domain))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
     # Rates are rounded, so that rates that only numerics keep from one do not drop or repeat documents.
     return members.withColumn("rate", F.round(rate, 4)).select(
-        "doc_id", "tokens", *[F.col(f"p{i}").alias(f"{d}_posterior") for i, d in enumerate(domains)], "rate",
+        F.col("doc_id").alias(row or "doc_id"), "tokens", *[F.col(f"p{i}").alias(f"{d}_posterior") for i, d in enumerate(domains)], "rate",
         F.floor(F.col("rate") + chance).cast("long").alias("copies"))
 
 
-def apply_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def apply_copies(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents, each as often as `copies` says (rows of one key alike)."""
-    changed = mixed.filter("copies <> 1").select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
+    changed = mixed.filter("copies <> 1").select(F.col(key).alias("_id"), "copies").dropDuplicates(["_id"])
     changed = stored(changed, "changed-copies")
-    joined = docs.join(hint_if_small(changed, changed.count()), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(hint_if_small(changed, changed.count()), F.col(key).eqNullSafe(F.col("_id")), "left")
     times = F.coalesce("copies", F.lit(1).cast("long"))
     return joined.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)

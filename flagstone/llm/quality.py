@@ -218,21 +218,24 @@ def train(rows: DataFrame) -> Model | None:
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.5, key: str = "doc_id", text: str = "text", label: str = "quality",
+    row: str | None = None,
 ) -> DataFrame:
     """One row per document: key, text_probability, metadata_probability, quality, kept (`quality >= threshold`).
 
     `labels` has the key and a label of 0 or 1. Labels of a null key, null labels and keys with both labels do not count.
     Null text counts as empty; metadata columns (lang, source, n_chars) may be null. Repeated rows are scored
-    each. Without labels of both kinds nothing can be learned: probabilities are null and all documents are kept. An
+    each. `row` is a struct column with the key as a field, which names the rows of the result instead of the key. Without
+    labels of both kinds nothing can be learned: probabilities are null and all documents are kept. An
     empty table gives no rows.
     """
     truth = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_id"))
         .agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low = high").select("_id", F.col("low").cast("double").alias("y"))
     )
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")
-    table = featured(rows).join(truth, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "x", "y", fold.alias("fold"))
+    rows = docs.select(F.col(row or key).alias("doc_id"), F.col(text).alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    own = F.col("doc_id") if row is None else F.col("doc_id")[key]
+    fold = F.pmod(F.xxhash64(own, F.lit(7)), F.lit(FOLDS)).cast("int")
+    table = featured(rows).join(truth, own == F.col("_id"), "left").select("doc_id", "x", "y", fold.alias("fold"))
     table = stored(table, "quality-features")
     model = train(table)
 
@@ -253,4 +256,4 @@ def score_quality(
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = table.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, text_probability double, metadata_probability double, quality double, kept boolean")
-    return scored.withColumnRenamed("doc_id", key)
+    return scored.withColumnRenamed("doc_id", row or key)

@@ -89,3 +89,35 @@ def test_exact_and_warc_queries_equal_their_sql(spark):
     db = oracle(SF)
     for name in ("op5_exact_dedup", "op9_warc_bundles"):
         assert difference(spark, db, QUERIES[name], ORACLES[name], SF) is None
+
+
+def test_decisions_fall_on_rows_of_null_and_repeated_keys(spark):
+    from pyspark.sql import functions as F
+
+    def words(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    # A copy of a null or repeated key beside unique texts of that key, rows that repeat all, and copies of null keys only.
+    rows = [(1, words("a")), (None, words("a")), (None, words("b")), (2, words("a")), (2, words("c")), (3, words("d")), (3, words("d"))]
+    rows += [(None, words("e"))] * 50 + [(4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "web", 100) for r in rows], schema)
+    kept = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    wanted = [(1, words("a")), (None, words("b")), (2, words("c")), (3, words("d")), (None, words("e"))]
+    assert kept(corpus_pipeline.exact_dedup(spark, docs, SF)) == sorted([*wanted, (4, None)], key=str)
+    assert kept(corpus_pipeline.minhash_near_dedup(spark, docs, SF)) == sorted([*wanted, (4, None), (5, "")], key=str)
+    # The same by quality and by copies: a decision about one row of a key leaves its other rows alone.
+    poor = [r for r in spark.read.parquet(f"{SF}/documents.parquet").join(
+        spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 0"), "doc_id").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    good = [r for r in spark.read.parquet(f"{SF}/documents.parquet").join(
+        spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1"), "doc_id").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    both = spark.createDataFrame([tuple(r) for r in poor + good] + [(None, *r[1:]) for r in poor + good], schema)
+    after = corpus_pipeline.quality_classifier(spark, both, SF)
+    by_key = {k: {r.text for r in after.filter(c).collect()} for k, c in (("null", F.col("doc_id").isNull()), ("set", F.col("doc_id").isNotNull()))}
+    assert {r.text for r in good} <= by_key["null"] == by_key["set"]
+    keyed = corpus_pipeline.with_row_key(docs.filter("doc_id is null or doc_id = 2"), "k")
+    mixed = keyed.select("k", F.when(F.col("text").startswith("a0 "), 0).otherwise(2).cast("long").alias("copies"))
+    from flagstone.llm.mixing import apply_copies
+
+    got = kept(apply_copies(keyed, mixed, "k"))
+    assert got == sorted([(None, words("b"))] * 2 + [(2, words("c"))] * 2 + [(None, words("e"))] * 100, key=str)
