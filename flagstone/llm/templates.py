@@ -31,7 +31,10 @@ NAMED_SHARE, OTHER_SHARE = 0.5, 0.8
 BATCH_PAGES = 500
 
 # Fixed values of HTML.
-RAW = "script style textarea title noscript template iframe svg math select option button object".split()
+RAW = "script style textarea title noscript iframe".split()
+HIDDEN = frozenset("template svg math select datalist option button object".split())
+# Hidden elements that hold no other of their kind, and those that block elements end.
+UNNESTED, FOREIGN = frozenset("select datalist option button".split()), frozenset(["svg", "math"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body main article section div header footer nav aside form ul ol dl table tbody thead tfoot figure blockquote fieldset details center".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre address figcaption caption legend summary hr".split())
@@ -44,9 +47,18 @@ DROPPED_NAMES = frozenset(
     "comment comments commentlist reply replies disqus share sharing social related recommended popup modal overlay login search".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ENDS = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in HIDDEN}
+
+
+def has_end(html: str, at: int, tag: str) -> bool:
+    """Whether a hidden element that opens before `at` has an end tag of its own, as one without hides nothing."""
+    if tag in UNNESTED:
+        found = ENDS[tag].search(html, at)
+        return bool(found and found[1])
+    return any(found[1] for found in ENDS[tag].finditer(html, at))
 
 
 def parse(html: str) -> tuple[list[tuple[str, str]], Counter]:
@@ -93,6 +105,10 @@ def parse(html: str) -> tuple[list[tuple[str, str]], Counter]:
             close_block()
         if tag in LEAVES and stack and stack[-1][0] in LEAVES and stack[-1][2]:
             stack.pop()  # a dropped paragraph without an end tag
+        if (container or tag in LEAVES) and stack and stack[-1][0] in FOREIGN:
+            stack.pop()  # as browsers do
+        if tag in HIDDEN and not m[4].endswith("/") and not has_end(html, at, tag):
+            continue
         if tag in VOID or (m[4].endswith("/") and not container and tag not in LEAVES):
             continue
         names, role = [], ""
@@ -106,7 +122,7 @@ def parse(html: str) -> tuple[list[tuple[str, str]], Counter]:
         above = stack[-1] if stack else ("", "", False)
         inside = any(s[0] in ("article", "main") for s in stack)
         dropped = (
-            tag in DROPPED_TAGS or role in DROPPED_ROLES or tag == "header" and not inside
+            tag in DROPPED_TAGS or tag in HIDDEN or role in DROPPED_ROLES or tag == "header" and not inside
             or tag not in ("html", "body", "article", "main") and not DROPPED_NAMES.isdisjoint(names))
         if container or dropped:
             path = above[1]

@@ -69,3 +69,12 @@ def test_blocks_and_paths():
     blocks, paths = parse("<body><article><h1>A</h1>b<p>c<p class=ad>x<p>d<ul><li>e<li>f</ul><aside>no</aside>g</article>")
     assert [t for _, t in blocks] == ["A", "b", "c", "d", "e", "f", "g"]
     assert paths["body>article"] == 1 and paths["body>article>ul"] == 1
+
+
+def test_raw_names_and_missing_ends_swallow_nothing():
+    shown = lambda html: [t for _, t in parse(html)[0]]
+    for mark in ("<svg width=1 />", "<svg><path d=x>", "<button>", "<svg-icon></svg-icon>", "<button-group></button-group>", "<title-bar></title-bar>",
+                 "<template-card></template-card>", "<script-x>", "<object data=x>", "<select>", "<svg/><button>"):
+        assert shown(f"<article><p>a</p>{mark}<p>b</p><p>c</p></article>") == ["a", "b", "c"], mark
+    assert shown("<p>a</p><button>x<button>no</button><p>b</p><svg><title>no</title><text>no</text></svg><p>c") == ["a", "x", "b", "c"]
+    assert shown("<p>a</p><select><option>no<option>no</select><button><div>no</div></button><template><p>no</p></template ><p>b<script>no</script x><p>c") == ["a", "b", "c"]
