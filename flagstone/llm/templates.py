@@ -5,7 +5,8 @@ its host is its count in each page; tokens with the same vector make an equivale
 occur once in (nearly) every page is the site's template, where nesting holds: a token stays only when its parent is in
 the class too. The other classes (list items, paragraphs) repeat inside the template's slots. A slot that holds the
 same text on every page is template text. Of the remaining slots, those of menus, adverts and the like are
-told by their tags and names, and the text is taken from the deepest template container that holds the article.
+told by their tags and names. The text is that of the <article> and <main> containers where these hold most of it, else
+that of all slots that are left, however little each of them holds.
 
 Vectors are never gathered: a vector is named by a sum of hashes over pages, so a task sends one row per host and
 token, however many pages the host has. Host templates are joined to pages by Spark, which broadcasts them only
@@ -26,8 +27,8 @@ from flagstone.llm.common import stored
 
 # A template needs a token on this share of a host's pages; constant text counts from this many pages on.
 SUPPORT, LEAST_PAGES = 0.9, 5
-# Shares of a host's text that a named or any other container must hold to be that of the article.
-NAMED_SHARE, OTHER_SHARE = 0.5, 0.8
+# Share of a host's text that its article and main containers must hold to be those of the article.
+NAMED_SHARE = 0.5
 BATCH_PAGES = 500
 
 # Fixed values of HTML.
@@ -192,9 +193,13 @@ def token_rows(batches):
                 names=["host", "path", "pages", "vector", "ones", "chars", "low", "high"])
 
 
-def deduce(tokens: list[tuple[str, int, int, int, int, int, int]]) -> tuple[str, list[str]]:
-    """From a host's tokens `(path, pages, vector, ones, chars, low, high)`: the article's container and the containers
-    of constant text."""
+def within(path: str, outer: str) -> bool:
+    return path == outer or path.startswith(outer + ">")
+
+
+def deduce(tokens: list[tuple[str, int, int, int, int, int, int]]) -> tuple[list[str], list[str]]:
+    """From a host's tokens `(path, pages, vector, ones, chars, low, high)`: the article's containers (none: the whole
+    page) and the containers of constant text."""
     by_path = {t[0]: t for t in tokens}
     whole = by_path[""]
     classes = defaultdict(set)
@@ -208,30 +213,30 @@ def deduce(tokens: list[tuple[str, int, int, int, int, int, int]]) -> tuple[str,
         if path and path.rpartition(">")[0] in nested:
             nested.add(path)
     nested.discard("")
-    total = max((by_path[p][4] for p in nested), default=0)
-
-    def fits(path, share):
-        return by_path[path][4] >= share * total > 0
-
-    named = [p for p in nested if re.match(r"(article|main)\b", p.rpartition(">")[2]) and fits(p, NAMED_SHARE)]
-    other = [p for p in nested if fits(p, OTHER_SHARE)]
-    deepest = max(named or other, key=lambda p: (p.count(">"), by_path[p][4], p), default="")
+    total = sum(by_path[p][4] for p in nested if ">" not in p)
+    named = []
+    for p in sorted(nested, key=lambda p: (p.count(">"), p)):
+        if re.match(r"(article|main)\b", p.rpartition(">")[2]) and by_path[p][4] and not any(within(p, q) for q in named):
+            named.append(p)
+    main = named if named and sum(by_path[p][4] for p in named) >= NAMED_SHARE * total else []
+    same = {p for p in nested if by_path[p][4] and by_path[p][5] == by_path[p][6] and by_path[p][1] == whole[1]}
     constant = []
-    if deepest and whole[1] >= LEAST_PAGES and by_path[deepest][5] != by_path[deepest][6]:
-        constant = sorted(p for p in nested if by_path[p][4] and by_path[p][5] == by_path[p][6] and by_path[p][1] == whole[1] and p.startswith(deepest + ">"))
-    return deepest, constant
+    # On a host whose pages all have the same text nothing tells the template's text.
+    if whole[1] >= LEAST_PAGES and not same.issuperset(main or [p for p in nested if ">" not in p]):
+        constant = sorted(p for p in same if not main or any(within(p, q) for q in main))
+    return main, constant
 
 
-def extract(html: str, main: str, constant: list[str]) -> str:
+def extract(html: str, main: list[str], constant: list[str]) -> str:
     """The text of a page by its host's template; by its own tokens where the page lacks the template's container."""
     blocks, paths = parse(html)
-    if paths[main] != 1:
+    if main and not any(paths[p] for p in main):
         own = [("", 1, 0, 1, 0, 0, 0)]
         own += [(p, 1, int(n != 1), int(n == 1), chars, below, below) for p, (n, chars, below) in page_tokens(html).items()]
         main, constant = deduce(own)
-    gone = set(constant)
-    kept = [t for p, t in blocks if (not main or p == main or p.startswith(main + ">")) and not (gone and gone.intersection(ancestors(p)))]
-    return "\n\n".join(kept)
+    kept, gone = set(main), set(constant)
+    found = [t for p, t in blocks if (not kept or not kept.isdisjoint(ancestors(p))) and not (gone and not gone.isdisjoint(ancestors(p)))]
+    return "\n\n".join(found)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -250,16 +255,16 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def templates(table: pa.Table) -> pa.Table:
         names = ["path", "pages", "vector", "ones", "chars", "low", "high"]
         main, constant = deduce(list(zip(*(table.column(c).to_pylist() for c in names))))
-        return pa.table({"host": table.column("host").slice(0, 1), "main": [main], "constant": pa.array([constant], pa.list_(pa.string()))})
+        return pa.table({"host": table.column("host").slice(0, 1), "main": pa.array([main], pa.list_(pa.string())), "constant": pa.array([constant], pa.list_(pa.string()))})
 
-    found = stored(stats.groupBy("host").applyInArrow(templates, "host string, main string, constant array<string>"), "templates")
+    found = stored(stats.groupBy("host").applyInArrow(templates, "host string, main array<string>, constant array<string>"), "templates")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_PAGES):
                 part = batch.slice(at, BATCH_PAGES)
                 cells = (part.column(c).to_pylist() for c in ("html", "main", "constant"))
-                out = [extract(html, main or "", constant or []) for html, main, constant in zip(*cells)]
+                out = [extract(html, main or [], constant or []) for html, main, constant in zip(*cells)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"])

@@ -78,3 +78,19 @@ def test_raw_names_and_missing_ends_swallow_nothing():
         assert shown(f"<article><p>a</p>{mark}<p>b</p><p>c</p></article>") == ["a", "b", "c"], mark
     assert shown("<p>a</p><button>x<button>no</button><p>b</p><svg><title>no</title><text>no</text></svg><p>c") == ["a", "x", "b", "c"]
     assert shown("<p>a</p><select><option>no<option>no</select><button><div>no</div></button><template><p>no</p></template ><p>b<script>no</script x><p>c") == ["a", "b", "c"]
+
+
+def test_without_article_tags_all_slots_of_varying_text_are_kept(spark):
+    long = "many words of the entry " * 20
+    bodies = {
+        "http://i.org": "<div id=content><h1>Title {0}</h1><p>Lead {0}</p><div class=entry><p>" + long + "{0}</p></div></div>",
+        "http://j.org": "<div><p>Before {0}</p><table><tr><td>" + long + "{0}</table><p>After {0}</p></div>",
+        "http://k.org": "<main><h1>Head {0}</h1><article><p>" + long + "{0}</p></article></main>",
+    }
+    for n in (1, 8):  # a single page, and a template
+        rows = [(f"{host}/{i}", f"<body><nav>menu</nav>{body.format(i)}<div>{'Always the same' if n > 1 else ''}</div></body>") for host, body in bodies.items() for i in range(n)]
+        got = extract_pages(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], SCHEMA)).collect()
+        for r in got:
+            i, end = r.url[-1], " ".join(long.split())
+            parts = {"i": [f"Title {i}", f"Lead {i}", f"{end} {i}"], "j": [f"Before {i}", f"{end} {i}", f"After {i}"], "k": [f"Head {i}", f"{end} {i}"]}
+            assert r.text == "\n\n".join(parts[r.url[7]])
