@@ -27,8 +27,9 @@ from flagstone.llm.common import stored
 
 # A template needs a token on this share of a host's pages; constant text counts from this many pages on.
 SUPPORT, LEAST_PAGES = 0.9, 5
-# Share of a host's text that its article and main containers must hold to be those of the article.
-NAMED_SHARE = 0.5
+# Share of a host's text that its article and main containers must hold to be those of the article, and that a container
+# must hold not to be dropped for its name.
+NAMED_SHARE, OVERRULING_SHARE = 0.5, 0.8
 BATCH_PAGES = 500
 
 # Fixed values of HTML.
@@ -46,6 +47,14 @@ DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus "
     "breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices newsletter subscribe subscription signup "
     "comment comments commentlist reply replies disqus share sharing social related recommended popup modal overlay login search".split())
+# A class or id counts when all its parts are among those names or these words, one at least among those.
+BESIDE_NAMES = frozenset(
+    "main top bottom left right site page primary secondary global mobile desktop bar box list block area section wrap wrapper "
+    "container inner outer widget item items link links button buttons icon icons form x".split())
+# Names that say something else of a paragraph, heading or list item, and those that do of a part of an article.
+NOT_OF_LEAVES = frozenset("notice notices promotion banner aside footer masthead navigation menu menus reply replies social related recommended search login".split())
+NOT_INSIDE = frozenset("notice notices".split())
+MARK = "!"  # before the label of a container with a dropped name, which the template may overrule
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
@@ -62,8 +71,18 @@ def has_end(html: str, at: int, tag: str) -> bool:
     return any(found[1] for found in ENDS[tag].finditer(html, at))
 
 
+def is_dropped(value: str, names: frozenset) -> bool:
+    """Whether one of the names in a class or id is made of dropped names as a whole."""
+    for name in value.split():
+        parts = re.findall(r"[a-z]+", name)
+        if not names.isdisjoint(parts) and all(p in names or p in BESIDE_NAMES for p in parts):
+            return True
+    return False
+
+
 def parse(html: str) -> tuple[list[tuple[str, str]], Counter]:
     """The text blocks `(path, text)` of a page without dropped parts, in order, and how often each container path occurs.
+    Containers with a dropped name are marked in the path and not dropped yet.
 
     Tolerates missing and misplaced end tags. <br> is white space inside a block; other inline tags are nothing.
     """
@@ -112,7 +131,7 @@ def parse(html: str) -> tuple[list[tuple[str, str]], Counter]:
             continue
         if tag in VOID or (m[4].endswith("/") and not container and tag not in LEAVES):
             continue
-        names, role = [], ""
+        names, role, classes, ids = [], "", "", ""
         if "=" in m[4]:
             for kind, a, b, c in NAMES.findall(m[4]):
                 value = (a or b or c).lower()
@@ -120,15 +139,23 @@ def parse(html: str) -> tuple[list[tuple[str, str]], Counter]:
                     role = value
                 else:
                     names += re.findall(r"[a-z]+", value)
+                    if kind.lower() == "class":
+                        classes += " " + value
+                    else:
+                        ids += " " + value
         above = stack[-1] if stack else ("", "", False)
         inside = any(s[0] in ("article", "main") for s in stack)
-        dropped = (
-            tag in DROPPED_TAGS or tag in HIDDEN or role in DROPPED_ROLES or tag == "header" and not inside
-            or tag not in ("html", "body", "article", "main") and not DROPPED_NAMES.isdisjoint(names))
+        dropped = tag in DROPPED_TAGS or tag in HIDDEN or role in DROPPED_ROLES or tag == "header" and not inside
+        told = False
+        if names and tag not in ("html", "body", "article", "main") and not DROPPED_NAMES.isdisjoint(names):
+            if container:
+                told = is_dropped(classes, DROPPED_NAMES - NOT_INSIDE) if inside else is_dropped(classes + " " + ids, DROPPED_NAMES)
+            else:
+                dropped = dropped or is_dropped(classes, DROPPED_NAMES - NOT_OF_LEAVES)
         if container or dropped:
             path = above[1]
             if container:
-                label = ".".join([tag, *sorted(set(names))])
+                label = MARK * told + ".".join([tag, *sorted(set(names))])
                 path = f"{path}>{label}" if path else label
                 # Containers of one name below one parent have different roles by their order.
                 order[path] += 1
@@ -150,14 +177,22 @@ def ancestors(path: str):
         path = path.rpartition(">")[0]
 
 
+def marked(path: str) -> bool:
+    """Whether the container itself has a dropped name."""
+    return path.rpartition(">")[2].startswith(MARK)
+
+
 def page_tokens(html: str) -> dict[str, tuple[int, int, int]]:
-    """For each container path: its count, the characters below it and a hash of their text."""
+    """For each container path: its count, the characters below it and a hash of their text. Text in a marked container
+    does not count for those around it."""
     blocks, paths = parse(html)
     chars, below = Counter(), defaultdict(xxhash.xxh3_64)
     for path, text in blocks:
         for p in ancestors(path):
             chars[p] += len(text)
             below[p].update(text)
+            if marked(p):
+                break
     return {p: (n, chars[p], below[p].intdigest() >> 1 if p in below else 0) for p, n in paths.items()}
 
 
@@ -197,9 +232,9 @@ def within(path: str, outer: str) -> bool:
     return path == outer or path.startswith(outer + ">")
 
 
-def deduce(tokens: list[tuple[str, int, int, int, int, int, int]]) -> tuple[list[str], list[str]]:
+def deduce(tokens: list[tuple[str, int, int, int, int, int, int]]) -> tuple[list[str], list[str], list[str]]:
     """From a host's tokens `(path, pages, vector, ones, chars, low, high)`: the article's containers (none: the whole
-    page) and the containers of constant text."""
+    page), the containers of constant text and the marked containers that stay."""
     by_path = {t[0]: t for t in tokens}
     whole = by_path[""]
     classes = defaultdict(set)
@@ -213,29 +248,61 @@ def deduce(tokens: list[tuple[str, int, int, int, int, int, int]]) -> tuple[list
         if path and path.rpartition(">")[0] in nested:
             nested.add(path)
     nested.discard("")
-    total = sum(by_path[p][4] for p in nested if ">" not in p)
+    chars = {p: by_path[p][4] for p in nested}
+
+    def top() -> int:
+        return sum(chars[p] for p in nested if ">" not in p and (not marked(p) or p in stays))
+
+    def seen(path: str) -> bool:
+        return all(p in stays for p in ancestors(path) if marked(p))
+
+    # A marked container stays when it holds the article or nearly all text; its text then counts for those around it.
+    stays: set[str] = set()
+    articles = [p for p in nested if re.match(r"(article|main)\b", p.rpartition(">")[2]) and chars[p]]
+    suspects = sorted((p for p in nested if marked(p)), key=lambda p: (-p.count(">"), p))
+    everything = top() + sum(chars[p] for p in suspects)
+    hidden = not any(seen(p) for p in articles)
+    for p in suspects:
+        holds = any(within(q, p) and all(m in stays or not within(m, p) or m == p for m in ancestors(q) if marked(m)) for q in articles)
+        if chars[p] and (holds and (hidden or chars[p] >= NAMED_SHARE * everything) or chars[p] >= OVERRULING_SHARE * everything):
+            stays.add(p)
+            for outer in list(ancestors(p))[1:]:
+                chars[outer] += chars[p]
+                if marked(outer):
+                    break
     named = []
-    for p in sorted(nested, key=lambda p: (p.count(">"), p)):
-        if re.match(r"(article|main)\b", p.rpartition(">")[2]) and by_path[p][4] and not any(within(p, q) for q in named):
+    for p in sorted(articles, key=lambda p: (p.count(">"), p)):
+        if seen(p) and not any(within(p, q) for q in named):
             named.append(p)
-    main = named if named and sum(by_path[p][4] for p in named) >= NAMED_SHARE * total else []
-    same = {p for p in nested if by_path[p][4] and by_path[p][5] == by_path[p][6] and by_path[p][1] == whole[1]}
+    main = named if named and sum(chars[p] for p in named) >= NAMED_SHARE * top() else []
+    same = {p for p in nested if by_path[p][4] and by_path[p][5] == by_path[p][6] and by_path[p][1] == whole[1] and not any(p != q and within(q, p) for q in stays)}
     constant = []
     # On a host whose pages all have the same text nothing tells the template's text.
     if whole[1] >= LEAST_PAGES and not same.issuperset(main or [p for p in nested if ">" not in p]):
         constant = sorted(p for p in same if not main or any(within(p, q) for q in main))
-    return main, constant
+    return main, constant, sorted(stays)
 
 
-def extract(html: str, main: list[str], constant: list[str]) -> str:
-    """The text of a page by its host's template; by its own tokens where the page lacks the template's container."""
+def extract(html: str, main: list[str], constant: list[str], stays: list[str]) -> str:
+    """The text of a page by its host's template; by its own tokens where the page lacks the template's container or would
+    have no text."""
     blocks, paths = parse(html)
-    if main and not any(paths[p] for p in main):
+
+    def kept() -> list[str]:
+        wanted, gone, known = set(main), set(constant), set(stays)
+        out = []
+        for path, text in blocks:
+            around = list(ancestors(path))
+            if (not wanted or not wanted.isdisjoint(around)) and gone.isdisjoint(around) and all(p in known for p in around if marked(p)):
+                out.append(text)
+        return out
+
+    found = [] if main and not any(paths[p] for p in main) else kept()
+    if blocks and not found:
         own = [("", 1, 0, 1, 0, 0, 0)]
         own += [(p, 1, int(n != 1), int(n == 1), chars, below, below) for p, (n, chars, below) in page_tokens(html).items()]
-        main, constant = deduce(own)
-    kept, gone = set(main), set(constant)
-    found = [t for p, t in blocks if (not kept or not kept.isdisjoint(ancestors(p))) and not (gone and not gone.isdisjoint(ancestors(p)))]
+        main, _, stays = deduce(own)  # the host's constant text is no page's own
+        found = kept()
     return "\n\n".join(found)
 
 
@@ -254,21 +321,22 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def templates(table: pa.Table) -> pa.Table:
         names = ["path", "pages", "vector", "ones", "chars", "low", "high"]
-        main, constant = deduce(list(zip(*(table.column(c).to_pylist() for c in names))))
-        return pa.table({"host": table.column("host").slice(0, 1), "main": pa.array([main], pa.list_(pa.string())), "constant": pa.array([constant], pa.list_(pa.string()))})
+        main, constant, stays = deduce(list(zip(*(table.column(c).to_pylist() for c in names))))
+        lists = {n: pa.array([x], pa.list_(pa.string())) for n, x in (("main", main), ("constant", constant), ("stays", stays))}
+        return pa.table({"host": table.column("host").slice(0, 1), **lists})
 
-    found = stored(stats.groupBy("host").applyInArrow(templates, "host string, main array<string>, constant array<string>"), "templates")
+    found = stored(stats.groupBy("host").applyInArrow(templates, "host string, main array<string>, constant array<string>, stays array<string>"), "templates")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_PAGES):
                 part = batch.slice(at, BATCH_PAGES)
-                cells = (part.column(c).to_pylist() for c in ("html", "main", "constant"))
-                out = [extract(html, main or [], constant or []) for html, main, constant in zip(*cells)]
+                cells = (part.column(c).to_pylist() for c in ("html", "main", "constant", "stays"))
+                out = [extract(html, *(x or [] for x in lists)) for html, *lists in zip(*cells)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "main", "constant")
+    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "main", "constant", "stays")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -94,3 +94,22 @@ def test_without_article_tags_all_slots_of_varying_text_are_kept(spark):
             i, end = r.url[-1], " ".join(long.split())
             parts = {"i": [f"Title {i}", f"Lead {i}", f"{end} {i}"], "j": [f"Before {i}", f"{end} {i}", f"After {i}"], "k": [f"Head {i}", f"{end} {i}"]}
             assert r.text == "\n\n".join(parts[r.url[7]])
+
+
+def test_names_drop_no_article_and_no_part_of_it(spark):
+    body = (
+        "<article><h2 id='related-work'>Related {0}</h2><p>one {0}</p><h2 id='search'>Search {0}</h2><section id='social-history'><p>two {0}</p></section>"
+        "<p class='notice'>three {0}</p><p class=ad>no</p><div class='share-links'>no</div></article>")
+    shown = "Related {0}\n\none {0}\n\nSearch {0}\n\ntwo {0}\n\nthree {0}"
+    hosts = {
+        "l.org": "<div class='layout has-sidebar'>" + body + "</div>", "m.org": "<div class='sidebar'><div class=menu>no {0}</div>" + body + "</div>",
+        "n.org": "<div class='no-sidebar'>" + body + "</div><div class=comments><p>no {0} and a longer text</p></div>",
+        "o.org": "<div class=search>" + body.replace("article", "div") + "</div>",
+    }
+    for n in (1, 8):
+        rows = [(f"http://{host}/{i}", f"<body>{hosts[host].format(i)}</body>") for host in hosts for i in range(n)]
+        for r in extract_pages(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], SCHEMA)).collect():
+            if "o.org" in r.url:  # a name around all text of a host without article tags
+                assert "one " in r.text and "three " in r.text
+            else:
+                assert r.text == shown.format(r.url[-1]), r.url
