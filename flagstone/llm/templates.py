@@ -228,6 +228,16 @@ def token_rows(batches):
                 names=["host", "path", "pages", "vector", "ones", "chars", "low", "high"])
 
 
+def template_tokens(tokens: DataFrame) -> DataFrame:
+    """The tokens of `token_rows` summed by host and path: those that a template can have, and each host's own row. Paths of
+    single pages (of generated names) stay out, so a host's rows are bounded by its template."""
+    sums = [F.sum(c).alias(c) for c in ("pages", "vector", "ones", "chars")]
+    stats = stored(tokens.groupBy("host", "path").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high")), "page-tokens")
+    hosts = stats.filter("path = ''").select("host", F.col("pages").alias("all_pages"), F.col("vector").alias("all_vector"))
+    can = (F.col("ones") >= SUPPORT * F.col("all_pages")) | (F.col("pages") == F.col("all_pages")) & (F.col("vector") == F.col("all_vector"))
+    return stats.join(hosts, "host").filter(can).select(*stats.columns)
+
+
 def within(path: str, outer: str) -> bool:
     return path == outer or path.startswith(outer + ">")
 
@@ -316,8 +326,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     tokens = rows.select(F.xxhash64("page_id", "url").alias("page"), "host", "html").mapInArrow(token_rows, STATS)
-    sums = [F.sum(c).alias(c) for c in ("pages", "vector", "ones", "chars")]
-    stats = tokens.groupBy("host", "path").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
 
     def templates(table: pa.Table) -> pa.Table:
         names = ["path", "pages", "vector", "ones", "chars", "low", "high"]
@@ -325,7 +333,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         lists = {n: pa.array([x], pa.list_(pa.string())) for n, x in (("main", main), ("constant", constant), ("stays", stays))}
         return pa.table({"host": table.column("host").slice(0, 1), **lists})
 
-    found = stored(stats.groupBy("host").applyInArrow(templates, "host string, main array<string>, constant array<string>, stays array<string>"), "templates")
+    found = stored(template_tokens(tokens).groupBy("host").applyInArrow(templates, "host string, main array<string>, constant array<string>, stays array<string>"), "templates")
 
     def run(batches):
         for batch in batches:

@@ -2,7 +2,7 @@ import html
 import re
 
 from flagstone.llm.queries import QUERIES
-from flagstone.llm.templates import extract_pages, parse
+from flagstone.llm.templates import STATS, extract_pages, parse, template_tokens, token_rows
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "page_id long, url string, html string"
@@ -113,3 +113,11 @@ def test_names_drop_no_article_and_no_part_of_it(spark):
                 assert "one " in r.text and "three " in r.text
             else:
                 assert r.text == shown.format(r.url[-1]), r.url
+
+
+def test_paths_of_single_pages_do_not_reach_the_template(spark):
+    rows = [(i, f"http://p.org/{i}", f"<body><div class=all><div id=slug{chr(97 + i % 26)}{chr(97 + i // 26)}><p>Own {i}</p></div></div></body>") for i in range(60)]
+    pages = spark.createDataFrame([(i, "p.org", html) for i, _, html in rows], "page long, host string, html string")
+    kept = template_tokens(pages.mapInArrow(token_rows, STATS)).collect()
+    assert {r.path for r in kept} == {"", "body", "body>div.all"} and len(kept) == 3
+    assert texts(spark, rows) == {i: f"Own {i}" for i in range(60)}
