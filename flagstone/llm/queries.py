@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flagstone.llm.exact_dedup import exact_groups
+from flagstone.llm.infilling import infill
 from flagstone.llm.lm import held_out_by_key, score_documents
 from flagstone.llm.minhash import near_duplicates
 from flagstone.llm.mixing import mix
 from flagstone.llm.packing import packed_digest
+from flagstone.llm.pieces import piece_digests
 from flagstone.llm.pivots import near_vectors
 from flagstone.llm.quality import score_quality
 from flagstone.llm.templates import extract_pages
@@ -114,3 +116,28 @@ def domain_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_source_mixing")
 def op2_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"), domain_labels(spark, sf), MIXTURE)
+
+
+@query("op11_fill_in_middle", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+     e AS (SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                  CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+     f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+                  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+     g AS (SELECT *, array_to_string(u[1:low], '') AS p, array_to_string(u[low + 1:high], '') AS m,
+                  array_to_string(u[high + 1:n], '') AS s FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM g""")
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return infill(table(spark, sf, "documents"))
+
+
+@query("op13_prefix_table_pieces")
+def op13_prefix_table_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return piece_digests(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
