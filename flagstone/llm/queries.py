@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flagstone.llm.alignment import alignments
 from flagstone.llm.exact_dedup import exact_groups
 from flagstone.llm.infilling import infill
 from flagstone.llm.lm import held_out_by_key, score_documents
@@ -141,3 +142,8 @@ def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_prefix_table_pieces")
 def op13_prefix_table_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return piece_digests(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignments(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
