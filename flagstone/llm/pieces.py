@@ -34,20 +34,28 @@ class Memory:
 
     def __call__(self, keys: list) -> list:
         """The answers for `keys`; `make` is asked once for the list of all new ones."""
-        young = self.young
-        wanted = set(keys)
-        new = [k for k in wanted if k not in young]
-        if new:
-            if len(young) + len(new) > self.size:
-                self.old, young = young, {}
-                self.young = young
-                new = list(wanted)
-            unknown = [k for k in new if k not in self.old]
-            young.update(zip(unknown, self.make(unknown)))
-            for k in new:
-                if k not in young:
-                    young[k] = self.old[k]
-        return [young[k] for k in keys]
+        found = list(map(self.young.get, keys))
+        if None not in found:
+            return found
+        new = {k for k, answer in zip(keys, found) if answer is None}
+        if len(self.young) + len(new) > self.size:
+            self.old, self.young, new = self.young, {}, set(keys)
+        unknown = [k for k in new if k not in self.old]
+        self.young.update((k, self.old[k]) for k in new if k in self.old)
+        self.young.update(zip(unknown, self.make(unknown)))
+        return [self.young[k] for k in keys]
+
+
+def spelled_pieces(model) -> list[bytes]:
+    """What each id of a SentencePiece model adds to a decoded text; marks such as the end add nothing."""
+    out = []
+    for i in range(model.get_piece_size()):
+        name = model.id_to_piece(i)
+        if model.is_byte(i):
+            out.append(bytes([int(name[1:-1], 16)]))
+        else:
+            out.append(b"" if model.is_control(i) or model.is_unknown(i) else name.replace(BLANK, " ").encode())
+    return out
 
 
 class Pieces:
@@ -64,12 +72,9 @@ class Pieces:
         self.end_id = model.eos_id()
         self.scores = {names[i]: model.get_score(i) for i in every if not reserved[i]}
         self.ids = {names[i]: i for i in every if not reserved[i]}
-        self.names = names
+        self.names, self.sizes = names, [len(n) for n in names]
         self.bytes = {int(names[i][1:-1], 16): i for i in every if model.is_byte(i)}
-        # What an id adds to a decoded text; marks such as the end add nothing.
-        self.spelled = [
-            bytes([int(n[1:-1], 16)]) if model.is_byte(i) else b"" if reserved[i] else n.replace(BLANK, " ").encode()
-            for i, n in enumerate(names)]
+        self.spelled = spelled_pieces(model)
         probe = " Ab  c\t\u00c5\ufb01 "
         shown = "".join(model.id_to_piece(i) if not model.is_byte(i) else "" for i in model.encode(probe))
         kept = (BLANK + probe.replace(" ", BLANK))
@@ -81,7 +86,7 @@ class Pieces:
         self.automaton = ahocorasick.Automaton()
         for name, i in self.ids.items():
             if self.merged(name) == [name]:  # others are never the end of a prefix
-                self.automaton.add_word(name, (i, len(name)))
+                self.automaton.add_word(name, i)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.units = self._units(characters)
@@ -124,29 +129,32 @@ class Pieces:
 
     def encode_unit(self, unit: str) -> list[int]:
         """The ids of a unit."""
-        if unit in self.ids and unit in self.automaton:
+        if unit in self.automaton:
             return [self.ids[unit]]
         if len(unit) == 1:
             return [self.bytes[b] for b in unit.encode()]
         n = len(unit)
-        last, sizes, pairs = [-1] * (n + 1), [0] * (n + 1), self.pairs
-        for end, (token, size) in self.automaton.iter(unit):
-            end += 1
+        # Prefixes go by the place of their last character; what comes before the first stands at place -1.
+        last, sizes, pairs = [-1] * n, self.sizes, self.pairs
+        for end, token in self.automaton.iter(unit):
             if last[end] >= 0:
                 continue
-            if size < end:
-                before = last[end - size]
+            start = end - sizes[token]
+            if start >= 0:
+                before = last[start]
                 if before < 0:
                     continue
                 fits = pairs.get(before << 32 | token)
                 if not (self.fit(before, token) if fits is None else fits):
                     continue
-            last[end], sizes[end] = token, size
+            last[end] = token
         ids = []
-        while n:
-            ids.append(last[n])
-            n -= sizes[n]
-        return ids[::-1]
+        end = n - 1
+        while end >= 0:
+            ids.append(last[end])
+            end -= sizes[last[end]]
+        ids.reverse()
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, without an end, as little-endian 32-bit numbers."""
@@ -195,14 +203,19 @@ def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
 def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of a column of ids (null for null ids). Bytes that are no UTF-8 become U+FFFD."""
-    from pyspark.sql.pandas.functions import arrow_udf
-
-    @arrow_udf("string")
-    def text_of(column: pa.Array) -> pa.Array:
+    def run(batches):
         vocabulary = pieces_of(path)
-        return pa.array([None if x is None else vocabulary.decode(x) for x in column.to_pylist()], pa.string())
-
-    return encoded.withColumn(out, text_of(F.col(ids)))
+        for batch in batches:
+            lists = batch.column(place)
+            ends, numbers = lists.offsets.to_numpy(), lists.values.to_numpy()
+            found = [
+                vocabulary.decode(numbers[a:b].tolist()) if known else None
+                for a, b, known in zip(ends, ends[1:], lists.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
+
+    place = encoded.columns.index(ids)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(run, f"{schema}, `{out}` string")
 
 
 def piece_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
