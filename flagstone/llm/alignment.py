@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from flagstone.llm.common import stored, texts
-from flagstone.llm.pieces import Memory, pieces_of
+from flagstone.llm.pieces import spelled_pieces
 
 # Bytes of text whose tokens are multiplied at a time, and in a block (at least one document each).
 SLICE, BLOCK = 1 << 20, 1 << 24
 # Numbers that a product holds at a time (at least those of one row).
 HELD = 1 << 22
-# White space of Unicode, as tokenizers cut it.
-WHITE = "\t-\r \x85\xa0  -     　"
+# Fixed value: the words that byte-level tokenizers of this kind merge within.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SIDES: dict[tuple[str, str], object] = {}
 
 
@@ -77,45 +75,77 @@ def row_products(a: Csr, b: Csr, held: int = HELD) -> Iterator[tuple[np.ndarray,
 
 
 class Words:
-    """Ids and bytes of a byte-level merge tokenizer (a `tokenizers` file), whose tokens end where white space begins."""
+    """A byte-level merge tokenizer, from the vocabulary and merges of a `tokenizers` file."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            model = json.load(f)["model"]
         # Bytes that print stand for themselves in the file; the others are numbered from 256 on.
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printed]
         byte_of = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(others)}
-        self.spelled = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            if all(c in byte_of for c in token):
-                self.spelled[i] = bytes(byte_of[c] for c in token)
-        self.units = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-        self.remembered = Memory(self._ids)
+        names = {i: token for token, i in model["vocab"].items()}
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if any(names.get(256 + i) != token for i, token in enumerate(merged)):
+            raise ValueError("the ids of the vocabulary are not in the order of its merges")
+        self.spelled = [b""] * (max(names) + 1)
+        for i in range(256 + len(merged)):  # tokens beyond are marks that no text has
+            self.spelled[i] = bytes(byte_of[c] for c in names[i])
+        ranks = {token: i for i, token in enumerate(self.spelled) if token}
+        self.tokenizer = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
-    def _ids(self, units: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(units), 5000):
-            out += [np.array(e.ids, dtype="<i4").tobytes() for e in self.tokenizer.encode_batch_fast(units[i:i + 5000], add_special_tokens=False)]
-        return out
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of a blank and each text."""
+        return [np.array(self.tokenizer.encode_ordinary(" " + t), dtype=np.int32) for t in texts]
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a blank and a text, as little-endian 32-bit numbers."""
-        return b"".join(self.remembered(self.units.findall(" " + text)))
+
+class PieceIds:
+    """A SentencePiece model."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.spelled = spelled_pieces(self.model)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, dtype=np.int32) for ids in self.model.encode(texts, num_threads=1)]
 
 
 def side(kind: str, path: str):
     """The tokenizer of a file (`words` or `pieces`), loaded once in a worker."""
     if (kind, path) not in _SIDES:
-        _SIDES[kind, path] = Words(path) if kind == "words" else pieces_of(path)
+        _SIDES[kind, path] = {"words": Words, "pieces": PieceIds}[kind](path)
     return _SIDES[kind, path]
 
 
+class Spelling:
+    """The bytes of each id of a vocabulary, one behind the other, and its ids in decimal before each mark."""
+
+    def __init__(self, spelled: list[bytes], marks: tuple[str, ...]):
+        self.size = np.array([len(x) for x in spelled], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(spelled), np.uint8)
+        self.printed = [f"{i}{mark}" for mark in marks for i in range(len(spelled))]
+
+    def bytes_of(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        return self.data[np.repeat(self.begin[ids] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
+MARKS = (",", "|", ";")
+_SPELLED: dict[tuple[str, str], Spelling] = {}
+_PRINTED: dict[tuple[str, str], list[str]] = {}
+
+
+def spelling(kind: str, path: str) -> Spelling:
+    if (kind, path) not in _SPELLED:
+        _SPELLED[kind, path] = Spelling(side(kind, path).spelled, MARKS)
+    return _SPELLED[kind, path]
+
+
 @dataclass
 class Aligned:
     """Tokens of several texts under both tokenizers, one text behind the other."""
@@ -139,43 +169,61 @@ class Aligned:
 
 def align(batch: list[bytes], path_a: str, path_b: str) -> Aligned:
     """Both tokenizations of texts. An empty text, and one that the tokens do not spell, has no tokens."""
-    sides = side("words", path_a), side("pieces", path_b)
-    ids, sizes, owners = ([], []), ([], []), ([], [])
-    for place, data in enumerate(batch):
-        if not data:
-            continue
-        text = data.decode("utf-8", "replace")
-        encoded = [np.frombuffer(s.encode(text), "<i4") for s in sides]
-        spelled = [[s.spelled[i] for i in e.tolist()] for s, e in zip(sides, encoded)]
-        whole = b" " + data
-        if any(b"".join(tokens) != whole for tokens in spelled):
-            continue
-        for k in (0, 1):
-            ids[k].append(encoded[k])
-            sizes[k].append(np.fromiter(map(len, spelled[k]), dtype=np.int64, count=len(spelled[k])))
-            owners[k].append(np.full(len(spelled[k]), place))
-    none = [np.zeros(0, dtype=np.int64)]
-    starts = [np.concatenate([[0], *map(np.asarray, s)]).cumsum() for s in sizes]
+    kinds = ("words", path_a), ("pieces", path_b)
+    spelled = [spelling(*k) for k in kinds]
+    places = np.array([i for i, data in enumerate(batch) if data], dtype=np.int64)
+    strings = [batch[i].decode("utf-8", "replace") for i in places]
+    tokens = [side(*k).encode(strings) for k in kinds]
+    whole = np.frombuffer(b"".join(b" " + batch[i] for i in places), np.uint8)
+    span = np.array([len(batch[i]) + 1 for i in places], dtype=np.int64)
+
+    def laid(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, their sizes, and how many each text has."""
+        ids = np.concatenate([np.zeros(0, dtype=np.int32), *tokens[k]])
+        return ids, spelled[k].size[ids], np.array([len(t) for t in tokens[k]], dtype=np.int64)
+
+    sides = [laid(0), laid(1)]
+    same = np.ones(len(places), dtype=bool)
+    for k, (ids, sizes, n) in enumerate(sides):
+        owner = np.repeat(np.arange(len(places)), n)
+        fits = np.bincount(owner, weights=sizes, minlength=len(places)).astype(np.int64) == span
+        if fits.all():
+            other = spelled[k].bytes_of(ids, sizes) != whole
+            if other.any():
+                fits[np.repeat(np.arange(len(places)), span)[other]] = False
+        else:  # lengths differ somewhere: text by text
+            cuts, at = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(span))
+            for i in np.flatnonzero(fits):
+                some = slice(cuts[i], cuts[i + 1])
+                fits[i] = np.array_equal(spelled[k].bytes_of(ids[some], sizes[some]), whole[at[i]:at[i + 1]])
+        same &= fits
+    if not same.all():
+        places, tokens = places[same], [[t for t, s in zip(side_tokens, same) if s] for side_tokens in tokens]
+        sides = [laid(0), laid(1)]
+    starts = [np.append(0, np.cumsum(sizes)) for _, sizes, _ in sides]
     width = int(starts[0][-1])
     return Aligned(
-        tuple(np.concatenate(x or none) for x in ids),
-        tuple(Csr(s, np.arange(width), width) for s in starts),
-        tuple(np.concatenate(x or none) for x in owners),
+        tuple(ids for ids, *_ in sides), tuple(Csr(s, np.arange(width), width) for s in starts),
+        tuple(np.repeat(places, n) for *_, n in sides),
         np.intersect1d(starts[0][1:], starts[1][1:], assume_unique=True), len(batch))
 
 
-def printed_groups(found: Aligned, names: tuple[list[str], list[str]]) -> list[str]:
-    """Each text's groups as `a1,a2|b1;a3|b2,b3`: `names` are the ids of each side in decimal."""
+def printed_groups(found: Aligned, path_a: str, path_b: str) -> list[str]:
+    """Each text's groups as `a1,a2|b1;a3|b2,b3`, ids in decimal."""
     groups = [g.columns for g in found.groups()]
+    tables = spelling("words", path_a).printed, spelling("pieces", path_b).printed
+    n = [len(t) // len(MARKS) for t in tables]
     group, sides = np.concatenate(groups), np.repeat([0, 1], [len(groups[0]), len(groups[1])])
     order = np.argsort(2 * group + sides, kind="stable")
     text = np.concatenate(found.text_of)[order]
     group, sides, ids = group[order], sides[order], np.concatenate(found.ids)[order]
-    follows = np.where(np.append(group[1:] != group[:-1], True), 2, np.append(sides[1:] != sides[:-1], False))
-    marks = (",", "|", ";")
-    parts = [(names[s][i], marks[f]) for s, i, f in zip(sides.tolist(), ids.tolist(), follows.tolist())]
+    follows = np.where(np.append(group[1:] != group[:-1], True), 2, np.append(sides[1:] != sides[:-1], False))[:len(ids)]
+    codes = (follows * np.where(sides, n[1], n[0]) + ids + sides * len(tables[0])).tolist()
+    if (path_a, path_b) not in _PRINTED:
+        _PRINTED[path_a, path_b] = tables[0] + tables[1]
+    printed = _PRINTED[path_a, path_b].__getitem__
     cuts = np.searchsorted(text, np.arange(found.texts + 1)).tolist()
-    return ["".join([p for pair in parts[x:y] for p in pair])[:-1] for x, y in zip(cuts, cuts[1:])]
+    return ["".join(map(printed, codes[x:y]))[:-1] for x, y in zip(cuts, cuts[1:])]
 
 
 def _slices(batches) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -209,8 +257,8 @@ def _blocks(rows: DataFrame, path_a: str, path_b: str, block_bytes: int) -> Data
     one per block with its dictionary: `a` and `b`, ids of the distinct pairs, and `docs`, the documents that link them."""
     def run(batches):
         kind = None
-        names = tuple([str(i) for i in range(len(s.spelled))] for s in (side("words", path_a), side("pieces", path_b)))
-        span = len(names[1])
+        sizes = [len(spelling(*k).size) for k in (("words", path_a), ("pieces", path_b))]
+        span = sizes[1]
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def closed():
@@ -243,11 +291,11 @@ def _blocks(rows: DataFrame, path_a: str, path_b: str, block_bytes: int) -> Data
             texts_of = np.concatenate([t for t, _ in linked]) if linked else np.zeros(0, dtype=np.int64)
             pairs = np.concatenate([p for _, p in linked]) if linked else np.zeros(0, dtype=np.int64)
             links = np.bincount(texts_of, minlength=n)
-            every = len(names[0]) * span
+            every = sizes[0] * span
             distinct, times = np.unique(texts_of * every + pairs, return_counts=True)
             cuts = np.searchsorted(distinct, np.arange(1, n) * every)
             each = zip(np.split(distinct % every, cuts), np.split(times, cuts))
-            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in printed_groups(found, names)]
+            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in printed_groups(found, path_a, path_b)]
             counts = zip(*(x.tolist() for x in (*tokens, groups, links)))
             held += [(k, c, d, p, t) for k, c, d, (p, t) in zip(keys.to_pylist(), counts, digests, each)]
             size += sum(map(len, batch))
