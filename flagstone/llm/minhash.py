@@ -7,12 +7,13 @@ with the concentration of independent samples. Bins are cut into bands; equal ba
 
 Verification is exact and on whole sets. Documents of equal sets are one class. Every member of a bucket is
 compared with the bucket's first and last class, which settles most buckets: all their members are then in one
-component, or all pairs have been compared. In the others, members are dealt into blocks and every pair of blocks
-compares the pairs of classes that are not connected yet. Only connectivity is wanted, so connected pairs need
-no comparison.
+component, or all pairs have been compared. In the others, members outside the bucket's largest component meet further
+hubs from it, round by round. What is still open is compared in blocks: each member outside the largest component with all
+members of the bucket that it is not connected to. Only connectivity is wanted, so connected pairs need no comparison.
 
-Sizes: a bucket is never one group. Members of a hot bucket meet its first and last class in as many tasks as there
-are partitions (the class's set goes to each), one member in memory at a time; a block holds about BLOCK members.
+Sizes: a bucket is never one group. Members of a hot bucket meet a hub in as many tasks as there are partitions (the
+hub's set goes to each), one member in memory at a time; a block holds about BLOCK_BYTES of sets. A member is sent to as many
+blocks as the other side has, which is one unless the sets outside the largest component are larger than a block.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from flagstone.llm.common import MIX, mixed, partitions, shingles, stored, texts
 from flagstone.llm.components import Forest, components, smallest_keys
 from flagstone.plans.shared import hint_if_small
 
-# Members of a block when all pairs of an unsettled bucket are compared.
-BLOCK = 256
+# Bytes of sets in a block, and the rounds of hubs before blocks are compared.
+BLOCK_BYTES, ROUNDS = 1 << 24, 4
 
 
 class Sketcher:
@@ -100,13 +101,17 @@ def _sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """`(node, items)`: the whole shingle sets of the classes `wanted (doc_id, node)`."""
+    """`(node, items)`: the whole shingle sets of the classes `wanted (doc_id, node)`, each once."""
     def run(batches):
+        seen = set()  # of the partition's classes; copies under one key are many rows
         for batch in batches:
             nodes, items = [], []
             for text, node in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
+                if node in seen:
+                    continue
                 s = shingles(text, width)
                 if set_key(s) == node:  # a repeated key may stand for another text
+                    seen.add(node)
                     nodes.append(node)
                     items.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(items, pa.binary())], names=["node", "items"])
@@ -114,7 +119,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     # Narrow rows, broadcast only where their counted number is small; else texts are shuffled by key.
     ids = hint_if_small(wanted.select(F.col("doc_id").alias("_id"), "node"), wanted.count())
     found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node")
-    return found.mapInArrow(run, "node binary, items binary")
+    return found.mapInArrow(run, "node binary, items binary").dropDuplicates(["node"])
 
 
 def _linked_to_hub(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,30 +159,47 @@ def _linked_to_hub(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def _linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members `(bucket, members, node, root)` of a bucket with different roots: all pairs, block by block."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    dealt = (
-        members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-        .join(sets, "node")
-    )
+def _open_members(inner: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members `(bucket, node, size, root, top)` of the buckets that have several components, with their own and the largest."""
+    now = inner.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    tops = counted.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    return now.join(tops.select("bucket", F.col("top.root").alias("top")), "bucket").select("bucket", "node", "size", "root", "top")
+
+
+def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """`(hub, node)`: members outside their bucket's largest component, with one class of that component; another each turn."""
+    hubs = members.filter("root = top").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
+    return members.filter("root <> top").join(hubs, "bucket").select("hub", "node").distinct()
+
+
+def _linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Links between open members of a bucket with different roots, of which one is outside the bucket's largest component."""
+    outside = F.col("root") != F.col("top")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(8 * size / block_bytes)).cast("int")
+    sized = members.groupBy("bucket").agg(
+        blocks(F.sum(F.when(outside, F.col("size")).otherwise(0))).alias("lefts"), blocks(F.sum("size")).alias("rights"))
+    rows = members.join(sized, "bucket")
+    place = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter(outside).withColumn("i", place(1, F.col("lefts"))).withColumn("j", each("rights"))
+    right = rows.withColumn("j", place(2, F.col("rights"))).withColumn("i", each("lefts"))
+    columns = ["bucket", "i", "j", "node", "root"]
+    dealt = left.select(*columns, F.lit(0).alias("side")).unionByName(
+        right.select(*columns, F.when(outside, 1).otherwise(2).alias("side"))).join(sets, "node")
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, roots, own = (table.column(c).to_pylist() for c in ("node", "root", "own"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        nodes, roots = (table.column(c).to_pylist() for c in ("node", "root"))
+        side = table.column("side").to_numpy()
         sets_here = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("items").combine_chunks()]
         known, a, b = Forest(), [], []
         for n, r in zip(nodes, roots):
             known.join(n, r)
-        place = np.array(own)
-        sizes = np.array([len(s) for s in sets_here])
-        for x in range(len(nodes)):
-            if own[x] != i:
-                continue
+        sizes, right_rows = np.array([len(s) for s in sets_here]), np.flatnonzero(side)
+        for x in np.flatnonzero(side == 0):
             top = known.root(nodes[x])
-            against = [y for y in np.flatnonzero(place == j) if (y > x or i != j) and known.root(nodes[y]) != top]
+            # Two members outside the largest component meet twice; the smaller asks.
+            against = [y for y in right_rows if (side[y] == 2 or nodes[y] > nodes[x]) and known.root(nodes[y]) != top]
             if not against:
                 continue
             starts = np.concatenate([[0], np.cumsum(sizes[against])[:-1]])
@@ -193,6 +215,7 @@ def _linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Data
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = 24, rows: int = 5,
+    rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: key, n_shingles, component_id (the smallest key reachable over links), kept.
 
@@ -204,9 +227,10 @@ def near_duplicates(
     rows_in = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     narrow = stored(_sketched(rows_in, width, bands, rows), "sketches")
     classes = stored(
-        narrow.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("buckets").alias("buckets")),
+        narrow.filter("node is not null").groupBy("node").agg(
+            F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("size"), F.any_value("buckets").alias("buckets")),
         "classes")
-    members = classes.select("node", F.explode("buckets").alias("bucket"))
+    members = classes.select("node", "size", F.explode("buckets").alias("bucket"))
     # Buckets with the same members are settled once: the sum of hashes names the members.
     named = members.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"), F.min("node").alias("first"), F.max("node").alias("last"),
@@ -227,10 +251,17 @@ def near_duplicates(
     links = stored(_linked_to_hub(pairs, sets, percent), "links")
     roots = components(links)
     # Buckets of four and more, of which some members are not connected yet.
-    inner = inner.filter("members > 3").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_buckets = inner.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    open_members = inner.join(mixed_buckets.select("bucket"), "bucket", "left_semi").select("bucket", "members", "node", "root")
-    more = stored(_linked_in_blocks(open_members, sets, percent), "more-links")
+    unsettled = stored(_open_members(inner.filter("members > 3").select("bucket", "node", "size"), roots), "open-members")
+    for turn in range(rounds):
+        if unsettled.isEmpty():
+            break
+        more = stored(_linked_to_hub(_hub_pairs(unsettled, turn), sets, percent), "more-links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots = components(links)
+        unsettled = stored(_open_members(unsettled.select("bucket", "node", "size"), roots), "open-members")
+    more = stored(_linked_in_blocks(unsettled, sets, percent, block_bytes), "block-links")
     if not more.isEmpty():
         roots = components(links.union(more))
     found = smallest_keys(classes, roots)

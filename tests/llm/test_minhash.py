@@ -74,10 +74,8 @@ def test_groups_of_near_copies_equal_brute_force(spark):
         assert found(got) == brute(rows, 5, percent)
 
 
-def test_all_pairs_in_blocks_when_hubs_do_not_settle_a_bucket(spark, monkeypatch):
-    import flagstone.llm.minhash as m
-
-    monkeypatch.setattr(m, "BLOCK", 8)
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_all_pairs_in_blocks_when_hubs_do_not_settle_a_bucket(spark, rounds):
     rng, rows = random.Random(8), []
     common = [f"c{i}" for i in range(40)]
     for i in range(120):  # 40 little groups that share a long passage
@@ -85,7 +83,16 @@ def test_all_pairs_in_blocks_when_hubs_do_not_settle_a_bucket(spark, monkeypatch
         own[rng.randrange(25)] = f"z{i}"
         rows.append((i, " ".join(common + own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(near_duplicates(df, width=1, percent=90, bands=24, rows=2)) == brute(rows, 1, 90)
+    assert found(near_duplicates(df, width=1, percent=90, bands=24, rows=2, rounds=rounds, block_bytes=8 * 65 * 8)) == brute(rows, 1, 90)
+
+
+def test_a_set_is_made_once_for_rows_that_repeat(spark):
+    from flagstone.llm.minhash import _sets, _sketched
+
+    rows = [(1, "one two three four")] * 40 + [(None, "five six seven eight")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    wanted = _sketched(docs, 2, 4, 2).select("node", "doc_id").distinct()
+    assert _sets(docs, wanted, 2).count() == 2
 
 
 def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
