@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -31,6 +32,15 @@ TAIL = b",.;:!?*%#&$|)]}\""
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def all_letters(body: bytes) -> bool:
+    """Whether a word is letters only, also as the tokenizer sees it (composed, in lower case): marks behind it are then
+    tokens of their own."""
+    if body.isascii():
+        return body.isalpha()
+    text = body.decode("utf-8", "replace")
+    return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+
+
 class Encoder:
     """Ids of texts, word by word; each distinct word is encoded once while it is remembered.
 
@@ -76,7 +86,7 @@ class Encoder:
                 self.young[w] = self.old[w]
                 continue
             body = w.rstrip(TAIL)
-            if body and body.decode("utf-8", "replace").isalpha() and b"\xef\xbf\xbd" not in body:
+            if body and all_letters(body) and b"\xef\xbf\xbd" not in body:
                 if body is not w and len(body) < len(w):
                     tails[w] = body
                 if body not in self.young:

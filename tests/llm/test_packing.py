@@ -61,6 +61,24 @@ def test_words_apart_have_the_ids_of_the_whole_text():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_random_words_have_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(tokenizer_file()), random.Random(11)
+    parts = ["İ", "i", "B", "LG", "é", "e\u0301", "\u0301", "\u0958", "ﬁ", "Σ", "ß", "日", "ǅ", "a", "don", "'s", "1", "\u05e9\u05bc", "\ufb2a", "ª", "ʰ", "각"]
+    tails = ["", "", ";", ".", "!!", ")", ",\"", "%", "]}"]
+    texts = ["İ;", "BİLGİ.", "iİ)"]
+    for i in range(100_000):
+        if i % 5 == 0:
+            word = "".join(chr(rng.choice([rng.randrange(0x21, 0x250), rng.randrange(0x300, 0x2000), rng.randrange(0x3040, 0xd7ff)])) for _ in range(rng.randrange(1, 5)))
+        else:
+            word = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))
+        texts.append(word + rng.choice(tails))
+    got = encode_texts(tokenizer_file(), [x.encode() for x in texts])
+    wanted = t.encode_batch(texts, add_special_tokens=False)
+    assert [x for x, g, w in zip(texts, got, wanted) if np.frombuffer(g, "<u4").tolist() != w.ids] == []
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_place_each_piece_once_and_pack_like_best_fit_decreasing(seed):
     rng, capacity = random.Random(seed), 100
