@@ -29,11 +29,20 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have: `name` with as many underscores before it as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without(df: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of `df` whose key is not in `dropped` (one column). A null key equals a null key. The dropped keys
     are stored and counted, and broadcast only where they are few; else rows are shuffled by key."""
-    gone = stored(dropped.select(F.col(key).alias("_gone")), "dropped")
-    return df.join(hint_if_small(gone, gone.count()), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    name = unused(df, "_gone")
+    gone = stored(dropped.select(F.col(key).alias(name)), "dropped")
+    return df.join(hint_if_small(gone, gone.count()), F.col(key).eqNullSafe(F.col(name)), "left_anti")
 
 
 def with_row_key(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,15 +56,15 @@ def with_row_key(docs: DataFrame, name: str, key: str = "doc_id", text: str = "t
 def kept_once(keyed: DataFrame, decided: DataFrame, name: str) -> DataFrame:
     """Rows of `keyed` but those that `decided` (`name`, kept; one row per row that is in a group) drops; of the rows that
     share a kept struct of `with_row_key` one stays."""
-    decided = stored(decided.select(name, "kept"), "decided")
+    decided, once = stored(decided.select(name, "kept"), "decided"), unused(keyed, "_again")
     rest = without(keyed, decided.filter("not kept").select(name), name)
-    repeated = decided.filter("kept").groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(name).alias("_again"))
+    repeated = decided.filter("kept").groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(name).alias(once))
     repeated = stored(repeated, "repeated")
     n = repeated.count()
     if not n:
         return rest
-    again = rest.join(hint_if_small(repeated, n), F.col(name) == F.col("_again"), "left_semi")
-    return without(rest, repeated.withColumnRenamed("_again", name), name).unionByName(again.dropDuplicates([name]))
+    again = rest.join(hint_if_small(repeated, n), F.col(name) == F.col(once), "left_semi")
+    return without(rest, repeated.withColumnRenamed(once, name), name).unionByName(again.dropDuplicates([name]))
 
 
 def delete_white(text: Column) -> Column:

@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flagstone.llm.common import stored
+from flagstone.llm.common import stored, unused
 from flagstone.plans.shared import hint_if_small
 
 BUCKETS = 1 << 16
@@ -87,7 +87,7 @@ def domain_scores(docs: DataFrame, labels: DataFrame, domains: list[str], sample
 
 
 def posteriors(scores: DataFrame, domains: list[str]) -> tuple[DataFrame, list[bool]]:
-    """`(doc_id, tokens, p0, p1, ...)` from a stored score table: the posterior of a document's cell; and which domains are
+    """`(doc_id, tokens, domain, p0, p1, ...)` from a stored score table: the posterior of a document's cell; and which domains are
     known, that is, have labelled rows in the fold that was held out.
 
     A cell is the rounded score for each domain. Its posterior is the share of domains among labelled rows of the fold that
@@ -103,24 +103,27 @@ def posteriors(scores: DataFrame, domains: list[str]) -> tuple[DataFrame, list[b
     all_cells = cells.agg(F.sum("n"), *[F.sum(f"n{i}") for i in range(k)]).first()
     prior = [(all_cells[i + 1] + 1) / (all_cells[0] + k) if all_cells[0] is not None else 1 / k for i in range(k)]
     shares = [((F.col(f"n{i}") + prior[i]) / (F.col("n") + 1)).alias(f"p{i}") for i in range(k)]
-    members = celled.join(F.broadcast(cells.select("cell", *shares)), "cell").select("doc_id", "tokens", *[f"p{i}" for i in range(k)])
+    members = celled.join(hint_if_small(cells.select("cell", *shares), cells.count()), "cell").select(
+        "doc_id", "tokens", "domain", *[f"p{i}" for i in range(k)])
     return members, [bool(all_cells[i + 1]) for i in range(k)]
 
 
 def fit_rates(
     members: DataFrame, shares: list[float], total: float | None = None, known: list[bool] | None = None, whole_domain: int | None = None,
 ) -> tuple[Column, list[float]]:
-    """The rate of a row of `(tokens, p0, p1, ...)` as a column, and the tokens by domain that the rates give.
+    """The rate of a row of `(tokens, p0, p1, ...)`, and `fixed` if there are such rows, as a column, and the tokens by domain that the rates give.
 
-    `shares` are the target weights by domain. `total` is the wanted number of tokens: by default the most that no domain has
-    to be repeated for. With `whole_domain` (a place) it is what keeps all tokens of that domain, and a domain with fewer
-    tokens than its share of it stays whole and falls short. Domains that are not `known` (default: all are) have no
-    target and limit nothing; without any, all rates are one.
+    `shares` are the target weights by domain. `total` is the wanted number of tokens: by default the most for which no
+    domain needs more tokens than it has; rates of single rows may still be above one, where they make up for others. With
+    `whole_domain` (a place) the total is what keeps all tokens of that domain, a domain with fewer tokens than its share
+    stays whole and falls short, and no rate is above one. A row that is `fixed` has the rate one. Domains that
+    are not `known` (default: all are) have no target and limit nothing; without any, all rates are one.
     """
     k = len(shares)
     whole = sum(shares) or 1.0
     known = known or [True] * k
-    same = members.groupBy(*[f"p{i}" for i in range(k)]).agg(F.sum("tokens").cast("double").alias("tokens"))
+    fixed = F.col("fixed") if "fixed" in members.columns else F.lit(False)
+    same = members.groupBy(fixed.alias("fixed"), *[f"p{i}" for i in range(k)]).agg(F.sum("tokens").cast("double").alias("tokens"))
     same = stored(same, "posteriors")
 
     steps: list[list[float]] = []
@@ -135,9 +138,11 @@ def fit_rates(
         def one(now, s):
             moved = reduce(lambda a, b: a + b, [s[i] * F.col(f"p{i}") for i in range(k)])
             rate = F.greatest(F.lit(0.0), now["point"] - moved)
+            if whole_domain is not None:
+                rate = F.least(F.lit(1.0), rate)
             return F.struct(rate.alias("rate"), (rate + s[k] * (rate - now["rate"])).alias("point"))
 
-        return F.aggregate(history, start, one)
+        return F.when(fixed, start).otherwise(F.aggregate(history, start, one))
 
     def masses() -> tuple[list[float], list[float]]:
         """Tokens by domain at the rate and at the point."""
@@ -182,7 +187,8 @@ def mix(
     rounded up or down by a hash of doc_id such that its mean is the rate; 0 leaves the document out. Labels of a
     null key, of other domains, or of several domains for one key do not count. Null text counts as empty and has no
     tokens; repeated rows have rates of their own. Without labels all domains are equally likely and all rates are one; a
-    domain without held-out labels limits nothing. `total` and `whole_domain` (a name) are those of `fit_rates`. `row` is
+    domain without held-out labels limits nothing. `total` and `whole_domain` (a name) are those of `fit_rates`; documents that
+    are labelled as `whole_domain`, or unlabelled and as likely in it as not, stay once, and no document is repeated. `row` is
     a struct column with doc_id as a field, which names the rows of the result (and rounds them) instead of doc_id. An empty
     table gives no rows.
     """
@@ -190,7 +196,11 @@ def mix(
     rows = docs.select(F.col(row or "doc_id").alias("doc_id"), "text")
     scores = stored(domain_scores(rows, labels, domains, sample_rows, None if row is None else "doc_id"), "domain-scores")
     members, known = posteriors(scores, domains)
-    members = stored(members, "domain-members")
+    fixed = F.lit(False)
+    if whole_domain is not None:
+        likely = F.col(f"p{domains.index(whole_domain)}") >= 0.5
+        fixed = F.when(F.col("domain").isNull(), likely).otherwise(F.col("domain") == whole_domain)
+    members = stored(members.select("doc_id", "tokens", *[f"p{i}" for i in range(len(domains))], fixed.alias("fixed")), "domain-members")
     rate, _ = fit_rates(members, [weights[d] for d in domains], total, known, None if whole_domain is None else domains.index(whole_domain))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
     # Rates are rounded, so that rates that only numerics keep from one do not drop or repeat documents.
@@ -201,8 +211,9 @@ def mix(
 
 def apply_copies(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents, each as often as `copies` says (rows of one key alike)."""
-    changed = mixed.filter("copies <> 1").select(F.col(key).alias("_id"), "copies").dropDuplicates(["_id"])
+    one_id, times, copy = (unused(docs, name) for name in ("_id", "_times", "_copy"))
+    changed = mixed.filter("copies <> 1").select(F.col(key).alias(one_id), F.col("copies").alias(times)).dropDuplicates([one_id])
     changed = stored(changed, "changed-copies")
-    joined = docs.join(hint_if_small(changed, changed.count()), F.col(key).eqNullSafe(F.col("_id")), "left")
-    times = F.coalesce("copies", F.lit(1).cast("long"))
-    return joined.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+    joined = docs.join(hint_if_small(changed, changed.count()), F.col(key).eqNullSafe(F.col(one_id)), "left")
+    n = F.coalesce(times, F.lit(1).cast("long"))
+    return joined.filter(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*docs.columns)

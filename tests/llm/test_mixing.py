@@ -69,8 +69,36 @@ def test_nulls_repeats_no_labels_and_empty_tables(spark):
 def test_copies_are_applied_with_all_columns(spark):
     docs = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (3, "c", 9), (None, "d", 0)], "doc_id long, text string, copies long")
     mixed = spark.createDataFrame([(1, 0), (2, 3), (3, 1), (None, 0)], "doc_id long, copies long")
-    got = apply_copies(docs.withColumnRenamed("copies", "n"), mixed)
-    assert sorted(map(tuple, got.collect())) == [(2, "b", 8)] * 3 + [(3, "c", 9)]
+    for name in ("copies", "_id", "_copy", "_Times", "n"):
+        got = apply_copies(docs.withColumnRenamed("copies", name), mixed)
+        assert got.columns == ["doc_id", "text", name]
+        assert sorted(map(tuple, got.collect())) == [(2, "b", 8)] * 3 + [(3, "c", 9)]
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_the_pipeline_keeps_each_clean_document_once_and_repeats_none(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = [r.doc_id for r in corpus_pipeline.source_mixing(spark, docs, sf).select("doc_id").collect()]
+    assert len(kept) == len(set(kept))
+    clean = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
+    here = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert clean and clean & here <= set(kept)
+    # Toxic texts are thinned towards their share.
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1").collect()}
+    assert len(toxic & set(kept)) < 0.6 * len(toxic & here)
+
+
+def test_rates_of_a_whole_domain_are_one_at_most_and_fixed_rows_stay(spark):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.5, 0.5], 300)
+    rows = [(i, int(rng.integers(1, 99)), *map(float, x), bool(x[1] >= 0.5)) for i, x in enumerate(p)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long, p0 double, p1 double, fixed boolean")
+    rate, _ = fit_rates(df, [0.01, 0.99], whole_domain=1)
+    found = df.select("fixed", rate.alias("rate")).collect()
+    assert all(r.rate == 1 if r.fixed else 0 <= r.rate <= 1 for r in found)
+    assert min(r.rate for r in found) < 0.01
 
 
 def test_scarce_and_unlabelled_domains_do_not_limit_the_rest(spark, tmp_path):

@@ -74,12 +74,28 @@ def test_packing_stage_places_every_document(results):
     assert used <= np.ceil(sum(r.length for r in rows) / 2048) * 1.05 + 2
 
 
+def test_stages_take_empty_tables_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = docs
+    for name in ("copies", "_id", "_gone", "_again", "_row_key", "_copy", "kept", "node", "n", "tokens"):
+        more = more.withColumn(name, F.lit(7))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).collect() == []
+        found = stage(spark, more, SF)
+        assert found.columns == more.columns
+        assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in stage(spark, docs, SF).collect())
+    assert corpus_pipeline.best_fit_packing(spark, docs.limit(0), SF).collect() == []
+    assert corpus_pipeline.best_fit_packing(spark, more, SF).count() == corpus_pipeline.best_fit_packing(spark, docs, SF).count()
+
+
 def test_run_and_queries_are_registered(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
     assert set(QUERIES) < set(names) and names["pipeline"] is corpus_pipeline.run
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(i) for i in range(1, 14)}
 
 
 def test_exact_and_warc_queries_equal_their_sql(spark):
