@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flagstone.llm.common import kept_once, stored, with_row_key, without
+from flagstone.llm.common import kept_once, stored, unused, with_row_key, without
 from flagstone.llm.exact_dedup import exact_groups
 from flagstone.llm.minhash import near_duplicates
 from flagstone.llm.mixing import apply_copies, mix
@@ -17,38 +17,40 @@ from flagstone.llm.packing import packed_digest
 from flagstone.llm.quality import score_quality
 from flagstone.llm.queries import domain_labels, table, tokenizer_file
 
-ROW = "_row_key"
-
 # Wanted shares of tokens. Poor documents are gone by then, so domains are toxic and other texts.
 MIXTURE = {"plain": 0.99, "toxic": 0.01}
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    keyed = with_row_key(docs, ROW)
-    return without(keyed, score_quality(keyed, table(spark, sf_dir, "labels"), row=ROW).filter("not kept"), ROW).select(*docs.columns)
+    row = unused(docs, "_row_key")
+    keyed = with_row_key(docs, row)
+    return without(keyed, score_quality(keyed, table(spark, sf_dir, "labels"), row=row).filter("not kept"), row).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    keyed = with_row_key(docs, ROW)
-    return kept_once(keyed, exact_groups(keyed, key=ROW).filter("group_size > 1"), ROW).select(*docs.columns)
+    row = unused(docs, "_row_key")
+    keyed = with_row_key(docs, row)
+    return kept_once(keyed, exact_groups(keyed, key=row).filter("group_size > 1"), row).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
-    keyed = with_row_key(docs, ROW)
+    row = unused(docs, "_row_key")
+    keyed = with_row_key(docs, row)
     # Texts without words link with nothing, not even with themselves.
-    return kept_once(keyed, near_duplicates(keyed, key=ROW).filter("n_shingles > 0"), ROW).select(*docs.columns)
+    return kept_once(keyed, near_duplicates(keyed, key=row).filter("n_shingles > 0"), row).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as their rate says: plain texts all stay, and toxic ones as far as the mixture wants them
-    and there are any; where they are scarce, none is repeated and no plain text goes."""
+    """Documents stay or go as their rate says, which is one at most: a text that is labelled plain, or unlabelled and as
+    likely plain as not, always stays, and toxic ones as far as the mixture wants them. Where toxic texts are scarce, their share falls short."""
     domain = F.when(F.col("domain") == "toxic", "toxic").when(F.col("domain").isNotNull(), "plain")
     labels = domain_labels(spark, sf_dir).withColumn("domain", domain)
-    keyed = with_row_key(docs, ROW)
-    return apply_copies(keyed, mix(keyed, labels, MIXTURE, whole_domain="plain", row=ROW), ROW).select(*docs.columns)
+    row = unused(docs, "_row_key")
+    keyed = with_row_key(docs, row)
+    return apply_copies(keyed, mix(keyed, labels, MIXTURE, whole_domain="plain", row=row), row).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
