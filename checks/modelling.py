@@ -327,9 +327,9 @@ def _(spark, sf):
         "row_id", "feature", "value", F.round("phi", 6).alias("phi"), F.round("base", 6).alias("base"))
 
 
-@query("feature_importance", "WITH " + ATTR_SQL + " SELECT feature, round(importance, 6) AS importance FROM importance")
+@query("feature_importance", "WITH " + ATTR_SQL + " SELECT feature, round(importance, 9) AS importance FROM importance")
 def _(spark, sf):
-    return A.feature_importance(attributed(spark, sf)).select("feature", F.round("importance", 6).alias("importance"))
+    return A.feature_importance(attributed(spark, sf)).select("feature", F.round("importance", 9).alias("importance"))
 
 
 @query("dependence_rows", "WITH " + ATTR_SQL + """
