@@ -1,14 +1,14 @@
-"""Attributions against a background and of trees, second-order boosting, parameter search."""
+"""Attributions against a background and of trees, second-order boosting, parameter search, word pieces."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from checks.fixture import CARD, CLEAN_FLAGS, EVENTS_SQL, FLAGS, SPLIT_SQL, scores
+from checks.fixture import CARD, CLEAN_FLAGS, EVENTS_SQL, FLAGS, SPLIT_SQL, scores, table
 from checks.modelling import clean_events
 from checks.registry import query
-from flagstone.operators import attribution as A, boosting as B, metrics as M, ranking as T, shapley as H, splits as S, tuning as U
+from flagstone.operators import attribution as A, boosting as B, metrics as M, ranking as T, shapley as H, splits as S, tuning as U, word_pieces as W
 from flagstone.plans.shared import scratch_path
 from flagstone.sources import events as E
 
@@ -175,3 +175,40 @@ def _(spark, sf):
     saved = E.read_events(spark, path, trials.schema)
     found = saved.agg(F.max("value")).first()[0]
     return saved.select("trial", F.col("threshold").cast("double").between(0, high).alias("in_range"), F.lit(found >= 0.98 * exact).alias("near_best"))
+
+
+# A vocabulary of pieces of the words of part names: beginnings, what follows in some words, and single letters of others.
+PIECES_SQL = """names AS (SELECT p_partkey, p_name FROM part),
+words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM names),
+tokens AS (SELECT '[UNK]' AS token UNION SELECT substr(word, 1, 3) FROM words WHERE length(word) % 5 <> 0
+  UNION SELECT '##' || substr(word, 4, 2) FROM words WHERE length(word) > 4 UNION SELECT '##' || substr(word, 6) FROM words WHERE length(word) > 5
+  UNION SELECT '##' || substr(word, 4, 1) FROM words WHERE length(word) > 3),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS id FROM tokens),
+listed AS (SELECT list(token) AS held FROM vocab)"""
+
+
+@query("word_pieces", "WITH RECURSIVE " + PIECES_SQL + """,
+steps(word, pos, pieces) AS (
+  SELECT word, 1, [] :: VARCHAR[] FROM words
+  UNION ALL
+  SELECT word, pos + size, list_append(pieces, CASE WHEN pos > 1 THEN '##' ELSE '' END || substr(word, pos, size)) FROM (
+    SELECT word, pos, pieces, list_max(list_filter(range(1, length(word) - pos + 2),
+      lambda n: list_contains(held, CASE WHEN pos > 1 THEN '##' ELSE '' END || substr(word, pos, n)))) AS size
+    FROM steps, listed WHERE pos <= length(word)) WHERE size IS NOT NULL),
+cut AS (SELECT w.word, coalesce(array_to_string(s.pieces, ' '), '[UNK]') AS pieces FROM words w LEFT JOIN steps s ON s.word = w.word AND s.pos > length(w.word)),
+placed AS (SELECT p_partkey, generate_subscripts(string_split(p_name, ' '), 1) AS i, unnest(string_split(p_name, ' ')) AS word FROM names)
+SELECT p_partkey, string_agg(pieces, ' ' ORDER BY i) AS pieces FROM placed JOIN cut USING (word) GROUP BY 1""")
+def _(spark, sf):
+    names = table(spark, sf, "part").select("p_partkey", "p_name")
+    words = names.select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    n = F.length("word")
+    inside = lambda c: F.concat(F.lit("##"), c)
+    tokens = spark.range(1).select(F.lit("[UNK]").alias("token"))
+    for found in (
+        words.filter(n % 5 != 0).select(F.substring("word", 1, 3)), words.filter(n > 4).select(inside(F.substring("word", 4, 2))),
+        words.filter(n > 5).select(inside(F.expr("substring(word, 6)"))), words.filter(n > 3).select(inside(F.substring("word", 4, 1))),
+    ):
+        tokens = tokens.union(found)
+    # Tokens of part names are a few hundred at any scale.
+    vocab = tokens.distinct().withColumn("id", (F.row_number().over(Window.orderBy("token")) - 1).cast("int"))
+    return W.word_pieces(names, "p_name", vocab).select("p_partkey", F.array_join("pieces", " ").alias("pieces"))
