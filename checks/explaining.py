@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Window, functions as F
 
-from checks.fixture import CARD, CLEAN_FLAGS, EVENTS_SQL, FLAGS, SPLIT_SQL, scores, table
+from checks.fixture import CARD, CLEAN_FLAGS, EVENTS_SQL, FLAGS, SCORES_SQL, SPLIT_SQL, scores, table
 from checks.modelling import clean_events
 from checks.registry import query
 from flagstone.operators import attribution as A, boosting as B, metrics as M, ranking as T, shapley as H, splits as S, tuning as U, word_pieces as W
 from flagstone.plans.shared import scratch_path
 from flagstone.sources import events as E
+from flagstone.streaming import evaluation as V
 
 # Flags whose effects depend on each other: places in FLAGS and the weight of both together.
 TOGETHER = [(0, 3, 1.5), (5, 6, -2.0)]
@@ -212,3 +213,18 @@ def _(spark, sf):
     # Tokens of part names are a few hundred at any scale.
     vocab = tokens.distinct().withColumn("id", (F.row_number().over(Window.orderBy("token")) - 1).cast("int"))
     return W.word_pieces(names, "p_name", vocab).select("p_partkey", F.array_join("pieces", " ").alias("pieces"))
+
+
+@query("streamed_evaluation", "WITH " + SCORES_SQL + """,
+ranked AS (SELECT *, rank() OVER (PARTITION BY org_id ORDER BY score) + (count(*) OVER (PARTITION BY org_id, score) - 1) / 2.0::DOUBLE AS r FROM scores)
+SELECT org_id, count(*) AS n, CAST(sum(y) AS BIGINT) AS p,
+  round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0)::DOUBLE, 8) AS auc FROM ranked GROUP BY 1""")
+def _(spark, sf):
+    """Scored files are read as a stream, two batches at least, and the stream starts a second time."""
+    source, kept, progress = (scratch_path(spark, name) for name in ("scored", "counts", "progress"))
+    rows = scores(spark, sf).select("org_id", "y", "score")
+    rows.repartition(6, "score").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    for _ in range(2):
+        V.evaluate_stream(stream, kept, progress, by=["org_id"]).awaitTermination()
+    return V.stream_report(spark, kept, {"org_id": "string"}).withColumn("auc", F.round("auc", 8))

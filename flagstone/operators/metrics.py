@@ -29,8 +29,13 @@ def score_counts(df: DataFrame, label: str = "y", score: str = "score", by: list
 def score_curve(df: DataFrame, label: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Per distinct score as threshold: `p`, `q` (positives and negatives at it), `tp`, `fp` (at or
     above it), and the group's `p_all`, `q_all`."""
+    return counts_curve(score_counts(df, label, score, by), by)
+
+
+def counts_curve(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """`score_curve` from counts `(score, p, n)`, one row per distinct score of a group."""
     # Stored, since ranges, totals and curve all read the counts; there is one row per distinct score.
-    counts = measured(score_counts(df, label, score, by).withColumn("q", F.col("n") - F.col("p")).drop("n"))
+    counts = measured(counts.withColumn("q", F.col("n") - F.col("p")).drop("n"))
     curve = running_totals(counts, "score", {"tp": "p", "fp": "q"}, by=by, descending=True)
     return curve.withColumnsRenamed({"tp_total": "p_all", "fp_total": "q_all"})
 
@@ -95,6 +100,11 @@ def auc(df: DataFrame, label: str = "y", score: str = "score", by: list[str] | N
     return _auc(score_curve(df, label, score, by), by or [])
 
 
+def auc_of_counts(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """`auc` from counts `(score, p, n)`."""
+    return _auc(counts_curve(counts, by), by or [])
+
+
 def best_gmean(df: DataFrame, label: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Threshold with the largest geometric mean of TPR and 1 - FPR; the highest one on ties."""
     curve = _rates(score_curve(df, label, score, by))
