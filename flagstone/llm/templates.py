@@ -41,25 +41,37 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CONTAINERS = frozenset("html body main article section div header footer nav aside form ul ol dl table tbody thead tfoot figure blockquote fieldset details center".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre address figcaption caption legend summary hr".split())
 # Tags, roles and name parts of what is not article text.
-DROPPED_TAGS = frozenset("nav footer aside form head menu dialog".split())
+DROPPED_TAGS = frozenset("nav footer aside head menu dialog".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus "
     "breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices newsletter subscribe subscription signup "
-    "comment comments commentlist reply replies disqus share sharing social related recommended popup modal overlay login search".split())
+    "comment comments commentlist reply replies disqus share sharing social related recommended popup modal overlay login search skip copyright".split())
 # A class or id counts when all its parts are among those names or these words, one at least among those.
 BESIDE_NAMES = frozenset(
     "main top bottom left right site page primary secondary global mobile desktop bar box list block area section wrap wrapper "
-    "container inner outer widget item items link links button buttons icon icons form x".split())
+    "container inner outer widget item items link links button buttons icon icons form x to body thread threads slot slots unit units "
+    "card cards cta user users post posts reader readers google".split())
+# Headers of a site, as whole names; those of an article hold its title.
+SITE_HEADERS = frozenset("header site-header main-header top-header global-header header-top header-main header-wrapper header-inner header-container".split())
 # Names that say something else of a paragraph, heading or list item, and those that do of a part of an article.
 NOT_OF_LEAVES = frozenset("notice notices promotion banner aside footer masthead navigation menu menus reply replies social related recommended search login".split())
-NOT_INSIDE = frozenset("notice notices".split())
+# Sections of an article have ids of their own words, so only these count among ids inside an article.
+IDS_INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo newsletter sidebar cookie cookies consent gdpr "
+    "comment comments commentlist disqus".split())
+# Names of a part that is reader comments only where it holds a row of like, named containers.
+THREADS = frozenset("discussion discussions responses answers reviews feedback conversation".split())
+# A form is one by its fields: below the first number of characters a field it goes, below the second it is marked.
+FORM_GOES, FORM_MARKED = 40, 200
 MARK = "!"  # before the label of a container with a dropped name, which the template may overrule
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+FORM_END, ARTICLE = re.compile(r"</form(?=[\s/>])", re.I), re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+FIELD = re.compile(r"<(?:input(?![^>]*type\s*=\s*[\"']?hidden)|select|textarea|button)(?=[\s/>])", re.I)
 ENDS = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in HIDDEN}
 
 
@@ -75,11 +87,25 @@ def is_dropped(value: str, names: frozenset) -> bool:
     """Whether one of the names in a class or id is made of dropped names as a whole."""
     for name in value.split():
         parts = re.findall(r"[a-z]+", name)
+        if len(parts) > 1 and parts[-1] == "content":
+            parts.pop()  # of a sidebar; before other parts it is the layout of both
         if not names.isdisjoint(parts) and all(p in names or p in BESIDE_NAMES for p in parts):
             return True
     return False
 
 
+def form_kind(html: str, at: int) -> int:
+    """Of a form that opens before `at`: 2 where it is little but fields, 1 where fields share it with some text, 0 where
+    it is only wrapped around a text."""
+    end = FORM_END.search(html, at)
+    inside = html[at:end.start() if end else len(html)]
+    if ARTICLE.search(inside):
+        return 0
+    fields = sum(1 for _ in FIELD.finditer(inside))
+    chars = len(" ".join(TOKEN.sub(" ", inside).split()))
+    return 2 if chars < FORM_GOES * fields else 1 if chars < FORM_MARKED * fields else 0
+
+
 def parse(html: str) -> tuple[list[tuple[str, str]], Counter]:
     """The text blocks `(path, text)` of a page without dropped parts, in order, and how often each container path occurs.
     Containers with a dropped name are marked in the path and not dropped yet.
@@ -87,7 +113,7 @@ def parse(html: str) -> tuple[list[tuple[str, str]], Counter]:
     Tolerates missing and misplaced end tags. <br> is white space inside a block; other inline tags are nothing.
     """
     stack: list[tuple[str, str, bool]] = []  # (tag, path, dropped) of open containers and dropped elements
-    blocks, paths, order, text = [], Counter(), Counter(), []
+    blocks, paths, order, text, threads = [], Counter(), Counter(), [], []
     at = 0
 
     def close_block():
@@ -147,9 +173,14 @@ def parse(html: str) -> tuple[list[tuple[str, str]], Counter]:
         inside = any(s[0] in ("article", "main") for s in stack)
         dropped = tag in DROPPED_TAGS or tag in HIDDEN or role in DROPPED_ROLES or tag == "header" and not inside
         told = False
+        if tag == "form" and not above[2]:
+            kind = form_kind(html, at)
+            dropped, told = dropped or kind == 2, kind == 1
+        if not inside and container and tag not in ("html", "body", "article", "main") and not SITE_HEADERS.isdisjoint((classes + " " + ids).split()):
+            told = True
         if names and tag not in ("html", "body", "article", "main") and not DROPPED_NAMES.isdisjoint(names):
             if container:
-                told = is_dropped(classes, DROPPED_NAMES - NOT_INSIDE) if inside else is_dropped(classes + " " + ids, DROPPED_NAMES)
+                told = told or is_dropped(classes, DROPPED_NAMES) or is_dropped(ids, IDS_INSIDE if inside else DROPPED_NAMES)
             else:
                 dropped = dropped or is_dropped(classes, DROPPED_NAMES - NOT_OF_LEAVES)
         if container or dropped:
@@ -162,11 +193,21 @@ def parse(html: str) -> tuple[list[tuple[str, str]], Counter]:
                 if order[path] > 1:
                     path = f"{path}#{order[path]}"
                 paths[path] += 1
+                if not told and not THREADS.isdisjoint(names):
+                    threads.append(path)
             stack.append((tag, path if container else above[1], above[2] or dropped))
     if at < len(html) and not (stack and stack[-1][2]):
         tail = html[at:]
         text.append(tail[:tail.rfind("<")] if re.search(r"<[a-zA-Z/][^>]*\Z", tail) else tail)  # a tag that was cut off
     close_block()
+    for path in threads:
+        # Repeated sibling blocks of one name.
+        if any(p.startswith(path + ">") and re.fullmatch(r"[^>]*\.[^>]*#\d+", p[len(path) + 1:]) for p in paths):
+            outer, _, label = path.rpartition(">")
+            new = f"{outer}>{MARK}{label}" if outer else MARK + label
+            blocks = [(new + p[len(path):] if within(p, path) else p, t) for p, t in blocks]
+            paths = Counter({new + p[len(path):] if within(p, path) else p: n for p, n in paths.items()})
+            threads[:] = [new + p[len(path):] if within(p, path) else p for p in threads]
     return blocks, paths
 
 
@@ -320,8 +361,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Blocks are in page order, joined by two line feeds, with character references decoded and white space as one space.
-    Null html counts as empty and gives an empty text; pages of a null url (or one without a host) count as one
-    host; repeated rows are pages of their own; an empty table gives no rows.
+    A form goes where it is little but fields; one around a page's text is a wrapper. Null html counts as empty and gives
+    an empty text; pages of a null url (or one without a host) count as one host; repeated rows are pages of their own;
+    an empty table gives no rows. Very long pages are read whole, one at a time in a task.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))

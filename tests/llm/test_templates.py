@@ -121,3 +121,50 @@ def test_paths_of_single_pages_do_not_reach_the_template(spark):
     kept = template_tokens(pages.mapInArrow(token_rows, STATS)).collect()
     assert {r.path for r in kept} == {"", "body", "body>div.all"} and len(kept) == 3
     assert texts(spark, rows) == {i: f"Own {i}" for i in range(60)}
+
+
+def test_a_form_around_a_page_loses_nothing(spark):
+    """Layouts that wrap the whole page in one form, with and without an article tag, with a search field and hidden ones."""
+    text = "<h1>Head {0}</h1><p>" + "words of the page " * 30 + "{0}</p>"
+    shown = "Head {0}\n\n" + "words of the page " * 30 + "{0}"
+    wrap = "<body><form id=aspnetForm method=post><input type=hidden name=v><div class=search-box><input name=q><button>Go</button></div>%s</form></body>"
+    hosts = {"a.org": wrap % text, "b.org": wrap % f"<article>{text}</article>", "c.org": wrap % f"<div id=content>{text}</div>"}
+    for n in (1, 20):
+        rows = [(f"http://{host}/{i}", hosts[host].format(i)) for host in hosts for i in range(n)]
+        got = extract_pages(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], SCHEMA)).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.text == shown.format(r.url.rpartition("/")[2]), r.url
+
+
+def test_forms_of_fields_go():
+    shown = lambda html: [t for p, t in parse(html)[0] if not any(part.startswith("!") for part in p.split(">"))]
+    small = "<form><p>Your name</p><input name=a><p>Your mail</p><input name=b><button>Send</button></form>"
+    assert shown(f"<article><p>a</p>{small}<p>b</p></article>") == ["a", "b"]
+    assert shown(small) == []
+    assert shown("<form><p>" + "a text " * 40 + "</p><input type=hidden></form>") == [("a text " * 40).strip()]
+
+
+def test_comments_adverts_and_the_like_inside_articles(spark):
+    """Names of real layouts, as class and as id where ids tell it."""
+    names = ("comments comment-body user-comments post-comments reader-comments comment-thread related-posts ad-slot ad-unit google-ads "
+             "sponsored-content promo-card sidebar-content subscribe-cta notice").split()
+    by_id = "comments user-comments post-comments comment-thread ad-slot google-ads".split()
+    marks = [f"<div class='{n}'><p>no {n}</p></div>" for n in names] + [f"<section id={n}><p>no {n}</p></section>" for n in by_id]
+    marks.append("<div class=discussion><h3>Readers</h3><div class=post><p>no x</p></div><div class=post><p>no y</p></div></div>")
+    body = "<p>first {0} and a few more words</p>" + "".join(marks) + "<section id=discussion><h2>Discussion</h2><p>what {0} means in all its detail</p></section>"
+    wanted = "first {0} and a few more words\n\nDiscussion\n\nwhat {0} means in all its detail"
+    for n in (1, 8):
+        rows = [(i, f"http://q.org/{i}", f"<body><article>{body.format(i)}</article></body>") for i in range(n)]
+        got = texts(spark, rows)
+        assert got == {i: wanted.format(i) for i in range(n)}
+        rows = [(i, f"http://r.org/{i}", f"<body><main>{body.format(i)}</main></body>") for i in range(n)]
+        assert texts(spark, rows) == got
+
+
+def test_frames_of_sites_without_article_tags(spark):
+    rows = [(i, f"http://s.org/{i}", (
+        f"<body><a class=skip-link href=#c>Skip to content</a><div class=site-header><p>Site {i}</p></div><div class='content-sidebar-wrap'><div class=post-header><h1>Title {i}</h1></div>"
+        f"<p>Own text {i} is long enough</p><div class=sidebar-content><p>no {i}</p></div></div><p class=copyright>(c) {i}</p></body>")) for i in range(8)]
+    for n in (1, 8):
+        assert texts(spark, rows[:n]) == {i: f"Title {i}\n\nOwn text {i} is long enough" for i in range(n)}
