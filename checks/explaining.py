@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from checks.fixture import CARD, CLEAN_FLAGS, EVENTS_SQL, FLAGS, SCORES_SQL, SPLIT_SQL, scores, table
 from checks.modelling import clean_events
 from checks.registry import query
-from flagstone.operators import attribution as A, boosting as B, metrics as M, ranking as T, shapley as H, splits as S, tuning as U, word_pieces as W
+from flagstone.operators import attribution as A, boosting as B, columns as C, dependence_tree as D, metrics as M, ranking as T, shapley as H, splits as S, tuning as U, word_pieces as W
 from flagstone.plans.shared import scratch_path
 from flagstone.sources import events as E
 from flagstone.streaming import evaluation as V
@@ -228,3 +228,54 @@ def _(spark, sf):
     for _ in range(2):
         V.evaluate_stream(stream, kept, progress, by=["org_id"]).awaitTermination()
     return V.stream_report(spark, kept, {"org_id": "string"}).withColumn("auc", F.round("auc", 8))
+
+
+def information_sql(flags: str) -> str:
+    """Pairwise information of the columns of `flags` but row_id; nulls are no values."""
+    return f"""long AS (SELECT row_id, feature, value FROM (UNPIVOT ({flags}) ON COLUMNS(* EXCLUDE (row_id)) INTO NAME feature VALUE value)),
+pairs AS (SELECT a.feature, b.feature AS other, a.value AS x, b.value AS y, count(*) AS n FROM long a JOIN long b ON b.row_id = a.row_id AND a.feature < b.feature GROUP BY 1, 2, 3, 4),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY feature, other)::DOUBLE AS total, sum(n) OVER (PARTITION BY feature, other, x)::DOUBLE AS nx,
+  sum(n) OVER (PARTITION BY feature, other, y)::DOUBLE AS ny FROM pairs),
+informed AS (SELECT feature, other, round(sum(n / total * ln(n * total / (nx * ny))), 9) AS information FROM sized GROUP BY 1, 2)"""
+
+
+def flag_columns_sql(fill: bool) -> str:
+    cells = [f'coalesce("{f}", 0)' if fill else f'"{f}"' for f in FLAGS]
+    return "SELECT row_id, " + ", ".join(f'CAST({c} AS VARCHAR) AS "{f}"' for c, f in zip(cells, CLEAN_FLAGS)) + ", CAST(frd AS VARCHAR) AS frd FROM risk_events"
+
+
+# A pair is in the tree unless stronger pairs join its two features.
+TREE_SQL = """edges AS (SELECT *, row_number() OVER (ORDER BY information DESC, feature, other) AS r FROM informed),
+met(r, node) AS (SELECT r, feature FROM edges UNION
+  SELECT m.r, CASE WHEN e.feature = m.node THEN e.other ELSE e.feature END FROM met m JOIN edges e ON e.r < m.r AND (e.feature = m.node OR e.other = m.node)),
+tree AS (SELECT feature, other, information FROM edges e WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.r = e.r AND m.node = e.other))"""
+
+
+@query("informative_pairs", "WITH " + EVENTS_SQL + ", " + information_sql(flag_columns_sql(False)) + """
+SELECT feature, other, round(information, 8) AS information FROM informed""")
+def _(spark, sf):
+    df, names = clean_events(spark, sf), [*CLEAN_FLAGS, "frd"]
+    found = D.mutual_information(D.pair_counts(df, D.feature_values(df, names)))
+    return found.withColumn("information", F.round("information", 8))
+
+
+@query("dependence_tree", "WITH RECURSIVE " + EVENTS_SQL + ", " + information_sql(flag_columns_sql(False)) + ", " + TREE_SQL + """
+SELECT feature, other, round(information, 8) AS information FROM tree""")
+def _(spark, sf):
+    return D.dependence_tree(clean_events(spark, sf), [*CLEAN_FLAGS, "frd"]).withColumn("information", F.round("information", 8))
+
+
+# Where all features are known, only the neighbours of the hidden one on the tree tell of it.
+@query("fill_masked_by_tree", "WITH RECURSIVE " + EVENTS_SQL + ", " + information_sql(flag_columns_sql(True)) + ", " + TREE_SQL + """,
+near AS (SELECT CASE WHEN feature = 'frd' THEN other ELSE feature END AS feature FROM tree WHERE 'frd' IN (feature, other)),
+told AS (SELECT l.feature, l.value, t.value AS candidate, count(*) AS n FROM long l JOIN long t ON t.row_id = l.row_id AND t.feature = 'frd' WHERE l.feature IN (FROM near) GROUP BY 1, 2, 3),
+candidates AS (SELECT value AS candidate, count(*) AS n FROM long WHERE feature = 'frd' GROUP BY 1),
+kinds AS (SELECT feature, count(DISTINCT value) AS k FROM long GROUP BY 1),
+weights AS (SELECT l.row_id, c.candidate, sum(ln((coalesce(told.n, 0) + 1) / (c.n + k)::DOUBLE)) + any_value(ln(c.n + 1)) AS w
+  FROM long l JOIN near USING (feature) JOIN kinds USING (feature) CROSS JOIN candidates c
+  LEFT JOIN told ON told.feature = l.feature AND told.value = l.value AND told.candidate = c.candidate GROUP BY 1, 2),
+chances AS (SELECT row_id, candidate, 1 / (1 + sum(exp(w)) OVER (PARTITION BY row_id) / exp(w) - 1) AS p FROM weights)
+SELECT row_id, candidate, round(p, 8) AS p FROM chances""")
+def _(spark, sf):
+    df = C.fill_zero(clean_events(spark, sf), CLEAN_FLAGS)
+    return D.fill_masked_by_tree(df, "frd", CLEAN_FLAGS).select("row_id", "candidate", F.round("p", 8).alias("p"))

@@ -135,12 +135,18 @@ def decision_path(attributed: DataFrame, key: str = "row_id") -> DataFrame:
     if not ranked:
         return attributed.select(key, F.lit(0).alias("step"), F.lit("").alias("feature"),
                                  F.col("base").alias("phi"), F.col("base").alias("total")).limit(0)
-    # The order is known here, so a total is the one before it and one more value: linear in the features.
+    # The order is known here, so a total is the one before it and more values. A projection holds the totals of some
+    # features, so that neither the number of projections nor the terms of all totals grow with the square of the features.
     rows = attributed.select(key, F.col("base").alias("_total"), "phis")
-    totals = []
-    for step, r in enumerate(ranked):
-        rows = rows.withColumn(f"_total{step}", F.col(totals[-1] if totals else "_total") + F.get("phis", F.lit(r["place"])))
-        totals.append(f"_total{step}")
+    totals, last, size = [], F.col("_total"), max(1, int(len(ranked) ** 0.5))
+    for at in range(0, len(ranked), size):
+        found = {}
+        for step, r in enumerate(ranked[at:at + size], at):
+            last = last + F.get("phis", F.lit(r["place"]))
+            found[f"_total{step}"] = last
+        rows = rows.withColumns(found)
+        totals += found
+        last = F.col(totals[-1])
     steps = F.array(*[
         F.struct(F.lit(r["feature"]).alias("feature"), F.get("phis", F.lit(r["place"])).alias("phi"), F.col(t).alias("total"))
         for r, t in zip(ranked, totals)])

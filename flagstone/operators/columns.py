@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flagstone.functions.text import quoted
 
@@ -157,10 +159,30 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-def mean_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Element-wise mean of the vectors of a key. Partial sums per element are built before the
-    shuffle, so a hot key costs one small row per task."""
-    elements = df.select(key, F.posexplode(vector).alias("_pos", "_x"))
-    means = elements.groupBy(key, "_pos").agg(F.avg(F.col("_x").cast("double")).alias("_mean"))
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_mean")))
-    return means.groupBy(key).agg(F.transform(ordered, lambda e: e["_mean"]).alias(vector))
+def mean_pool(df: DataFrame, key: str, vector: str, piece: int = 512) -> DataFrame:
+    """Element-wise mean of the vectors of a key.
+
+    Vectors are summed as wholes inside the tasks: a task sends one row per key, place and length of a piece of `piece`
+    numbers, so neither the rows of a hot key nor the rows of long vectors grow with the table. Nulls are left out of the mean of
+    their place (null where nothing is left); shorter vectors count for their own places; keys of empty vectors only give no row.
+    """
+    # A table of vectors of one length has one length of piece but for the last, so nothing is padded.
+    values = F.col("_piece")["values"]
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / piece).cast("int")), lambda i: F.struct(
+        i.alias("place"), F.slice(vector, i * piece + 1, piece).cast("array<double>").alias("values")))
+    rows = df.filter(F.size(vector) > 0).select(F.col(key), F.explode(cut).alias("_piece"))
+    known = F.transform(values, lambda x: F.when(x.isNull(), 0.0).otherwise(1.0))
+    rows = rows.select(
+        key, F.col("_piece")["place"].alias("_place"), F.size(values).alias("_size"),
+        array_to_vector(F.concat(F.transform(values, lambda x: F.coalesce(x, F.lit(0.0))), known)).alias("_numbers"))
+    sums = rows.groupBy(key, "_place", "_size").agg(vector_to_array(Summarizer.sum(F.col("_numbers"))).alias("_sums"))
+    halves = sums.select(key, "_place", F.slice("_sums", F.lit(1), F.col("_size")).alias("_s"), F.slice("_sums", F.col("_size") + 1, F.col("_size")).alias("_n"))
+
+    def added(name: str) -> Column:
+        # At most one entry per length of a piece.
+        return F.aggregate(F.collect_list(name), F.array().cast("array<double>"), lambda a, b: F.zip_with(
+            a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+
+    means = halves.groupBy(key, "_place").agg(F.zip_with(added("_s"), added("_n"), lambda s, n: F.when(n > 0, s / n)).alias("_mean"))
+    ordered = F.array_sort(F.collect_list(F.struct("_place", "_mean")))
+    return means.groupBy(key).agg(F.flatten(F.transform(ordered, lambda e: e["_mean"])).alias(vector))

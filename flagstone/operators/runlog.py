@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, functions as F
 
 from flagstone.plans.ordered import ranged, running
@@ -48,9 +45,9 @@ def early_stopping(
     marked = running(marked, epoch, {"_last": ("max", "_at")}, run, split=split)
     counted = marked.withColumn("counter", (F.col("_place") - F.col("_last")).cast("int"))
     counted = counted.withColumn("stop", F.col("counter") >= patience)
-    ends = counted.filter("stop").groupBy(*[F.col(r).alias(f"_of_{r}") for r in run]).agg(F.min("_place").alias("_end"))
-    same = reduce(and_, [F.col(r).eqNullSafe(F.col(f"_of_{r}")) for r in run])
-    kept = counted.join(ends, same, "left").filter("_end is null or _place <= _end")
+    counted = counted.withColumn("_stopped", F.when(F.col("stop"), F.col("_place")))
+    ended = running(counted, epoch, {"_end": ("min", "_stopped")}, run, split=split)
+    kept = ended.filter("_end_total is null or _place <= _end_total")
     return kept.select(*log.columns, "improved", "counter", "best_loss", "stop")
 
 

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -90,3 +92,22 @@ def test_category_offsets():
 def test_mean_pool(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", [5.0, 5.0])], "k string, v array<float>")
     assert {r.k: r.v for r in C.mean_pool(df, "k", "v").collect()} == {"a": [2.0, 4.0], "b": [5.0, 5.0]}
+
+
+def test_mean_pool_of_null_ragged_and_long_vectors(spark):
+    rows = [
+        ("a", [1.0, None, 3.0]), ("a", [3.0, None]), ("a", None), ("a", []), ("b", []), ("c", None), (None, [2.0]), (None, [4.0]),
+        ("d", [float(i) for i in range(2000)]), ("d", [float(i + 2) for i in range(1200)]), ("e", [float("nan"), 1.0]), ("e", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "k string, v array<float>").repartition(3)
+    got = {r.k: r.v for r in C.mean_pool(df, "k", "v").collect()}
+    assert got["a"] == [2.0, None, 3.0] and got[None] == [3.0] and set(got) == {"a", None, "d", "e"}
+    assert got["d"] == [i + 1.0 if i < 1200 else float(i) for i in range(2000)]
+    assert math.isnan(got["e"][0]) and got["e"][1] == 1.0
+    assert C.mean_pool(df.limit(0), "k", "v").collect() == []
+
+
+def test_mean_pool_shuffles_no_row_per_element(spark):
+    df = spark.range(0, 400, 1, 4).select(F.lit("hot").alias("k"), F.array_repeat(F.col("id").cast("double"), 700).alias("v"))
+    pooled = C.mean_pool(df, "k", "v")
+    assert pooled.first().v == [199.5] * 700
+    assert "posexplode" not in pooled._jdf.queryExecution().toString()
