@@ -252,17 +252,16 @@ tree AS (SELECT feature, other, information FROM edges e WHERE NOT EXISTS (SELEC
 
 
 @query("informative_pairs", "WITH " + EVENTS_SQL + ", " + information_sql(flag_columns_sql(False)) + """
-SELECT feature, other, round(information, 8) AS information FROM informed""")
+SELECT feature, other, information FROM informed""")
 def _(spark, sf):
     df, names = clean_events(spark, sf), [*CLEAN_FLAGS, "frd"]
-    found = D.mutual_information(D.pair_counts(df, D.feature_values(df, names)))
-    return found.withColumn("information", F.round("information", 8))
+    return D.mutual_information(D.pair_counts(df, D.feature_values(df, names)))
 
 
 @query("dependence_tree", "WITH RECURSIVE " + EVENTS_SQL + ", " + information_sql(flag_columns_sql(False)) + ", " + TREE_SQL + """
-SELECT feature, other, round(information, 8) AS information FROM tree""")
+SELECT feature, other, information FROM tree""")
 def _(spark, sf):
-    return D.dependence_tree(clean_events(spark, sf), [*CLEAN_FLAGS, "frd"]).withColumn("information", F.round("information", 8))
+    return D.dependence_tree(clean_events(spark, sf), [*CLEAN_FLAGS, "frd"])
 
 
 # Where all features are known, only the neighbours of the hidden one on the tree tell of it.
