@@ -17,11 +17,13 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType
 
 from flagstone.llm.common import partitions, stored
 from flagstone.plans.shared import scratch_path
@@ -108,7 +110,15 @@ def _line(value) -> str:
 
 
 def record_id(page_id) -> str:
-    return f"<urn:page:{_line(page_id)}>"
+    """The key in percent encoding, so that any text comes back; an empty one is a bare %, a null one nothing."""
+    key = "" if page_id is None else quote(str(page_id), safe="") or "%"
+    return f"<urn:page:{key}>"
+
+
+def page_key(identifier: Column, kind: DataType) -> Column:
+    """The key of a record identifier."""
+    key = identifier.substr(F.lit(11), F.length(identifier) - 11)
+    return F.when(key == "%", "").otherwise(F.try_url_decode(F.nullif(key, F.lit("")))).cast(kind)
 
 
 def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> bytes:
@@ -237,7 +247,8 @@ def archive(
 ) -> tuple[DataFrame, str]:
     """Write a record per page below `folder` (one in the shared folder by default); the index and the folder.
 
-    Pages of null html have an empty payload, repeated rows one record each; an empty table gives no bundle.
+    Pages of null html have an empty payload, repeated rows one record each; an empty table gives no bundle. Keys may be null or
+    texts with any characters. A payload beyond a frame's size is a frame of its own.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     return write_bundles(plan_records(pages, least_bytes), folder, frame_bytes, bundle_bytes), folder
@@ -247,6 +258,5 @@ def archive_report(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Archive the pages, read all bundles back, and give per record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     index, folder = archive(pages)
     kind = pages.schema["page_id"].dataType
-    number = lambda c: F.nullif(F.substring(c, 11, 1000).substr(F.lit(1), F.length(c) - 11), F.lit("")).cast(kind)
     return read_bundles(index, folder, payload=False).select(
-        number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
+        page_key(F.col("record_id"), kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_key(F.col("refers_to"), kind).alias("refers_to"))

@@ -59,3 +59,14 @@ def test_empty_table_and_a_file_without_seek_table(spark):
         f.write(b"no seek table here")
     with pytest.raises(ValueError):
         BundleReader(folder, "x")
+
+
+def test_text_keys_come_back_unchanged(spark):
+    """Empty keys, line breaks, blanks, marks of the encoding itself and very long keys; null stays null."""
+    keys = ["", " ", "a\nb", "a\r\n\r\nb", "%", "%41", "a+b c", "<urn:page:x>", "é€😀", "k" * 5000, None, "1"]
+    body = "same words " * 200
+    df = spark.createDataFrame([(k, "u", body if n % 2 else f"<p>{n}</p>") for n, k in enumerate(keys)], "page_id string, url string, html string")
+    got = archive_report(spark, df).collect()
+    assert sorted((r.page_id for r in got), key=str) == sorted(keys, key=str)
+    longest = max(k for n, k in enumerate(keys) if n % 2 and k is not None)
+    assert {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {(k, longest) for n, k in enumerate(keys) if n % 2 and k != longest}
