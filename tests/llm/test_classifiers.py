@@ -109,3 +109,12 @@ def test_queries_give_one_row_per_document(spark, name):
 def test_constants_fit(spark):
     assert len(text_view(b"a")) == quality.TEXT_WIDTH and len(quality.meta_view(None, None, None)) == quality.META_WIDTH
     assert toxicity.features(b"").size == 0
+
+
+def test_a_labelled_key_of_many_rows_does_not_break_the_bound(spark, monkeypatch):
+    docs = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("word "), F.col("id") % 900).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("bad")).distinct()
+    sizes, fit = [], toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda sample, categories: sizes.append(sample.count()) or fit(sample, categories))
+    got = score_toxicity(docs, labels, ["bad"], sample_rows=1001)
+    assert got.count() == 4000 and sizes == [1001]
