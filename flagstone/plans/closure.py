@@ -1,4 +1,4 @@
-"""Transitive closure by a frontier loop."""
+"""Transitive closure by a frontier loop with jumps for deep graphs."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from flagstone.plans.shared import SMALL_ROWS, cut_lineage, hint_if_small
 
 # Steps per round on a small graph, where the fixed cost of a round would dominate.
 HOPS = 4
+# Rounds on the plain edges; a walk that is not over by then gets jumps.
+PLAIN_ROUNDS = 2
 
 
 def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, include_start: bool = False) -> DataFrame:
@@ -19,16 +21,32 @@ def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, incl
     Each round joins only the newest nodes, and a visited set ends cycles. Both are counted: small
     ones are broadcast, so the edges are scanned but not shuffled; large ones are joined by shuffle.
     A small graph is broadcast itself and walked several steps per round. The distinct edges are stored once
-    and read in every round.
+    and read in every round. Walks that go deep also follow jumps, so a chain takes as many rounds as its
+    length has binary digits, not one per step.
     """
-    steps = cut_lineage(edges.select(F.col(source).alias("node"), F.col(target).alias("_next")).distinct())
-    small = steps.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    hops = HOPS if small else 1
+    return walk(edges, start, source, target, include_start)[0]
+
+
+def walk(edges: DataFrame, start: DataFrame, source: str, target: str, include_start: bool = False) -> tuple[DataFrame, int]:
+    """The nodes of `reachable`, and the rounds it took."""
+    plain = cut_lineage(edges.select(F.col(source).alias("node"), F.col(target).alias("_next")).distinct())
+    steps, size = plain, plain.limit(SMALL_ROWS + 1).count()
+    jumps = None
     frontier = cut_lineage(start.select("node").distinct())
     visited = frontier if include_start else frontier.limit(0)
     rows, rounds = frontier.count(), 0
     seen = rows if include_start else 0
     while rows:
+        if rounds == PLAIN_ROUNDS:
+            jumps = _first_jumps(plain)
+        if rounds >= PLAIN_ROUNDS and jumps is not None:
+            jumps = cut_lineage(_doubled(jumps, size))
+            added = jumps.count()
+            # A jump leads where its steps lead, so it adds no node; the plain edges are walked from every node as before.
+            steps, size = (steps.unionByName(jumps), size + added) if added else (steps, size)
+            jumps = jumps if added else None
+        small = size <= SMALL_ROWS
+        hops = HOPS if small else 1
         known, newest, levels = hint_if_small(visited, seen), frontier, []
         for hop in range(1, hops + 1):
             if small:
@@ -46,4 +64,17 @@ def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, incl
         visited, seen, rounds = visited.unionByName(reached.select("node")), seen + added, rounds + 1
         if rounds % 10 == 0:
             visited = cut_lineage(visited)
-    return visited
+    return visited, rounds
+
+
+def _first_jumps(steps: DataFrame) -> DataFrame:
+    """One step of each node: to a node that goes on, where there is one."""
+    goes_on = steps.select(F.col("node").alias("_next"), F.lit(1).alias("_on")).distinct()
+    picked = F.max_by("_next", F.struct(F.coalesce("_on", F.lit(0)), "_next"))
+    return steps.join(goes_on, "_next", "left").groupBy("node").agg(picked.alias("_next"))
+
+
+def _doubled(jumps: DataFrame, size: int) -> DataFrame:
+    """Jumps of twice the steps; those that would leave the graph or come back to their start end."""
+    second = hint_if_small(jumps.select(F.col("node").alias("_next"), F.col("_next").alias("_then")), size)
+    return jumps.join(second, "_next").filter("node <> _then").select("node", F.col("_then").alias("_next"))

@@ -6,7 +6,9 @@ import random
 import pytest
 
 from flagstone.operators import policy_graph as G
-from flagstone.plans.closure import reachable
+from flagstone.plans import closure
+from flagstone.plans.closure import reachable, walk
+from flagstone.plans.shared import SMALL_ROWS
 from flagstone.sources.policies import read_policies
 
 
@@ -144,3 +146,34 @@ def test_reachable_with_cycles_and_diamonds(spark, seed):
     found = reachable(edges, nodes, "a", "b")
     assert {r.node for r in found.collect()} == seen and found.count() == len(seen)
     assert {r.node for r in reachable(edges, nodes, "a", "b", include_start=True).collect()} == seen | start
+
+
+def test_long_chains_take_few_rounds(spark):
+    """A chain of 5 000 nodes with a leaf at each, and a cycle behind it."""
+    n = 5000
+    rows = [(i, i + 1) for i in range(n)] + [(i, 100_000 + i) for i in range(n)] + [(n, n - 3), (200_000, 200_001), (None, 1), (2, None)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    start = spark.createDataFrame([(10,)], "node long")
+    nodes, rounds = walk(edges, start, "a", "b")
+    assert sorted(r.node for r in nodes.collect()) == [*range(11, n + 1), *range(100_010, 100_000 + n)]
+    assert rounds < 20
+
+
+@pytest.mark.parametrize("limit", [SMALL_ROWS, 3])
+def test_walks_equal_a_plain_search(spark, monkeypatch, limit):
+    """Random graphs with cycles and forks, walked as small and as large ones."""
+    monkeypatch.setattr(closure, "SMALL_ROWS", limit)
+    rng = random.Random(limit)
+    for n, m in ((40, 44), (60, 55)):
+        rows = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(100 + i, 101 + i) for i in range(25)]
+        beside = {}
+        for a, b in rows:
+            beside.setdefault(a, set()).add(b)
+        for starts in ([0, 100], [5]):
+            found, todo = set(), list(starts)
+            while todo:
+                new = beside.get(todo.pop(), set()) - found
+                found |= new
+                todo += new
+            nodes = closure.reachable(spark.createDataFrame(rows, "a long, b long"), spark.createDataFrame([(s,) for s in starts], "node long"), "a", "b")
+            assert sorted(r.node for r in nodes.collect()) == sorted(found)
