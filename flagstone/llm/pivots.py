@@ -25,6 +25,8 @@ from flagstone.llm.components import Forest, components, smallest_keys
 
 PIVOTS, SAMPLE, NEAREST, SHARED = 512, 4096, 6, 2
 BLOCK = 1024
+STEP_NUMBERS = 1 << 21  # numbers of the vectors that a task describes at a time
+SAMPLE_NUMBERS = 1 << 25  # the sample has fewer classes where vectors are so long that it would hold more numbers
 
 
 def vectors_of(column: pa.Array, width: int) -> np.ndarray:
@@ -42,7 +44,8 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 def fit_pivots(classes: DataFrame, width: int) -> np.ndarray:
     """PIVOTS unit vectors (fewer from a small table) of a sample of SAMPLE classes, each far from the others."""
-    rows = classes.select("embedding").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()
+    most = max(1, min(SAMPLE, SAMPLE_NUMBERS // max(1, width)))
+    rows = classes.select("embedding").orderBy(F.xxhash64("node"), "node").limit(most).toArrow()
     sample = unit(vectors_of(rows.column(0).combine_chunks(), width))
     if not len(sample):
         return sample
@@ -93,7 +96,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", v
 
     Vectors of equal label link when their cosine is `least` or more. Those that are null, empty, zero, of a null label or
     with null or non-finite components link with nothing, and so do vectors of different lengths. Rows that repeat a
-    key are vectors of their own; a null key is larger than any other. An empty table gives no rows.
+    key are vectors of their own; a null key is larger than any other. Very long vectors are compared whole and make no other
+    larger. An empty table gives no rows.
     """
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -113,17 +117,22 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", v
 
     def index(batches):
         for batch in batches:
-            units = unit(vectors_of(batch.column(2), width))
-            near = nearest_pivots(units, pivots)
-            k = near.shape[1]
-            take = pa.array(np.repeat(np.arange(len(units)), k))
-            cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * width), len(units), [None, pa.py_buffer(units.tobytes())])
-            prefix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * k), len(units), [None, pa.py_buffer(near.astype("<i8").tobytes())])
-            sizes = pa.array(np.diff(batch.column(2).offsets.to_numpy()).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(take), sizes.take(take), pa.array(near.ravel().astype(np.int32)), batch.column(0).take(take),
-                 batch.column(3).take(take), prefix.cast(pa.binary()).take(take), cells.cast(pa.binary()).take(take)],
-                names=["label", "width", "pivot", "node", "size", "prefix", "unit"])
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            for size in np.unique(sizes).tolist():
+                # Vectors of one length at a time, in steps of bounded memory: none is padded to the longest of the table.
+                of_size = np.flatnonzero(sizes == size)
+                for at in range(0, len(of_size), max(1, STEP_NUMBERS // size)):
+                    part = batch.take(pa.array(of_size[at:at + max(1, STEP_NUMBERS // size)]))
+                    units = unit(vectors_of(part.column(2), size))
+                    near = nearest_pivots(units, pivots[:, :size])
+                    k = near.shape[1]
+                    take = pa.array(np.repeat(np.arange(len(units)), k))
+                    cells = pa.array([u.tobytes() for u in units], pa.binary())
+                    prefix = pa.array([n.astype("<i8").tobytes() for n in near], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(1).take(take), pa.array(np.full(len(take), size, np.int32)), pa.array(near.ravel().astype(np.int32)), part.column(0).take(take),
+                         part.column(3).take(take), prefix.take(take), cells.take(take)],
+                        names=["label", "width", "pivot", "node", "size", "prefix", "unit"])
 
     postings = classes.select("node", "label", "embedding", "size").mapInArrow(
         index, f"label {kind}, width int, pivot int, node string, size long, prefix binary, unit binary")
@@ -141,7 +150,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", v
             if group.num_rows < 2:
                 continue
             nodes, sizes = group.column("node").to_pylist(), group.column("size").to_numpy()
-            units = np.frombuffer(b"".join(group.column("unit").to_pylist()), "<f8").reshape(len(nodes), width)
+            units = np.frombuffer(b"".join(group.column("unit").to_pylist()), "<f8").reshape(len(nodes), -1)
             prefixes = np.frombuffer(b"".join(group.column("prefix").to_pylist()), "<i8").reshape(len(nodes), -1)
             same = group.column("i")[0] == group.column("j")[0]
             split = int((group.column("own").to_numpy() == group.column("i")[0].as_py()).sum())

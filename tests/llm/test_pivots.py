@@ -80,3 +80,12 @@ def test_odd_vectors_nulls_and_empty_tables(spark):
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as node", "2 as n_links")
     assert found(near_vectors(df)) == brute(rows)
     assert near_vectors(df.limit(0)).collect() == []
+
+
+def test_one_long_vector_widens_no_other(spark, monkeypatch):
+    """Vectors of several lengths beside one of 50 000 numbers: the links are those of all pairs."""
+    monkeypatch.setattr(pivots, "STEP_NUMBERS", 1000)
+    rng = np.random.default_rng(4)
+    long = [float(x) for x in rng.normal(size=50_000)]
+    rows = some(5, 80) + [(2000 + i, r[1][:40], r[2]) for i, r in enumerate(some(5, 80))] + [(5000, long, 1), (5001, [2 * x for x in long], 1), (5002, long[:64], 1)]
+    assert found(near_vectors(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
