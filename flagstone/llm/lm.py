@@ -7,12 +7,14 @@ escape to the next shorter context d / 2t (method D); symbols of the longer cont
 one's t, d and choices. Below order 0 all symbols not seen yet are equally likely. So probabilities sum to one.
 
 The trie grows with the corpus and is never gathered in one place. Texts are cut into blocks. A block sends its distinct
-(context, symbol) pairs, with their counts in training texts, to the shard of the context's last two bytes. A whole
-suffix chain of contexts from order 2 up lies in one shard, so a shard knows each pair's exact probability, which it
-sends back to the blocks that asked. Shards are salted by block: salts are merged before a shard is, and each salt
-answers its own blocks. Orders 0 and 1 have at most 256 * 257 cells and go to every task. Words for the
-unigram base go the same way, by shards of their hashes. A pair or word costs one entry per block, however often the
-block holds it, so frequent ones make no hot group.
+(context, symbol) pairs, with their counts in training texts, to the shard of the context's last three bytes; there is a
+shard per SHARD_BYTES of text, up to MOST_SHARDS, and three last bytes have 256 * 256 * 257 pairs at most. A whole
+suffix chain of contexts from order 3 up lies in one shard, so a shard that is also sent the sums of order 2 for its last
+two bytes (SUFFIX_GROUPS lists, each of a bounded size) knows each pair's exact probability, which goes back to the blocks that
+asked. Shards are salted by block: salts are merged by FAN_IN before a shard is, and a shard's model is sent as many times as its
+questions outnumber it, so what is sent grows like the questions. Orders 0 and 1 have at most 256 * 257 cells and go to
+every task. Words for the unigram base go the same way, by shards of their hashes. A pair or word costs one entry
+per block, however often the block holds it, so frequent ones make no hot group.
 """
 
 from __future__ import annotations
@@ -35,10 +37,11 @@ SYMBOLS = 257
 # Text bytes of a block, and those worked on at a time.
 BLOCK_BYTES = 16_000_000
 STEP_BYTES = 1_000_000
-# Blocks whose questions to one shard are one group. The commonest last two bytes have about a fiftieth of a block's keys.
-SALT_BLOCKS = 512
-# A block has a row per shard, so their number must not grow with the data; salts do.
-MOST_SHARDS = 256
+# Blocks whose questions to one shard are one group, and merged groups that are merged at a time.
+SALT_BLOCKS, FAN_IN = 512, 16
+# A block has a row per shard: at most so many that a row still holds some hundred keys. The last two bytes of contexts
+# make up to SUFFIX_GROUPS groups of shards, in which the third decides.
+SHARD_BYTES, MOST_SHARDS, SUFFIX_GROUPS = 8_000_000, 16_384, 64
 # A key holds the context, nearest byte first, and then the symbol in 9 bits; OWNER_BITS are left for a text's number.
 SYMBOL_BITS = 9
 TOP = SYMBOL_BITS + 8 * ORDER
@@ -79,10 +82,20 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of a key by the two nearest context bytes."""
-    near = keys >> np.uint64(TOP - 16)
-    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
+def hashed(numbers: np.ndarray, n: int) -> np.ndarray:
+    return ((numbers * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+
+
+def shard_of(keys: np.ndarray, groups: int, parts: int) -> np.ndarray:
+    """The shard of a key: its group is that of the two nearest context bytes, its part that of the nearest three."""
+    return hashed(keys >> np.uint64(TOP - 16), groups) * parts + hashed(keys >> np.uint64(TOP - 24), parts)
+
+
+def shards_for(wanted: int) -> tuple[int, int]:
+    """Groups and parts of a group for about `wanted` shards."""
+    wanted = min(MOST_SHARDS, wanted)
+    groups = min(SUFFIX_GROUPS, wanted)
+    return groups, -(-wanted // groups)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -99,8 +112,9 @@ def sorted_from(planes: bytes) -> np.ndarray:
 class Block:
     """Texts of a task, gathered until they make a block."""
 
-    def __init__(self, shards: int, step: int):
-        self.name, self.shards, self.step = uuid.uuid4().hex, shards, step
+    def __init__(self, groups: int, parts_of_group: int, step: int):
+        self.name, self.step = uuid.uuid4().hex, step
+        self.groups, self.parts_of_group, self.shards = groups, parts_of_group, groups * parts_of_group
         self.keys, self.counts, self.parts = [], [], []
         self.words, self.known, self.batches = Counter(), Counter(), []
         self.bytes = self.held = 0
@@ -138,15 +152,30 @@ class Block:
         low = np.bincount(((keys >> np.uint64(TOP - 8)) * np.uint64(SYMBOLS) + (keys & np.uint64(511))).astype(np.int64), counts, 256 * SYMBOLS)
         yield "texts", -1, 0, 0, sink.getvalue().to_pybytes()
         yield "low", -1, 0, 0, pack(low.astype(np.int64))
-        own = shard_of(keys, self.shards)
-        for shard in np.unique(own):
-            mine = own == shard
-            yield "keys", int(shard), int(mine.sum()), 0, pack_sorted(keys[mine]) + pack(counts[mine].astype("<i8"))
+        seen = counts > 0
+        pairs, sums = summed(at_order(keys[seen], 2), counts[seen])
+        for group, mine in parted(hashed(pairs >> np.uint64(SYMBOL_BITS), self.groups)):
+            yield "pairs", group, len(mine), 0, pack_counts(pairs[mine], sums[mine])
+        for shard, mine in parted(shard_of(keys, self.groups, self.parts_of_group)):
+            yield "keys", shard, len(mine), 0, pack_counts(keys[mine], counts[mine])
         for shard, words in by_shard(set(self.words) | set(self.known), self.shards):
             n = np.fromiter((self.known[w] for w in words), "<i8", len(words))
             yield "words", shard, len(words), 0, pack(n) + zlib.compress(b" ".join(words), 1)
 
 
+def parted(owners: np.ndarray):
+    """`(owner, positions)` of each owner, positions rising."""
+    if len(owners):
+        order = np.argsort(owners, kind="stable")
+        cuts = np.flatnonzero(np.diff(owners[order])) + 1
+        for mine in np.split(order, cuts):
+            yield int(owners[mine[0]]), mine
+
+
+def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return pack_sorted(keys) + pack(counts.astype("<i8"))
+
+
 def by_shard(words: set[bytes], shards: int) -> list[tuple[int, list[bytes]]]:
     """Words by shard, in order: the same lists from the same words."""
     dealt: dict[int, list[bytes]] = {}
@@ -162,9 +191,9 @@ def _frame(rows, block: str) -> pa.RecordBatch:
          pa.array(b, pa.int64()), pa.array(data, pa.binary())], names=["block", "shard", "kind", "a", "b", "data"])
 
 
-def make_blocks(docs: DataFrame, shards: int, block_bytes: int, step: int) -> DataFrame:
+def make_blocks(docs: DataFrame, groups: int, parts: int, block_bytes: int, step: int) -> DataFrame:
     def run(batches):
-        block = Block(shards, step)
+        block = Block(groups, parts, step)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
             place = np.cumsum(sizes) // block_bytes
@@ -175,7 +204,7 @@ def make_blocks(docs: DataFrame, shards: int, block_bytes: int, step: int) -> Da
                 block.add(batch.slice(int(rows[0]), len(rows)))
                 if block.bytes >= block_bytes:
                     yield _frame(block.rows(), block.name)
-                    block = Block(shards, step)
+                    block = Block(groups, parts, step)
         if block.batches:
             yield _frame(block.rows(), block.name)
 
@@ -230,12 +259,13 @@ def at_order(keys: np.ndarray, k: int) -> np.ndarray:
     return ((keys >> np.uint64(TOP - 8 * k)) << np.uint64(SYMBOL_BITS)) | (keys & np.uint64(511))
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, first: np.ndarray, zero: np.ndarray) -> np.ndarray:
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, second: tuple[np.ndarray, np.ndarray], first: np.ndarray, zero: np.ndarray) -> np.ndarray:
     """log10 of each key's probability. `keys` are distinct and sorted, `counts` their counts in training texts, and
-    hold every pair of the contexts' last two bytes; `first` and `zero` are the counts of orders 1 and 0."""
+    hold every pair of the contexts' last three bytes; `second`, `first` and `zero` are the counts of orders 2, 1 and 0, those of order
+    2 by pairs and for the last two bytes of the keys at least."""
     seen = counts > 0
-    levels: dict[int, Level] = {}
-    for k in range(ORDER, 1, -1):
+    levels: dict[int, Level] = {2: Level(*second)}
+    for k in range(ORDER, 2, -1):
         levels[k] = Level(*summed(at_order(keys[seen], k), counts[seen]))
     cells = np.flatnonzero(first)
     levels[1] = Level(((cells // SYMBOLS).astype(np.uint64) << np.uint64(SYMBOL_BITS)) | (cells % SYMBOLS).astype(np.uint64), first.ravel()[cells])
@@ -285,34 +315,62 @@ def _read_words(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return np.frombuffer(counts, dtype="<i8"), zlib.decompress(rest).split(b" ")
 
 
-def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of a group's rows and their summed counts."""
-    asked = [_read_keys(x.as_py()) for x in table.column("data")]
+def merged(blobs) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of packed keys and their summed counts; none of no blobs."""
+    asked = [_read_keys(x) for x in blobs] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     return summed(np.concatenate([k for k, _ in asked]), np.concatenate([c for _, c in asked]))
 
 
-def score_keys(blocks: DataFrame, first: np.ndarray, zero: np.ndarray, salts: int) -> DataFrame:
-    """`(shard, data)`: all keys of a shard with their log-probabilities. Blocks are merged salt by salt before a shard is."""
-    def merge(table: pa.Table) -> pa.Table:
-        keys, counts = merged(table)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "data": pa.array([pack_sorted(keys) + pack(counts.astype("<i8"))], pa.binary())})
+def condensed(rows: DataFrame, merge, salts: int) -> DataFrame:
+    """Rows `(shard, salt, data)` with each salt's merged to one, again and again, until a shard has FAN_IN rows at most."""
+    def run(table: pa.Table) -> pa.Table:
+        data = merge([x.as_py() for x in table.column("data")])
+        return table.select(["shard", "salt"]).slice(0, 1).append_column("data", pa.array([data], pa.binary()))
+
+    while salts > 1:
+        rows = rows.groupBy("shard", "salt").applyInArrow(run, "shard int, salt int, data binary")
+        if salts <= FAN_IN:
+            break
+        salts = -(-salts // FAN_IN)
+        rows = rows.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int"))
+    return rows
+
+
+def score_keys(blocks: DataFrame, first: np.ndarray, zero: np.ndarray, parts: int, salts: int) -> DataFrame:
+    """`(shard, n, data)`: all keys of a shard with their log-probabilities, and their number."""
+    def merge(blobs: list[bytes]) -> bytes:
+        return pack_counts(*merged(blobs))
+
+    def asked(kind: str) -> DataFrame:
+        return condensed(blocks.filter(F.col("kind") == kind).select("shard", _salt(salts), "data"), merge, salts)
+
+    def add(table: pa.Table) -> pa.Table:
+        data = merge([x.as_py() for x in table.column("data")])
+        return pa.table({"shard": table.column("shard").slice(0, 1), "data": pa.array([data], pa.binary())})
 
     def score(table: pa.Table) -> pa.Table:
-        keys, counts = merged(table)
-        found = log_probabilities(keys, counts, first, zero).astype("<f4")
-        return pa.table({"shard": table.column("shard").slice(0, 1), "data": pa.array([pack_sorted(keys) + found.tobytes()], pa.binary())})
+        rows = list(zip(table.column("second").to_pylist(), (x.as_py() for x in table.column("data"))))
+        keys, counts = merged([blob for second, blob in rows if not second])
+        found = log_probabilities(keys, counts, merged([blob for second, blob in rows if second]), first, zero).astype("<f4")
+        if not len(keys):  # sums of order 2 that no key of this shard needs
+            return pa.table({"shard": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+        return pa.table({
+            "shard": table.column("shard").slice(0, 1), "n": pa.array([len(keys)], pa.int64()),
+            "data": pa.array([pack_sorted(keys) + found.tobytes()], pa.binary())})
 
-    asked = blocks.filter("kind = 'keys'").select("shard", _salt(salts), "data")
-    parts = asked.groupBy("shard", "salt").applyInArrow(merge, "shard int, data binary")
-    return parts.groupBy("shard").applyInArrow(score, "shard int, data binary")
+    pairs = asked("pairs").groupBy("shard").applyInArrow(add, "shard int, data binary")
+    second = pairs.select(
+        F.explode(F.sequence(F.col("shard") * parts, F.col("shard") * parts + (parts - 1))).alias("shard"), F.lit(True).alias("second"), "data")
+    own = asked("keys").select("shard", F.lit(False).alias("second"), "data")
+    return own.unionByName(second).groupBy("shard").applyInArrow(score, "shard int, n long, data binary")
 
 
-def _salt(salts: int):
-    return F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt")
+def _salt(salts):
+    return F.pmod(F.xxhash64("block"), F.lit(salts) if isinstance(salts, int) else salts).cast("int").alias("salt")
 
 
 def answer_keys(blocks: DataFrame, model: DataFrame, salts: int) -> DataFrame:
-    """Per block and shard: the block's keys and their log-probabilities. Each salt of a shard has the shard's model."""
+    """Per block and shard: the block's keys and their log-probabilities."""
     def run(table: pa.Table) -> pa.Table:
         kinds, rows = table.column("kind").to_pylist(), [x.as_py() for x in table.column("data")]
         planes, rest = _split(rows[kinds.index("model")])
@@ -328,26 +386,26 @@ def answer_keys(blocks: DataFrame, model: DataFrame, salts: int) -> DataFrame:
 
 
 def count_words(blocks: DataFrame, salts: int) -> DataFrame:
-    """`(shard, a, b, data)`: all words of a shard with their training counts; `a` of them occur in training texts, `b` times."""
-    def total(table: pa.Table) -> dict[bytes, int]:
+    """`(shard, n, a, b, data)`: all `n` words of a shard with their training counts; `a` of them occur in training texts, `b` times."""
+    def total(blobs) -> tuple[np.ndarray, bytes]:
         out: dict[bytes, int] = {}
-        for blob in table.column("data"):
-            counts, words = _read_words(blob.as_py())
+        for counts, words in map(_read_words, blobs):
             for w, n in zip(words, counts.tolist()):
                 out[w] = out.get(w, 0) + n
-        return out
+        return np.fromiter(out.values(), "<i8", len(out)), zlib.compress(b" ".join(out), 1)
+
+    def merge(blobs: list[bytes]) -> bytes:
+        counts, words = total(blobs)
+        return pack(counts) + words
 
-    def merge(table: pa.Table) -> pa.Table:
-        found = total(table)
-        counts = np.fromiter(found.values(), "<i8", len(found))
-        blob = pack(counts) + zlib.compress(b" ".join(found), 1)
+    def last(table: pa.Table) -> pa.Table:
+        counts, words = total(x.as_py() for x in table.column("data"))
         return pa.table({
-            "shard": table.column("shard").slice(0, 1), "a": pa.array([int((counts > 0).sum())], pa.int64()),
-            "b": pa.array([int(counts.sum())], pa.int64()), "data": pa.array([blob], pa.binary())})
+            "shard": table.column("shard").slice(0, 1), "n": pa.array([len(counts)], pa.int64()), "a": pa.array([int((counts > 0).sum())], pa.int64()),
+            "b": pa.array([int(counts.sum())], pa.int64()), "data": pa.array([pack(counts) + words], pa.binary())})
 
-    schema = "shard int, a long, b long, data binary"
-    asked = blocks.filter("kind = 'words'").select("shard", _salt(salts), "data")
-    return asked.groupBy("shard", "salt").applyInArrow(merge, schema).groupBy("shard").applyInArrow(merge, schema)
+    asked = condensed(blocks.filter("kind = 'words'").select("shard", _salt(salts), "data"), merge, salts)
+    return asked.groupBy("shard").applyInArrow(last, "shard int, n long, a long, b long, data binary")
 
 
 def answer_words(blocks: DataFrame, model: DataFrame, salts: int) -> DataFrame:
@@ -367,10 +425,15 @@ def answer_words(blocks: DataFrame, model: DataFrame, salts: int) -> DataFrame:
 
 
 def _with_models(blocks: DataFrame, kind: str, model: DataFrame, salts: int) -> DataFrame:
-    """The questions of one kind, and for each salt of a shard the shard's model."""
-    asked = blocks.filter(F.col("kind") == kind).select("block", "shard", "kind", _salt(salts), "data")
-    return asked.unionByName(model.select(
-        F.lit("").alias("block"), "shard", F.lit("model").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "data"))
+    """The questions of one kind, and the shard's model for each of its salts: `salts` at most, and no more than times that the
+    questions outnumber the model's entries, so that models are no more data than questions. One number per shard is broadcast."""
+    asked = blocks.filter(F.col("kind") == kind)
+    sizes = asked.groupBy("shard").agg(F.sum("a").alias("asked"))
+    copies = F.least(F.ceil(F.col("asked") / F.greatest("n", F.lit(1))), F.lit(salts)).cast("int")
+    copies = F.broadcast(stored(model.select("shard", "n").join(sizes, "shard").select("shard", copies.alias("copies")), "lm-copies"))
+    questions = asked.join(copies, "shard").select("block", "shard", "kind", _salt(F.col("copies")), "data")
+    return questions.unionByName(model.join(copies, "shard").select(
+        F.lit("").alias("block"), "shard", F.lit("model").alias("kind"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "data"))
 
 
 def _answers(table: pa.Table, asked: list[int], data: list[bytes]) -> pa.Table:
@@ -391,8 +454,10 @@ def score_documents(
     an empty table gives no rows. Without training texts every symbol is equally likely.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    kind, shards = rows.schema["doc_id"].dataType.simpleString(), min(MOST_SHARDS, max(16, partitions(docs)))
-    blocks = stored(make_blocks(rows, shards, block_bytes, step), "lm-blocks")
+    kind, size = rows.schema["doc_id"].dataType.simpleString(), rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups, parts = shards_for(max(16, partitions(docs), -(-size // SHARD_BYTES)))
+    shards = groups * parts
+    blocks = stored(make_blocks(rows, groups, parts, block_bytes, step), "lm-blocks")
     salts = max(1, -(-blocks.filter("kind = 'texts'").count() // salt_blocks))
     first, zero = low_orders(blocks)
     words = stored(count_words(blocks, salts), "lm-words")
@@ -401,7 +466,7 @@ def score_documents(
     train_tokens, vocabulary = (sums[1] or 0) + ends, (sums[0] or 0) + (ends > 0)
     below = float(np.log10(train_tokens + 0.1 * (vocabulary + 1)))
     end_score = float(np.log10(ends + 0.1)) - below
-    model = stored(score_keys(blocks, first, zero, salts), "lm-model")
+    model = stored(score_keys(blocks, first, zero, parts, salts), "lm-model")
     answers = answer_keys(blocks, model, salts).unionByName(answer_words(blocks, words, salts)).unionByName(blocks.filter("kind = 'texts'"))
 
     def run(table: pa.Table) -> pa.Table:

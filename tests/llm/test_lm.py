@@ -67,6 +67,31 @@ def test_scores_equal_a_trie_walked_byte_by_byte(spark, block_bytes):
         assert math.isclose(got[i].score, brute(nodes, data), rel_tol=1e-5)
 
 
+def test_many_shards_of_a_suffix_and_rounds_of_merging_change_no_score(spark, monkeypatch):
+    """Third bytes deal a hot suffix to several shards, salts are merged two by two, and models are sent to several salts."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("ab "), 40)) + "the end" * (i % 3) for i in range(60)]
+    df = spark.createDataFrame([(i, t, i % 7 == 0) for i, t in enumerate(texts)], "doc_id long, text string, held boolean").repartition(5)
+    wanted = {r.doc_id: r.score for r in score_documents(df, F.col("held")).collect()}
+    nodes = trie([t.encode() for i, t in enumerate(texts) if i % 7])
+    monkeypatch.setattr(lm, "SUFFIX_GROUPS", 3)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 100)
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    got = {r.doc_id: r.score for r in score_documents(df, F.col("held"), block_bytes=120, step=50, salt_blocks=1).collect()}
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i], wanted[i], rel_tol=1e-5) and math.isclose(got[i], brute(nodes, t.encode()), rel_tol=1e-5)
+
+
+def test_shards_grow_with_the_text_and_split_suffixes():
+    assert lm.shards_for(16) == (16, 1) and lm.shards_for(640) == (64, 10)
+    assert math.prod(lm.shards_for(10**9)) == lm.MOST_SHARDS
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**49, 5000).astype(np.uint64))
+    own = lm.shard_of(keys, 64, 10)
+    pairs = lm.hashed(lm.at_order(keys, 2) >> np.uint64(lm.SYMBOL_BITS), 64)
+    assert (own // 10 == pairs).all() and len(np.unique(own)) > 600
+    assert sorted(i for _, mine in lm.parted(own) for i in mine) == list(range(len(keys)))
+
+
 def test_query_base_and_held_out_texts(spark):
     rows = QUERIES["op1_ppm_scoring"](spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
