@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from flagstone.functions.arrays import bracket, constant_array
 from flagstone.functions.numbers import once
 from flagstone.functions.text import choose, mask_text, quoted, token, whole_columns
 from flagstone.plans.hashing import below, digest, hex_number
-from flagstone.plans.shared import bounded_rows
+from flagstone.plans.shared import bounded_rows, measured
 
 # The special tokens in id order, and the label of positions that are not predicted.
 SPECIAL_TOKENS = ["[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]", "[BOS]", "[EOS]"]
 IGNORED_LABEL = -100
+# Up to two to this power of rows ask for their look-ups together.
+BLOCK_BITS = 14
 
 
 def feature_table(spark: SparkSession, features: list[str]) -> DataFrame:
@@ -96,12 +100,40 @@ def lookup_ids(tokens: DataFrame, vocab: DataFrame, unknown: int) -> DataFrame:
     )
 
 
+def _look_up_by_block(rows: DataFrame, table: DataFrame, unknown) -> DataFrame:
+    """`rows` (two columns, a key and an array) with each array's items replaced by their values in `table` (item, value; items are
+    distinct). An item that is not there, or null, gets `unknown`; a null array stays null, an empty one empty.
+
+    Rows are cut into blocks of at most 2 ** BLOCK_BITS where they lie. A block asks for each distinct item once, however many of its rows
+    hold it, so the join with `table` carries block x distinct item, and a frequent item is one row per block. The answers
+    meet the block's rows, which move once and whole; arrays are filled in place. No row is exploded into the shuffle.
+    """
+    (key, array), (item, value) = rows.columns, table.columns
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("_block")
+    # Stored, since a task that ran again could cut other blocks.
+    blocks = measured(rows.select(block, F.col(key).alias("_key"), F.col(array).alias("_items")))
+    asked = blocks.select("_block", F.explode(F.array_distinct("_items")).alias("_item")).distinct()
+    answers = asked.join(table.select(F.col(item).alias("_item"), F.col(value).alias("_value")), "_item").select(F.col("_block").alias("_asker"), "_item", "_value")
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"_key": left.column("_key"), "_values": pa.array([], pa.list_(right.schema.field("_value").type))})
+        items = left.column("_items").combine_chunks()
+        at = pc.index_in(items.flatten(), value_set=right.column("_item").combine_chunks())
+        found = pc.fill_null(right.column("_value").combine_chunks().take(at), unknown)
+        sizes = pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
+        return pa.table({"_key": left.column("_key"), "_values": pa.ListArray.from_arrays(offsets, found, mask=items.is_null())})
+
+    schema = T.StructType([T.StructField("_key", rows.schema[key].dataType), T.StructField("_values", T.ArrayType(table.schema[value].dataType))])
+    filled = blocks.groupBy("_block").cogroup(answers.groupBy("_asker")).applyInArrow(fill, schema)
+    return filled.select(F.col("_key").alias(key), F.col("_values").alias(array))
+
+
 def encode_by_join(df: DataFrame, key: str, features: list[str], vocab: DataFrame, unknown: int = 0) -> DataFrame:
-    """The same ids for vocabularies too large for `encode`: a join, then one short array per row."""
-    tokens = F.array(*[F.struct(F.lit(i).alias("pos"), token(c).alias("token")) for i, c in enumerate(features)])
-    found = lookup_ids(df.select(key, F.inline(tokens)), vocab, unknown)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "id")))
-    return found.groupBy(key).agg(F.transform(ordered, lambda e: e["id"]).alias("ids"))
+    """The same ids for vocabularies too large for `encode`, as `(key, ids)`: one row per row, looked up block by block."""
+    tokens = F.array(*[token(c) for c in features])
+    return _look_up_by_block(df.select(key, tokens.alias("ids")), vocab.select("token", "id"), unknown)
 
 
 def _literal_map(pairs: dict) -> Column:
@@ -124,10 +156,8 @@ def decode(ids: Column, vocab: dict[str, int]) -> Column:
 
 
 def decode_by_join(df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
-    """The same by a join with the vocabulary table."""
-    named = df.select(key, F.posexplode(ids).alias("pos", "id")).join(vocab.select("token", "id"), "id", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("[UNK]")).alias("token"))))
-    return named.groupBy(key).agg(F.transform(ordered, lambda e: e["token"]).alias("tokens"))
+    """The same with the vocabulary table, as `(key, tokens)`: one row per row, looked up block by block."""
+    return _look_up_by_block(df.select(key, F.col(ids).alias("tokens")), vocab.select("id", "token"), "[UNK]")
 
 
 def mask_tokens(

@@ -89,3 +89,34 @@ def test_random_masking_rates(spark, ids):
     same = chosen.filter("input_ids = labels").count() / chosen.count()
     assert abs(share - 0.15) < 0.01 and 0.78 < masked < 0.84 and 0.09 < same < 0.13
     assert inner.filter("labels = -100 and input_ids not in (7, 10, 12)").isEmpty()
+
+
+@pytest.mark.parametrize("bits", [1, 14])
+def test_look_ups_by_block_keep_rows_order_nulls_and_repeats(spark, monkeypatch, bits):
+    monkeypatch.setattr(N, "BLOCK_BITS", bits)
+    names = {i: f"t{i}" for i in range(40) if i % 7}
+    rows = [(i if i % 5 else None, None if i == 3 else [(i * j) % 45 if j % 4 else None for j in range(i % 6)]) for i in range(60)] * 2
+    vocab = spark.createDataFrame([(t, i) for i, t in names.items()], "token string, id int")
+    df = spark.createDataFrame(rows, "row_id long, ids array<int>").repartition(3)
+    got = N.decode_by_join(df, "row_id", "ids", vocab).collect()
+    wanted = [(k, None if x is None else [names.get(i, "[UNK]") for i in x]) for k, x in rows]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted))
+    assert N.decode_by_join(df.limit(0), "row_id", "ids", vocab).collect() == []
+    nothing = N.decode_by_join(df, "row_id", "ids", vocab.limit(0)).collect()
+    assert len(nothing) == 120 and {t for r in nothing for t in r.tokens or []} == {"[UNK]"}
+
+
+def test_encoding_by_join_equals_encoding_in_place(spark, ids):
+    df = table(spark).unionByName(table(spark))
+    vocab = N.build_vocab(N.feature_table(spark, NAMES))
+    wide = [(r.row_id, r.input_ids[1:-1]) for r in N.encode(df, NAMES, ids, None, ["row_id"]).collect()]
+    assert sorted(map(tuple, N.encode_by_join(df, "row_id", NAMES, vocab).collect())) == sorted(wide)
+
+
+def test_a_block_asks_for_an_item_once(spark):
+    """The join with the vocabulary carries block x distinct item, not row x item."""
+    vocab = spark.createDataFrame([("x", 1)], "token string, id int")
+    df = spark.range(5000, numPartitions=2).select(F.col("id").alias("row_id"), F.array_repeat(F.lit(1), 50).alias("ids"))
+    out = N.decode_by_join(df, "row_id", "ids", vocab)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_block" in plan and out.filter("size(tokens) = 50 and tokens[7] = 'x'").count() == 5000
