@@ -152,17 +152,24 @@ class Block:
         low = np.bincount(((keys >> np.uint64(TOP - 8)) * np.uint64(SYMBOLS) + (keys & np.uint64(511))).astype(np.int64), counts, 256 * SYMBOLS)
         yield "texts", -1, 0, 0, sink.getvalue().to_pybytes()
         yield "low", -1, 0, 0, pack(low.astype(np.int64))
-        seen = counts > 0
-        pairs, sums = summed(at_order(keys[seen], 2), counts[seen])
-        for group, mine in parted(hashed(pairs >> np.uint64(SYMBOL_BITS), self.groups)):
+        low = [summed(at_order(k[n > 0], 2), n[n > 0]) for k, n in slices(keys, counts)]
+        pairs, sums = summed(np.concatenate([k for k, _ in low]), np.concatenate([n for _, n in low]))
+        for group, mine in parted(hashed(pairs >> np.uint64(SYMBOL_BITS), self.groups).astype(np.int16)):
             yield "pairs", group, len(mine), 0, pack_counts(pairs[mine], sums[mine])
-        for shard, mine in parted(shard_of(keys, self.groups, self.parts_of_group)):
+        own = np.concatenate([shard_of(k, self.groups, self.parts_of_group).astype(np.int16) for k, _ in slices(keys, counts)])
+        for shard, mine in parted(own):
             yield "keys", shard, len(mine), 0, pack_counts(keys[mine], counts[mine])
         for shard, words in by_shard(set(self.words) | set(self.known), self.shards):
             n = np.fromiter((self.known[w] for w in words), "<i8", len(words))
             yield "words", shard, len(words), 0, pack(n) + zlib.compress(b" ".join(words), 1)
 
 
+def slices(keys: np.ndarray, counts: np.ndarray, size: int = 1 << 19):
+    """Both arrays in steps, so that what is made of them stays small."""
+    for at in range(0, max(1, len(keys)), size):
+        yield keys[at:at + size], counts[at:at + size]
+
+
 def parted(owners: np.ndarray):
     """`(owner, positions)` of each owner, positions rising."""
     if len(owners):
