@@ -17,8 +17,8 @@ from flagstone.plans.shared import bounded_rows, measured
 # The special tokens in id order, and the label of positions that are not predicted.
 SPECIAL_TOKENS = ["[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]", "[BOS]", "[EOS]"]
 IGNORED_LABEL = -100
-# Up to two to this power of rows ask for their look-ups together.
-BLOCK_BITS = 14
+# Up to two to this power of rows ask for their look-ups together: a million items at 245 features, tens of megabytes in a task.
+BLOCK_BITS = 12
 
 
 def feature_table(spark: SparkSession, features: list[str]) -> DataFrame:
