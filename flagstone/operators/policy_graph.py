@@ -20,9 +20,6 @@ OUTPUTS = ("Output_To", "Output_Count_To")
 CALL_TYPE = "Call Policy"
 NO_CALL_TYPE = "SL Execution Policy"
 
-# Levels of nesting that one plan opens.
-OPEN_LEVELS = 6
-
 # Ends the load key of a rule; it sorts after digits, so nested rules come before their parent.
 _END = "~"
 
@@ -79,9 +76,8 @@ def _level(rules: DataFrame, depth: int) -> DataFrame:
 def flatten_rules(policies: DataFrame, max_depth: int = 100) -> DataFrame:
     """One row per rule at any nesting depth, with the id of its parent rule.
 
-    Each round opens one level of nesting for all policies at once. The parsed top rules are stored once and
-    levels are opened from them, not written again; only every OPEN_LEVELS levels the plan is cut. Nesting
-    beyond `max_depth` is an error, not a cut.
+    Each round opens one level of nesting for all policies at once and stores it, so a level is opened once, from the
+    one above, whatever the depth. Nesting beyond `max_depth` is an error, not a cut.
     """
     top = policy_rules(policies).withColumns({"parent_id": F.lit(None).cast("string"), "path": F.lit("")})
     level = _level(cut_lineage(top), 0)
@@ -91,9 +87,7 @@ def flatten_rules(policies: DataFrame, max_depth: int = 100) -> DataFrame:
             "policy", F.col("node_id").alias("parent_id"), "path",
             F.posexplode(_get("rule", "$.rules", "array<variant>")).alias("pos", "rule"),
         )
-        level = _level(nested, depth)
-        if depth % OPEN_LEVELS == 0:
-            level = cut_lineage(level)
+        level = cut_lineage(_level(nested, depth))
         if level.isEmpty():
             break
         if depth > max_depth:
