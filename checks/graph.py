@@ -75,7 +75,7 @@ def _(spark, sf):
 for _kind in ("parent", "dependency", "call", "output"):
     @query(f"policy_{_kind}_edges", WITH + f" SELECT source, target, kind FROM edges WHERE kind = '{_kind}'")
     def _(spark, sf, kind=_kind):
-        return graph(spark, sf)[1].filter(F.col("kind") == kind)
+        return graph(spark, sf)[1].filter(F.col("kind") == kind).select("source", "target", "kind")
 
 
 @query("dangling_dependencies", WITH + """

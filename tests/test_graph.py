@@ -177,3 +177,33 @@ def test_walks_equal_a_plain_search(spark, monkeypatch, limit):
                 todo += new
             nodes = closure.reachable(spark.createDataFrame(rows, "a long, b long"), spark.createDataFrame([(s,) for s in starts], "node long"), "a", "b")
             assert sorted(r.node for r in nodes.collect()) == sorted(found)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_walks_by_place_equal_a_plain_search(spark, seed):
+    """Places cut at random and in order, with cycles, nodes of several places and null nodes."""
+    rng = random.Random(seed)
+    pairs = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(55)} | {(100 + i, 101 + i) for i in range(25)})
+    found, todo = set(), [0, 100, 5]
+    while todo:
+        new = {b for a, b in pairs if a == todo[-1]} - found
+        todo.pop()
+        found |= new
+        todo += new
+    nodes = spark.createDataFrame([(s,) for s in (0, 100, 5)], "node long")
+    for place in (lambda a, b: rng.randrange(4), lambda a, b: b // 10, lambda a, b: 0):
+        edges = spark.createDataFrame([(a, b, place(a, b)) for a, b in pairs] + [(None, 999, 1)], "a long, b long, place long")
+        assert sorted(r.node for r in reachable(edges, nodes, "a", "b").collect()) == sorted(found)
+        more = reachable(edges, nodes, "a", "b", include_start=True)
+        assert sorted(r.node for r in more.collect()) == sorted(found | {0, 100, 5})
+
+
+def test_long_chains_by_place_take_a_round_per_change_of_place(spark):
+    """The frontier loop takes a round per step on forked graphs; here a chain of 3 000 forks over three places takes three."""
+    n = 3000
+    rows = [(i, i + 1, i // 1000) for i in range(n)] + [(i, i + 2, i // 1000) for i in range(n - 1)]
+    edges = spark.createDataFrame(rows, "a long, b long, place long")
+    nodes, rounds = closure.walk_by_place(edges, spark.createDataFrame([(10,)], "node long"), "a", "b")
+    assert sorted(r.node for r in nodes.collect()) == list(range(11, n + 1)) and rounds <= 3
+    again, plain_rounds = closure.walk(edges, spark.createDataFrame([(2900,)], "node long"), "a", "b")
+    assert again.count() == 100 and plain_rounds > rounds
