@@ -190,7 +190,7 @@ def dense_positions(df: DataFrame, key: str, name: str) -> DataFrame:
     )
 
 
-def last_before(df: DataFrame, by: str, position: str, value: str, chunk: int) -> DataFrame:
+def last_before(df: DataFrame, by: str, position: str, value: str, chunk: int | Column) -> DataFrame:
     """Add `last`: the latest non-null `value` of the same `by` at or before this row's position.
 
     Positions are cut into chunks. Each chunk's latest value is carried to the later ones, so a hot

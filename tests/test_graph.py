@@ -207,3 +207,30 @@ def test_long_chains_by_place_take_a_round_per_change_of_place(spark):
     assert sorted(r.node for r in nodes.collect()) == list(range(11, n + 1)) and rounds <= 3
     again, plain_rounds = closure.walk(edges, spark.createDataFrame([(2900,)], "node long"), "a", "b")
     assert again.count() == 100 and plain_rounds > rounds
+
+
+def test_parameters_of_any_shape(spark):
+    """Values that are no text, entries without a name, and one object in place of a list, as JSON reads them."""
+    shown = [
+        ([{"parameterName": "n", "value": 5}, {"parameterName": "b", "value": True}, {"parameterName": "x", "value": None}], ["b:true", "n:5", "x"]),
+        ([{"parameterName": "o", "value": {"a": 1}}, {"parameterName": "d", "value": 1.5}], ["d:1.5", 'o:\\{"a":1\\}']),
+        ({"parameterName": "one", "value": "v"}, ["one:v"]),
+        ([], []), (None, []),
+    ]
+    docs = []
+    for i, (given, _) in enumerate(shown):
+        docs.append((f"p{i}", document([{"id": "1", "parameters": given}])))
+    rows = G.flatten_rules(spark.createDataFrame(docs, "policy string, document string")).orderBy("policy").collect()
+    extras = ("gen_rsn_cd:", "invert:", "summary:")
+    assert [[p for p in r.parameters if not p.startswith(extras)] for r in rows] == [want for _, want in shown]
+
+
+def test_one_kind_of_edges_starts_no_other_work(spark, graph):
+    """Edges are made when they are read, and then only those of the wanted kind."""
+    context = spark.sparkContext
+    context.setJobGroup("edges", "edges")
+    edges = G.policy_edges(graph[1]).filter("kind = 'parent'")
+    assert not list(context.statusTracker().getJobIdsForGroup("edges"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "_chunk" not in plan
