@@ -115,7 +115,7 @@ def walk_by_place(edges: DataFrame, start: DataFrame, source: str, target: str,
     kind = plain.schema["node"].dataType.simpleString()
     known, told, todo, rounds = several.limit(0), onward.limit(0), flagged, 0
     while True:
-        reached = todo.groupBy("place").applyInArrow(_shared_of_place, f"node {kind}").distinct()
+        reached = todo.groupBy("place").applyInArrow(_follower("_told"), f"node {kind}").distinct()
         newest = cut_lineage(reached.join(known, "node", "left_anti"))
         found, rounds = newest.count(), rounds + 1
         if not found:
@@ -126,47 +126,42 @@ def walk_by_place(edges: DataFrame, start: DataFrame, source: str, target: str,
         # Only places that were told something new are walked again, from all that they were ever told.
         again = added.select("place").distinct()
         todo = with_told(told).join(again, "place", "left_semi")
-    nodes = with_told(told).groupBy("place").applyInArrow(_reached_of_place, f"node {kind}")
+    nodes = with_told(told).groupBy("place").applyInArrow(_follower(), f"node {kind}")
     if include_start:
         nodes = nodes.unionByName(starts)
     return cut_lineage(nodes.distinct()), rounds
 
 
-def _shared_of_place(rows: pa.Table) -> pa.Table:
-    return _followed(rows, "_told")
-
-
-def _reached_of_place(rows: pa.Table) -> pa.Table:
-    return _followed(rows, None)
-
-
-def _followed(rows: pa.Table, only: str | None) -> pa.Table:
-    """The nodes of one place that its edges lead to from the rows that begin, those flagged `only`."""
-    both = pa.chunked_array([*rows["node"].chunks, *rows["_next"].chunks], type=rows.schema.field("node").type)
-    coded = both.combine_chunks().dictionary_encode(null_encoding="encode")
-    codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-    n = rows.num_rows
-    a, b = codes[:n], codes[n:]
-    given, begins = rows["node"].is_valid().to_numpy(), rows["_begins"].to_numpy()
-    # A row that was told from elsewhere is no edge. Nulls are reached, but equal nothing.
-    edge = given & rows["_edge"].to_numpy()
-    seen = _closure(a[edge], b[edge], len(names), np.unique(a[begins & given]))
-    if only:
-        wanted = np.zeros(len(names), bool)
-        wanted[b[rows[only].to_numpy()]] = True
-        seen &= wanted
-    return pa.table({"node": names.take(pa.array(np.flatnonzero(seen)))})
-
-
-def _closure(a: np.ndarray, b: np.ndarray, n: int, newest: np.ndarray) -> np.ndarray:
-    """Which of the nodes 0 to n - 1 the edges from `a` to `b` lead to."""
-    order = np.argsort(a, kind="stable")
-    b, first = b[order], np.searchsorted(a[order], np.arange(n + 1))
-    seen = np.zeros(n, bool)
-    while len(newest):
-        size = first[newest + 1] - first[newest]
-        before = np.cumsum(size) - size
-        found = np.unique(b[np.repeat(first[newest] - before, size) + np.arange(size.sum())])
-        newest = found[~seen[found]]
-        seen[newest] = True
-    return seen
+def _follower(only: str | None = None):
+    """A task's work for one place: the nodes that its edges lead to from the rows that begin, those flagged `only`.
+    It needs nothing but itself, so that executors without this package can run it."""
+
+    def closure(a: np.ndarray, b: np.ndarray, n: int, newest: np.ndarray) -> np.ndarray:
+        """Which of the nodes 0 to n - 1 the edges from `a` to `b` lead to."""
+        order = np.argsort(a, kind="stable")
+        b, first = b[order], np.searchsorted(a[order], np.arange(n + 1))
+        seen = np.zeros(n, bool)
+        while len(newest):
+            size = first[newest + 1] - first[newest]
+            before = np.cumsum(size) - size
+            found = np.unique(b[np.repeat(first[newest] - before, size) + np.arange(size.sum())])
+            newest = found[~seen[found]]
+            seen[newest] = True
+        return seen
+
+    def run(rows: pa.Table) -> pa.Table:
+        both = pa.chunked_array([*rows["node"].chunks, *rows["_next"].chunks], type=rows.schema.field("node").type)
+        coded = both.combine_chunks().dictionary_encode(null_encoding="encode")
+        codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        a, b = codes[:rows.num_rows], codes[rows.num_rows:]
+        # A row that was told from elsewhere is no edge. Nulls are reached, but equal nothing.
+        given, begins = rows["node"].is_valid().to_numpy(), rows["_begins"].to_numpy()
+        edge = given & rows["_edge"].to_numpy()
+        seen = closure(a[edge], b[edge], len(names), np.unique(a[begins & given]))
+        if only:
+            wanted = np.zeros(len(names), bool)
+            wanted[b[rows[only].to_numpy()]] = True
+            seen &= wanted
+        return pa.table({"node": names.take(pa.array(np.flatnonzero(seen)))})
+
+    return run
