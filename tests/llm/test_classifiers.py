@@ -118,3 +118,16 @@ def test_a_labelled_key_of_many_rows_does_not_break_the_bound(spark, monkeypatch
     monkeypatch.setattr(toxicity, "fit_chain", lambda sample, categories: sizes.append(sample.count()) or fit(sample, categories))
     got = score_toxicity(docs, labels, ["bad"], sample_rows=1001)
     assert got.count() == 4000 and sizes == [1001]
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Beyond the 12 000 rows that were once a sample, each labelled row counts in the features and the fits."""
+    docs = spark.range(15_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word w"), F.col("id") % 700, F.when(F.col("id") % 5 == 0, " bad").otherwise("")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("bad"))
+    counted, make = [], toxicity._counted
+    monkeypatch.setattr(toxicity, "_counted", lambda sample, categories: counted.append(make(sample, categories)) or counted[0])
+    got = score_toxicity(docs, labels, ["bad"])
+    assert got.filter(F.col("bad") == (F.col("doc_id") % 5 == 0)).count() == 15_000
+    assert counted[0][0, :, -3:-1].sum(axis=0).tolist() == [15_000, 3_000]
+    number = int(toxicity.features(b"bad")[0])
+    assert counted[0][0, :, number].sum() == 3_000
