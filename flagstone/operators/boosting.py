@@ -2,8 +2,8 @@
 
 Features are cut into bins once. A level of a tree is one aggregation: gradient and curvature sums by (node, feature, bin),
 which tasks add up before they shuffle, so what is shuffled is bounded by nodes x features x bins. Prefix sums over a
-feature's bins give all splits, and the best of each node comes to the driver. Sums are exact decimals, so no
-partitioning changes a tree.
+feature's bins give all splits, and the best of each node comes to the driver. Sums are exact: a row's numbers are whole
+units of 1e-12, added up as two long integers and put together as decimals, so no partitioning changes a tree.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import astuple, dataclass, field, replace
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,6 +23,8 @@ from flagstone.plans.shared import bounded_rows, measured
 # Trees after which rows are stored with their margins, so that no expression holds all trees.
 STORE_EVERY = 8
 EXACT = "decimal(28,12)"
+# Units of a row's numbers, and the bits of their lower half: sums of halves fit a long for 2**42 rows.
+UNITS, LOW_BITS = 1e12, 20
 
 
 @dataclass(frozen=True)
@@ -130,6 +133,17 @@ def quality(g: Column, h: Column, s: Settings) -> Column:
     return F.when(h + s.l2 > 0, shrunk(g, s.l1) * shrunk(g, s.l1) / (h + F.lit(s.l2))).otherwise(0.0)
 
 
+def halves(x: Column, name: str) -> list[Column]:
+    """A number of at most 1 in whole units, as `<name>_high` and `<name>_low`."""
+    units = F.floor(x * F.lit(UNITS) + F.lit(0.5))
+    return [F.shiftright(units, LOW_BITS).alias(f"{name}_high"), units.bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("long")).alias(f"{name}_low")]
+
+
+def exact_sum(name: str) -> Column:
+    units = F.sum(f"{name}_high").cast("decimal(20,0)") * F.lit(1 << LOW_BITS) + F.sum(f"{name}_low").cast("decimal(20,0)")
+    return (units.cast("decimal(24,0)") * F.lit(Decimal("0.000000000001"))).cast(EXACT)
+
+
 def best_splits(sums: DataFrame, s: Settings) -> DataFrame:
     """`(node, feature, bin, gain, g, h, n)`: the best split of each node by gain, then feature, then bin, and the sums of its left
     side, from `(node, feature, bin, g, h, n)`. Of symmetric trees there is one split, of node 0, without sums."""
@@ -186,18 +200,17 @@ def boost(train: DataFrame, features: list[str], label: str = "frd", settings: S
         if s.row_share < 1:
             some = rows.filter(F.pmod(F.xxhash64("_id", F.lit(s.seed), F.lit(tree)), F.lit(1_000_000)) < s.row_share * 1_000_000)
         used = _features_of(tree, len(features), s)
-        stated = some.select("_bins", (p - F.col("_y")).cast(EXACT).alias("g"), (p * (1 - p)).cast(EXACT).alias("h"))
+        stated = some.select("_bins", *halves(p - F.col("_y"), "g"), *halves(p * (1 - p), "h"))
         nodes: dict[int, Node] = {}
         splits: dict[int, tuple[int, int, float]] = {}  # node: feature, bin, gain
         # Sums of gradient, curvature and rows; those of children follow from a split's left side.
-        totals = {1: tuple(stated.agg(F.sum("g"), F.sum("h"), F.count(F.lit(1))).first())}
+        totals = {1: tuple(stated.agg(exact_sum("g"), exact_sum("h"), F.count(F.lit(1))).first())}
         open_nodes = [1]
         for _ in range(s.depth):
             here = stated.withColumn("node", _node_expression(splits)).filter(F.col("node").isin(open_nodes))
-            entries = F.transform("_bins", lambda b, i: F.struct(i.alias("feature"), b.alias("bin")))
-            long = here.select("node", "g", "h", F.explode(entries).alias("e")).select("node", "e.feature", "e.bin", "g", "h")
+            long = here.select("node", "g_high", "g_low", "h_high", "h_low", F.posexplode("_bins").alias("feature", "bin"))
             sums = long.filter(F.col("feature").isin(used)).groupBy("node", "feature", "bin").agg(
-                F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
+                exact_sum("g").alias("g"), exact_sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
             sums = measured(sums) if s.symmetric else sums
             # One row per node.
             found = [r for r in best_splits(sums, s).collect() if r["gain"] > s.min_gain]

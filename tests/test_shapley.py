@@ -247,3 +247,12 @@ def test_the_space_fits_the_trees(spark):
     s = B.searched_settings(p, trees=2)
     assert s.trees == 2 and 0.03 <= s.rate <= 0.2 and s.depth in range(3, 8) and s.min_rows in (200, 600, 1000)
     assert len(B.boost(table(spark, 500), NAMES, settings=s, key="row_id").nodes) >= 2
+
+
+def test_sums_of_halves_are_exact(spark):
+    """Sums of whole units, below zero and across the halves, as the level sums make them."""
+    numbers = [-1.0, -1e-12, -0.123456789012, 0.0, 1e-12, 0.25, 0.999999999999, 1.0] * 500
+    df = spark.createDataFrame([(x,) for x in numbers], "x double").repartition(7).select(*B.halves(F.col("x"), "x"))
+    assert all(t == "bigint" for _, t in df.dtypes)
+    units = sum(round(x * 1e12) for x in numbers)
+    assert int(df.agg(B.exact_sum("x")).first()[0].scaleb(12)) == units
