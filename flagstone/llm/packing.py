@@ -20,13 +20,18 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from flagstone.llm.common import stored, texts
 from flagstone.plans.ordered import dense_positions
 
-# Distinct words whose ids a worker remembers, in each of two generations.
-KNOWN_WORDS = 250_000
+# Parts of words whose ids a worker remembers, and their bytes; beyond either, those not seen for long are forgotten.
+KNOWN_WORDS, KNOWN_BYTES = 250_000, 16_000_000
+# Parts longer than this many bytes are forgotten first.
+LONG_WORD = 64
+# Bytes of text that are encoded at a time (or one text, if that is longer).
+STEP_BYTES = 4_000_000
 # ASCII marks that are tokens of their own behind a word.
 TAIL = b",.;:!?*%#&$|)]}\""
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -41,8 +46,23 @@ def all_letters(body: bytes) -> bool:
     return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
 
 
+def letters_only(words: pa.Array) -> np.ndarray:
+    """`all_letters` of each of some distinct words."""
+    found = pc.ascii_is_alpha(words).to_numpy(zero_copy_only=False).copy()
+    other = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
+    found[other] = [all_letters(w) for w in words.take(pa.array(other)).view(pa.large_binary()).to_pylist()]
+    return found
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places `start`, `start + 1`, ... of each of some spans, one span behind the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
 class Encoder:
-    """Ids of texts, word by word; each distinct word is encoded once while it is remembered.
+    """Ids of texts, word by word; a word that is letters and then marks is two parts, and each distinct part is encoded
+    once while it is remembered.
 
     The tokenizer must drop white space before it looks for tokens and not look at a word's neighbours, as
     `word_bpe_49k.json` does: no token then crosses ASCII white space, and a text's ids are those of its words in order.
@@ -59,8 +79,11 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         if suffix:
             self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        # The i-th known part has `sizes[i]` ids from `ids[starts[i]]` on and was last seen in call `seen[i]`.
+        self.known = pa.array([], pa.large_string())
+        self.starts, self.sizes, self.seen = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.ids = np.zeros(0, dtype="<u4")
+        self.calls = 0
 
     def _one_by_one(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -76,43 +99,72 @@ class Encoder:
         data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Remember the ids of `words`, of which none is in the young generation."""
-        if len(self.young) + len(words) > KNOWN_WORDS:
-            self.old, self.young = self.young, {}
-        letters, tails, other = set(), {}, []
-        for w in words:
-            if w in self.old:
-                self.young[w] = self.old[w]
-                continue
-            body = w.rstrip(TAIL)
-            if body and all_letters(body) and b"\xef\xbf\xbd" not in body:
-                if body is not w and len(body) < len(w):
-                    tails[w] = body
-                if body not in self.young:
-                    if body in self.old:
-                        self.young[body] = self.old[body]
-                    else:
-                        letters.add(body)
-            else:
-                other.append(w)
-        marks = {w[len(body):] for w, body in tails.items()} - self.young.keys()
-        other += marks.difference(other)
-        for make, some in ((self._letters, list(letters)), (self._one_by_one, other)):
+    def _learn(self, new: pa.Array) -> None:
+        """Add the ids of parts that `known` has behind all others."""
+        words, letters = new.view(pa.large_binary()).to_pylist(), letters_only(new)
+        found = [b""] * len(words)
+        for make, some in ((self._letters, np.flatnonzero(letters).tolist()), (self._one_by_one, np.flatnonzero(~letters).tolist())):
             for i in range(0, len(some), 5000):
-                self.young.update(zip(some[i:i + 5000], make(some[i:i + 5000])))
-        for w, body in tails.items():
-            self.young[w] = self.young[body] + self.young[w[len(body):]]
+                at = some[i:i + 5000]
+                for k, data in zip(at, make([words[k] for k in at])):
+                    found[k] = data
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype="<u4")])
+        self.seen = np.concatenate([self.seen, np.zeros(len(sizes), dtype=np.int64)])
+
+    def _forget(self) -> None:
+        """Keep those of the short parts that were seen last."""
+        short = np.flatnonzero(pc.binary_length(self.known).to_numpy() <= LONG_WORD)
+        keep = short[np.argsort(self.seen[short], kind="stable")[-KNOWN_WORDS // 2:]]
+        self.known = self.known.take(pa.array(keep))
+        self.ids = self.ids[spans(self.starts[keep], self.sizes[keep])]
+        self.sizes, self.seen = self.sizes[keep], self.seen[keep]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _parts(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """First parts of words, the places of words that have a second one, and these second parts."""
+        bodies = pc.ascii_rtrim(words, characters=TAIL.decode())
+        cut = np.flatnonzero(pc.not_equal(bodies, words).to_numpy(zero_copy_only=False))
+        cut = cut[letters_only(bodies.take(pa.array(cut)))]
+        whole = np.ones(len(words), dtype=bool)
+        whole[cut] = False
+        sizes = pc.binary_length(bodies).to_numpy()[cut]
+        offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset:]
+        lengths = offsets[cut + 1] - offsets[cut] - sizes
+        marks = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[spans(offsets[cut] + sizes, lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        tails = pa.LargeStringArray.from_buffers(len(cut), pa.py_buffer(ends), pa.py_buffer(marks))
+        return pc.if_else(pa.array(whole), words, bodies), cut, tails
 
     def __call__(self, batch: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        words = [text.split() for text in batch]
-        wanted = set().union(*words)
-        if new := wanted.difference(self.young):
-            self._learn(new)
-            if missing := wanted.difference(self.young):  # a new generation has begun
-                self._learn(missing)
-        return [b"".join(map(self.young.__getitem__, w)) for w in words]
+        split = pc.ascii_split_whitespace(pa.array(batch, pa.large_binary()).view(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        heads, cut, tails = self._parts(words.dictionary)
+        n, held = len(heads), len(self.known)
+        coded = pa.concat_arrays([self.known, heads, tails]).dictionary_encode()
+        self.known = coded.dictionary
+        self._learn(self.known[held:])
+        codes = coded.indices.to_numpy()[held:]
+        self.calls += 1
+        self.seen[codes] = self.calls
+        parts = np.zeros((n, 2), dtype=np.int64)
+        parts[:, 0], parts[cut, 1] = codes[:n], codes[n:]
+        sizes = self.sizes[parts]
+        second = np.zeros(n, dtype=bool)
+        second[cut] = True
+        sizes[~second, 1] = 0
+        ids = self.ids[spans(self.starts[parts].ravel(), sizes.ravel())]
+        sizes = sizes.sum(axis=1)
+        starts, at = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        data = ids[spans(starts[at], sizes[at])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        if len(self.known) > KNOWN_WORDS or self.known.nbytes > KNOWN_BYTES:
+            self._forget()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def encode_texts(path: str, batch: list[bytes]) -> list[bytes]:
@@ -136,7 +188,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0,
             for n, t in enumerate(texts(batch.column(1)), 1):
                 held.append(t)
                 size += len(t)
-                if size < 2_000_000 and n < batch.num_rows:
+                if size < STEP_BYTES and n < batch.num_rows:
                     continue
                 places, pieces, starts, parts = [], [], [], []
                 for i, data in enumerate(encode_texts(path, held), at):

@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
-from flagstone.llm.packing import encode_texts, pack, plan_sequences, sequences, tokenize
+from flagstone.llm import packing
+from flagstone.llm.packing import Encoder, encode_texts, pack, plan_sequences, sequences, tokenize
 from flagstone.llm.queries import QUERIES, tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +80,37 @@ def test_random_words_have_the_ids_of_the_tokenizer():
     assert [x for x, g, w in zip(texts, got, wanted) if np.frombuffer(g, "<u4").tolist() != w.ids] == []
 
 
+def test_a_known_word_with_other_marks_costs_no_python_step(monkeypatch):
+    calls, looked = 0, packing.all_letters
+
+    def counted(body):
+        nonlocal calls
+        calls += 1
+        return looked(body)
+
+    monkeypatch.setattr(packing, "all_letters", counted)
+    encoder = Encoder(tokenizer_file())
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    encoder([" ".join(words).encode()])
+    text = " ".join(w + mark for w in words for mark in (",", ".", "!?", ")", ";", "\"")).encode()
+    got, = encoder([text])
+    assert np.frombuffer(got, "<u4").tolist() == encoder.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    assert calls <= 500
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 20)
+    rng, encoder = random.Random(5), Encoder(tokenizer_file())
+    words = ["a", "b,", "it's", "don't!", "1,2", "é,", "où", "Σ;", "\x1c", "...", "x" * 300 + ",", "<|endoftext|>,"] + [f"n{chr(97 + i)}." for i in range(26)]
+    for _ in range(60):
+        texts = [rng.choice(["", " ", "\n"]) + rng.choice([" ", "\t\r", "\x0b\x0c"]).join(rng.choices(words, k=rng.randrange(12))) for _ in range(rng.randrange(6))]
+        got = encoder([t.encode() for t in texts])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.known) == len(encoder.sizes) <= 20
+    bad, = encoder([b"\xff, a\xff"])  # bytes that are no UTF-8 count as U+FFFD
+    assert np.frombuffer(bad, "<u4").tolist() == encoder.tokenizer.encode("\ufffd, a\ufffd", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_place_each_piece_once_and_pack_like_best_fit_decreasing(seed):
     rng, capacity = random.Random(seed), 100
