@@ -98,6 +98,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def released(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of `made`. Arrow gives memory that is not in use back after each of them and at the end: a Python worker
+    lives on after its task, and what Arrow keeps for itself then would take from the executor's later steps."""
+    for batch in made:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words of a text, A-Z lower-cased."""
     words = text.lower().split()  # bytes: lowers A-Z only and splits at WHITE only

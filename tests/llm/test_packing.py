@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -9,6 +12,7 @@ from flagstone.llm.packing import Encoder, encode_texts, pack, plan_sequences, s
 from flagstone.llm.queries import QUERIES, tokenizer_file
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def check_places(rows, capacity):
@@ -111,6 +115,45 @@ def test_forgotten_words_are_encoded_again(monkeypatch):
     assert np.frombuffer(bad, "<u4").tolist() == encoder.tokenizer.encode("\ufffd, a\ufffd", add_special_tokens=False).ids
 
 
+HELD = """
+import random, re, sys
+import pyarrow as pa
+from pyspark.sql import types as T
+from flagstone.llm import packing
+from flagstone.llm.queries import tokenizer_file
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+class Docs:  # runs a mapInArrow where it stands
+    schema = T.StructType([T.StructField("doc_id", T.LongType())])
+    def select(self, *columns):
+        return self
+    def mapInArrow(self, run, schema):
+        return run
+
+def batches():
+    rng = random.Random(7)
+    for k in range(2):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(100_000)]
+        texts = [" ".join(rng.choices(words, k=300)) for _ in range(6_000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+
+packing.F.col = lambda name: type("Column", (), {"alias": lambda self, name: self})()  # columns need a session
+data = list(batches())
+packing.encode_texts(tokenizer_file(), [b"a"])
+before = held()
+rows = sum(b.num_rows for b in packing.tokenize(Docs(), tokenizer_file())(iter(data)))
+print(rows, round(held() - before))
+"""
+
+
+def test_a_worker_gives_memory_back_after_its_texts():
+    got = subprocess.run([sys.executable, "-c", HELD], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
+    assert int(got[0]) == 12_000
+    assert int(got[1]) < 50  # MB
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_place_each_piece_once_and_pack_like_best_fit_decreasing(seed):
     rng, capacity = random.Random(seed), 100
